@@ -21,17 +21,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.where(F.col("n_rows") * 50 > rows).select("split_group")
 
 
+def _with_micros(df: DataFrame) -> DataFrame:
+    """Moments as microseconds since 1970, which every engine compares alike."""
+    return df.withColumns({c: F.unix_micros(c) for c in ("first_seen", "last_seen")})
+
+
 def p4_split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir, "split_group")
+    return _with_micros(_stats(spark, sf_dir, "split_group"))
 
 
 def p4_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir, "registered_domain")
+    return _with_micros(_stats(spark, sf_dir, "registered_domain"))
 
 
 def _sql(group: str) -> str:
     return f"""select {group}, count(*) as n_rows, count(*) filter (target = 0) as n_class_0, count(*) filter (target = 1) as n_class_1,
-    count(distinct url_dedupe_key) as n_distinct, min(first_seen) as first_seen, max(first_seen) as last_seen from prepared_urls group by {group}"""
+    count(distinct url_dedupe_key) as n_distinct, epoch_us(min(first_seen)) as first_seen, epoch_us(max(first_seen)) as last_seen from prepared_urls group by {group}"""
 
 
 QUERIES = {"p4_found": p4_found, "p4_split_groups": p4_split_groups, "p4_domains": p4_domains}
