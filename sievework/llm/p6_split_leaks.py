@@ -16,8 +16,8 @@ from .grams import RECORDS, at_least, mix, needed_overlap, runs, windows
 from .p5_near_duplicates import verified
 from .texts import fold_copies, model_text
 
-#: Minwise hashes per band, and bands: a pair at similarity 0.7 shares a band with probability 0.988, one at 0.75 with 0.998.
-BAND_ROWS, BANDS = 5, 24
+#: Minwise hashes per band, and bands: a pair at similarity 0.7 shares no band with probability 1.5e-4, one at 0.8 with 5e-8.
+BAND_ROWS, BANDS = 4, 32
 WORDS = 3
 _SKETCH = [f"s{k}" for k in range(WORDS)]
 _DTYPE = np.dtype([("t", "<u8"), ("id", "<i8"), ("size", "<u4"), ("side", "u1"), *((s, "<u4") for s in _SKETCH)])
