@@ -29,7 +29,7 @@ def require(spark: SparkSession, path: str, stage: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, url: str = "url", label: str = "label") -> DataFrame:
     """A CSV with header, its URL and label columns found whatever their case and given these names; types are inferred."""
-    df = spark.read.option("header", True).option("inferSchema", True).option("multiLine", False).csv(path)
+    df = spark.read.option("header", True).option("inferSchema", True).option("mode", "FAILFAST").csv(path)
     return df.withColumnRenamed(find_column(df, url), url).withColumnRenamed(find_column(df, label), label)
 
 
@@ -96,7 +96,7 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def write_json(spark: SparkSession, value, path: str) -> None:
