@@ -62,13 +62,16 @@ class _Placer:
         self.wanted = {s: [shares[s] * t for t in totals] for s in self.names}
         self.outstanding = list(totals)
 
-    def label(self, vector: tuple[float, ...]) -> int:
-        """The rarest outstanding label that the vector has."""
-        return min((k for k, v in enumerate(vector) if v > 0), key=lambda k: (self.outstanding[k], k))
+    def need(self, vector: tuple[float, ...], split: str) -> float:
+        """How much a split needs a vector: its outstanding labels weighed by the vector's. The split with the largest
+        need is the one whose placing lowers the squared sum of all outstanding labels most; for one label it is the one lacking most of it."""
+        return sum(v * w for v, w in zip(vector, self.wanted[split]))
+
+    def best(self, vector: tuple[float, ...]) -> str:
+        return max(self.names, key=lambda s: (self.need(vector, s), -self.names.index(s)))
 
     def place(self, vector: tuple[float, ...]) -> str:
-        k = self.label(vector)
-        best = max(self.names, key=lambda s: (self.wanted[s][k], sum(self.wanted[s]), -self.names.index(s)))
+        best = self.best(vector)
         self.take(vector, best, 1)
         return best
 
@@ -128,14 +131,15 @@ def grouped_split(df: DataFrame, ident: str, group: str, domain: str, target: st
             given = dict.fromkeys(placer.names, 0)
             while m:
                 step = max(1, m // 64)
-                best = max(placer.names, key=lambda s: (placer.wanted[s][placer.label(vector)], -placer.names.index(s)))
+                best = placer.best(vector)
                 placer.take(vector, best, step)
                 given[best] += step
                 m -= step
             ends, at = [], 0
             for s in placer.names:
-                at += given[s]
-                ends.append((at, s))
+                if given[s]:
+                    at += given[s]
+                    ends.append((at, s))
             deals[kind] = ends
 
     spark = df.sparkSession
@@ -144,7 +148,6 @@ def grouped_split(df: DataFrame, ident: str, group: str, domain: str, target: st
     bounds = table_.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("until", F.col("split").alias("s")))).alias("bounds"))
     ranked = rank_within(small.select("component", "kind", F.xxhash64(F.lit(seed), "component").alias("h")), "kind", "h", total=total[0])
     dealt = ranked.join(F.broadcast(bounds), "kind").select("component", F.filter("bounds", lambda b: b["until"] > F.col("rank"))[0]["s"].alias("split"))
-    # `bounds` sorts equal ends by name; an empty share ends where the one before does and is passed over by `>`.
     chosen = materialize(dealt.union(big))
     sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("w"))
     per_set = spread_join(sets.select("g", "component", "n"), chosen.join(sizes, "component"), "component", weight="w", total=sets.count())
