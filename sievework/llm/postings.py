@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from .grams import mix, runs
 
-#: Postings that one part is meant to hold, and how many of one token are joined in one piece before it is cut in blocks.
+#: Postings that one part is meant to hold, and of one token from which on its list is cut in blocks of half as many.
 PART = 250_000
-BLOCK = 20_000
+BLOCK = 8_000
+Hot = tuple[np.ndarray, np.ndarray]
 _BUFFER = 1_500_000
 
 
@@ -31,15 +32,14 @@ def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
-def hot_tokens(df: DataFrame, make: Callable, *, rows: int, share: int = 64) -> np.ndarray:
-    """Tokens that seem to have over ``BLOCK`` postings, told from one row in ``share``.
+def hot_tokens(df: DataFrame, make: Callable, *, rows: int, share: int = 64) -> Hot:
+    """Tokens that seem to have over ``BLOCK`` postings, and blocks for each, told from one row in ``share``.
 
     It only steers how lists are cut into blocks, never what is joined: a list missed here is joined in one piece.
-    No more tokens are returned than the sample holds postings over ``BLOCK / share``; tables too small for such a
-    list are not read.
+    There are at most as many such tokens as all postings hold lists of that length; tables too small for one are not read.
     """
     if rows <= BLOCK:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     least = max(2, BLOCK // share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,17 +50,26 @@ def hot_tokens(df: DataFrame, make: Callable, *, rows: int, share: int = 64) ->
 
     sample = df.where(F.pmod(F.xxhash64(*[c for c in df.columns if c != "text"]), F.lit(share)) == 0)
     counts = sample.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r.t for r in counts.select("t").collect()], dtype=np.int64).view(np.uint64))
+    found = sorted((r.t & 0xFFFFFFFFFFFFFFFF, -(-2 * r.n * share // BLOCK)) for r in counts.collect())
+    return np.array([t for t, _ in found], np.uint64), np.array([max(2, n) for _, n in found], np.int64)
 
 
-def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, hot: np.ndarray) -> DataFrame:
-    """``(part, lo, hi, blob)`` of the postings that ``make`` gives for each batch of ``df``.
+def _blocks(a: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """``(number of blocks, own block)`` of each posting; no blocks for tokens that are not hot."""
+    tokens, sizes = hot
+    n = np.zeros(len(a), np.int64)
+    if len(tokens):
+        at = np.searchsorted(tokens, a["t"]).clip(max=len(tokens) - 1)
+        n = np.where(tokens[at] == a["t"], sizes[at], 0)
+    return n, (mix(a["id"].astype(np.uint64)) % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
 
-    A token among ``hot`` has its postings dealt into blocks by a hash of the record; the part for blocks ``lo <= hi``
-    gets both, so that any two postings of the token meet in exactly one part and none holds more than two blocks.
-    The number of blocks is as large as the busiest hot list could need: it is fixed by ``parts``.
+
+def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, hot: Hot) -> tuple[DataFrame, Hot]:
+    """``(part, lo, hi, blob)`` of the postings that ``make`` gives for each batch of ``df``; and ``hot``, for ``join``.
+
+    A ``hot`` token has its postings dealt into blocks by a hash of the record; the part for blocks ``lo <= hi`` gets
+    both, so that any two postings of the token meet in some part and none holds more than two blocks.
     """
-    blocks = max(2, min(32, parts // 4)) if len(hot) else 1
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +80,7 @@ def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                 return
             a = np.concatenate(held)
             held.clear()
-            warm = np.zeros(len(a), bool)
-            if len(hot):
-                at = np.searchsorted(hot, a["t"]).clip(max=len(hot) - 1)
-                warm = hot[at] == a["t"]
+            n, block = _blocks(a, hot)
             keys, los, his, blobs = [], [], [], []
 
             def cut(b: np.ndarray, part: np.ndarray, lo: int, hi: int) -> None:
@@ -87,18 +93,16 @@ def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                     his.append(hi)
                     blobs.append(pack(b[s:e]))
 
-            cold = a[~warm]
-            if len(cold):
-                cut(cold, (mix(cold["t"]) % np.uint64(parts)).astype(np.int64), -1, -1)
-            if warm.any():
-                b = a[warm]
-                block = (mix(b["id"].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-                part = (mix(b["t"]) % np.uint64(parts)).astype(np.int64)
-                for lo in range(blocks):
-                    for hi in range(lo, blocks):
-                        m = (block == lo) | (block == hi)
-                        if m.any():
-                            cut(b[m], part[m], lo, hi)
+            part = (mix(a["t"]) % np.uint64(parts)).astype(np.int64)
+            cold = n == 0
+            if cold.any():
+                cut(a[cold], part[cold], -1, -1)
+            a, part, n, block = (x[~cold] for x in (a, part, n, block))
+            for lo in range(int(n.max(initial=0))):
+                for hi in range(lo, int(n.max())):
+                    m = ((block == lo) | (block == hi)) & (hi < n)
+                    if m.any():
+                        cut(a[m], part[m], lo, hi)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(blobs, pa.binary())], ["part", "lo", "hi", "blob"])
 
         for batch in batches:
@@ -111,17 +115,19 @@ def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                     yield from out()
         yield from out()
 
-    return df.mapInArrow(run, "part long, lo int, hi int, blob binary"), blocks
+    lists = df.mapInArrow(run, "part long, lo int, hi int, blob binary")
+    return lists.repartition(parts, "part", "lo", "hi"), hot
 
 
-def join(lists: tuple[DataFrame, int], dtype: np.dtype, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], out: Callable, schema: str, *, order: str | None = None, stop: Callable | None = None) -> DataFrame:
+def join(lists: tuple[DataFrame, Hot], dtype: np.dtype, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], out: Callable, schema: str, *, order: str | None = None, stop: Callable | None = None) -> DataFrame:
     """Pairs of postings with one token, as far as ``keep(x, y)`` admits them, turned into Arrow columns by ``out(x, y)``.
 
     Within a list postings are sorted by the field ``order``; where ``stop(x, y)`` holds for a posting and one that
     follows, it holds for all later ones, and these are passed over. ``out`` gives a list of arrays; its rows are made
     distinct within a step, not across the result.
     """
-    frames, blocks = lists
+    frames, hot = lists
+    shared = frames.sparkSession.sparkContext.broadcast(hot)
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -131,7 +137,7 @@ def join(lists: tuple[DataFrame, int], dtype: np.dtype, keep: Callable[[np.ndarr
         starts = runs(a["t"])
         ends = np.repeat(np.append(starts[1:], len(a)), np.diff(np.append(starts, len(a))))
         i = np.flatnonzero(ends - np.arange(len(a)) > 1)
-        block = (mix(a["id"].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64) if lo >= 0 and lo != hi else None
+        block = _blocks(a, shared.value)[1] if lo != hi else None
         found: list[list[np.ndarray]] = []
         d = 1
         while len(i):
