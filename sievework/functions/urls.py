@@ -66,48 +66,53 @@ def with_parts(df: DataFrame, url: str, name: str = "parts") -> DataFrame:
     if none), ``host`` (lower case; null if none), ``bracketed``, ``port`` (null if none or bad), ``port_bad``. An empty
     or unparsable text has ``parsed`` false, empty text parts and no host. A column called ``name`` is replaced.
     """
-    t = "__parts"
-    raw = stripped(F.col(url))
-    x = df.withColumn(t, F.struct(raw.alias("raw"), raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://").alias("explicit")))
+    # Flat columns, one step at a time: fields of a struct under construction would be expanded into each other.
+    def c(k: str) -> Column:
+        return F.col(f"__p_{k}")
 
     def add(x: DataFrame, **cols: Column) -> DataFrame:
-        return x.withColumn(t, F.struct(F.col(f"{t}.*"), *(c.alias(k) for k, c in cols.items())))
+        return x.withColumns({f"__p_{k}": v for k, v in cols.items()})
 
-    c = lambda k: F.col(f"{t}.{k}")
+    x = add(df, raw=stripped(F.col(url)))
+    x = add(x, explicit=c("raw").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"))
     whole = F.when(c("explicit"), c("raw")).when(c("raw").startswith("//"), F.concat(F.lit("http:"), c("raw"))).otherwise(F.concat(F.lit("http://"), c("raw")))
     x = add(x, whole=F.translate(whole, "\t\r\n", ""))
     x = add(x, s=F.regexp_extract(c("whole"), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     x = add(x, rest=_after(c("whole"), F.length(c("s")) + 1))
     x = add(x, loc=F.regexp_extract(c("rest"), r"^//([^/?#]*)", 1))
     x = add(x, nf=F.substring_index(_after(c("rest"), F.length(c("loc")) + 2), "#", 1), info=F.substring_index(c("loc"), "@", -1))
-    x = add(x, p=F.substring_index(c("nf"), "?", 1), inner=F.regexp_extract(c("loc"), r"\[([^\]]*)", 1))
     opened, closed = c("loc").contains("["), c("loc").contains("]")
-    literal = c("inner").rlike(rf"^(?:{IPV6})$") | c("inner").rlike(r"(?s)^v[a-fA-F0-9]+\..+$")
-    fine = (c("raw") != "") & ~c("loc").rlike(_UNSAFE) & F.when(opened | closed, opened & closed & literal).otherwise(True)
-    bracket = c("info").contains("[")
-    h = F.when(bracket, F.regexp_extract(c("info"), r"\[([^\]]*)", 1)).otherwise(F.substring_index(c("info"), ":", 1))
-    port = F.when(bracket, F.regexp_extract(c("info"), r"\[[^\]]*\][^:]*:(.*)$", 1)).otherwise(_after(c("info"), F.length(F.substring_index(c("info"), ":", 1)) + 1))
-    x = add(x, ok=fine, h=h, pt=port, br=bracket)
+    inner = F.regexp_extract(c("loc"), r"\[([^\]]*)", 1)
+    literal = inner.rlike(rf"^(?:{IPV6})$") | inner.rlike(r"(?s)^v[a-fA-F0-9]+\..+$")
+    odd = c("loc").rlike(r"[^\x00-\x7F]")
+    fine = (c("raw") != "") & F.when(odd, ~c("loc").rlike(_UNSAFE)).otherwise(True) & F.when(opened | closed, opened & closed & literal).otherwise(True)
+    x = add(x, p=F.substring_index(c("nf"), "?", 1), br=c("info").contains("["), ok=fine)
+    before = F.substring_index(c("info"), ":", 1)
+    x = add(x, h=F.when(c("br"), F.regexp_extract(c("info"), r"\[([^\]]*)", 1)).otherwise(before))
+    x = add(x, pt=F.when(c("br"), F.regexp_extract(c("info"), r"\[[^\]]*\][^:]*:(.*)$", 1)).otherwise(_after(c("info"), F.length(c("h")) + 1)))
     zone = F.length(F.substring_index(c("h"), "%", 1))
-    host = F.concat(F.lower(F.left(c("h"), zone)), _after(c("h"), zone))
-    number = F.regexp_replace(c("pt"), "^0+", "")
-    bad = (c("pt") != "") & (~c("pt").rlike("^[0-9]+$") | (F.length(number) > 5) | (F.expr(f"try_cast(regexp_replace({t}.pt, '^0+', '') as int)") > 65535))
+    host = F.when(c("h").contains("%"), F.concat(F.lower(F.left(c("h"), zone)), _after(c("h"), zone))).otherwise(F.lower(c("h")))
+    number = F.expr("try_cast(regexp_replace(__p_pt, '^0+', '') as int)")
+    bad = (c("pt") != "") & (~c("pt").rlike("^[0-9]+$") | (F.length(F.regexp_replace(c("pt"), "^0+", "")) > 5) | F.coalesce(number > 65535, F.lit(False)))
+    x = add(x, pb=bad)
     empty = lambda v: F.when(c("ok"), v).otherwise(F.lit(""))
-    out = F.struct(
-        c("raw").alias("raw"),
-        (c("explicit") & (c("raw") != "")).alias("explicit"),
-        c("ok").alias("parsed"),
-        empty(F.lower(c("s"))).alias("scheme"),
-        empty(c("loc")).alias("netloc"),
-        empty(c("p")).alias("path"),
-        empty(_after(c("nf"), F.length(c("p")) + 1)).alias("query"),
-        F.when(c("ok") & c("loc").contains("@"), F.left(c("loc"), F.length(c("loc")) - F.length(c("info")) - 1)).alias("userinfo"),
-        F.when(c("ok") & (c("h") != ""), host).alias("host"),
-        (c("ok") & c("br")).alias("bracketed"),
-        F.when(c("ok") & (c("pt") != "") & ~F.coalesce(bad, F.lit(False)), F.expr(f"try_cast({t}.pt as int)")).alias("port"),
-        (c("ok") & F.coalesce(bad, F.lit(False))).alias("port_bad"),
-    )
-    return x.withColumn(name, out).drop(t)
+    out = {
+        "raw": c("raw"),
+        "explicit": c("explicit") & (c("raw") != ""),
+        "parsed": c("ok"),
+        "scheme": empty(F.lower(c("s"))),
+        "netloc": empty(c("loc")),
+        "path": empty(c("p")),
+        "query": empty(_after(c("nf"), F.length(c("p")) + 1)),
+        "userinfo": F.when(c("ok") & c("loc").contains("@"), F.left(c("loc"), F.length(c("loc")) - F.length(c("info")) - 1)),
+        "host": F.when(c("ok") & (c("h") != ""), host),
+        "bracketed": c("ok") & c("br"),
+        "port": F.when(c("ok") & (c("pt") != "") & ~c("pb"), F.expr("try_cast(__p_pt as int)")),
+        "port_bad": c("ok") & c("pb"),
+    }
+    x = add(x, **{f"o_{k}": v for k, v in out.items()})
+    x = x.withColumn(name, F.struct(*(c(f"o_{k}").alias(k) for k in out)))
+    return x.drop(*(k for k in x.columns if k.startswith("__p_")))
 
 
 def is_valid(p: str = "parts") -> Column:

@@ -53,9 +53,10 @@ def discard_materialized() -> None:
 atexit.register(discard_materialized)
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, or with underscores appended until no column of ``df`` has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` with at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    A small table in one file is one task otherwise. Tables with enough partitions, as any large one, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)

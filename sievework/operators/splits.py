@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .skew import rank_within, spread_join
 
 FOLDS = 5
@@ -38,7 +39,7 @@ def assign_splits(df: DataFrame, *, group: str = "split_group", target: str = "t
     null group are left out; an empty table stays empty.
     """
     groups = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count_if(F.col(target) == 0).alias("n0"), F.count_if(F.col(target) == 1).alias("n1"), F.count(F.lit(1)).alias("n"))
-    groups = groups.persist()
+    groups = materialize(groups)
     rows, count = groups.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not count:
         return df.limit(0).select("*", F.lit(0).cast("tinyint").alias("fold"), F.lit("").alias("split"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import text_model_input
 from .metrics import Costs, at_max_fpr, evaluate, threshold_table
-from .shared import materialize
+from .shared import materialize, widened
 
 
 @dataclass(frozen=True)
@@ -63,18 +66,23 @@ def full_candidates() -> list[Spec]:
     return [Spec(f"char{a}{b}_c{int(c * 10):02d}" + ("_bal" if w else ""), a, b, c, w) for a, b in ranges for c in cs for w in weights]
 
 
-def grams(text: Column, min_n: int, max_n: int) -> Column:
-    """All character n-grams, case kept; runs of two or more blanks become one. Short texts give what fits."""
-    t = F.regexp_replace(text, r"(?U)\s\s+", " ")
+def model_input(text: Column, spec: Spec) -> Column:
+    """The text that grams are taken from: scheme-neutral if asked for, runs of two or more blanks become one."""
+    t = text_model_input(text) if spec.scheme_neutral else F.coalesce(text, F.lit(""))
+    return F.regexp_replace(t, r"(?U)\s\s+", " ")
+
+
+def grams(t: Column, min_n: int, max_n: int) -> Column:
+    """All character n-grams of a model input, case kept. Short texts give what fits."""
     per_n = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substr(t, i, n))).otherwise(F.array().cast("array<string>"))
     return F.flatten(F.transform(F.sequence(F.lit(min_n), F.lit(max_n)), per_n))
 
 
 def term_frequencies(df: DataFrame, ident: str, text: str, spec: Spec) -> DataFrame:
-    """``(id, ngram, tf)``. Counted map-side per record, so a record's repeated grams are folded before the shuffle."""
-    t = text_model_input(F.col(text)) if spec.scheme_neutral else F.coalesce(F.col(text), F.lit(""))
-    long = df.select(F.col(ident).alias("id"), F.explode(grams(t, spec.min_n, spec.max_n)).alias("ngram"))
-    return long.groupBy("id", "ngram").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, ngram, tf)``. Whole records are spread by id first, so that the many more grams are counted where they arise."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    rows = df.select(F.col(ident).alias("id"), model_input(F.col(text), spec).alias("t")).repartition(tasks, "id")
+    return rows.select("id", F.explode(grams(F.col("t"), spec.min_n, spec.max_n)).alias("ngram")).groupBy("id", "ngram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tf: DataFrame, rows: int, spec: Spec) -> DataFrame:
@@ -84,12 +92,100 @@ def vocabulary(tf: DataFrame, rows: int, spec: Spec) -> DataFrame:
     return top.withColumn("idf", F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0)
 
 
-def weights(tf: DataFrame, vocab: DataFrame, spec: Spec) -> DataFrame:
-    """``(id, ngram, weight)``, of unit length per record. The vocabulary is bounded by ``max_features``."""
-    raw = (1.0 + F.log("tf") if spec.sublinear else F.col("tf").cast("double")) * F.col("idf")
-    x = tf.join(vocab.select("ngram", "idf"), "ngram").select("id", "ngram", raw.alias("raw"))
-    norm = x.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return x.join(norm, "id").select("id", "ngram", (F.col("raw") / F.col("norm")).alias("weight"))
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(64-bit hash, record)`` of all windows of ``n`` code points that lie within one text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    count = len(points) - n + 1
+    if count < 1:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = np.full(count, n, np.uint64)
+    for k in range(n):
+        h = _scrambled(h ^ (points[k : k + count] + np.uint64(1)))
+    record = np.repeat(np.arange(len(texts)), lengths)[:count]
+    inside = np.arange(count) + n <= np.cumsum(lengths)[record]
+    return h[inside], record[inside]
+
+
+class Table:
+    """A vocabulary as arrays: per n the sorted hashes of its grams with their index, and the idf by index."""
+
+    def __init__(self, rows: list, spec: Spec) -> None:
+        """``rows`` with ngram, idf and i, i counting from 0."""
+        self.spec = spec
+        self.idf = np.zeros(len(rows))
+        by_n: dict[int, list] = {}
+        for r in rows:
+            self.idf[r.i] = r.idf
+            by_n.setdefault(len(r.ngram), []).append(r)
+        self.lookup = {}
+        for n, same in by_n.items():
+            h, _ = _gram_hashes([r.ngram for r in same], n)
+            order = np.argsort(h)
+            self.lookup[n] = h[order], np.array([r.i for r in same])[order]
+
+    def arrays(self) -> tuple:
+        return self.lookup, self.idf, self.spec.sublinear
+
+
+def _weigh(texts: list[str], table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(record, index, weight)`` of unit length per record, sorted by record and index."""
+    lookup, idf, sublinear = table
+    keys = []
+    for n, (hashes, index) in lookup.items():
+        h, record = _gram_hashes(texts, n)
+        at = np.searchsorted(hashes, h).clip(max=len(hashes) - 1)
+        hit = hashes[at] == h
+        keys.append(record[hit] * len(idf) + index[at[hit]])
+    key, tf = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+    record, i = key // max(len(idf), 1), key % max(len(idf), 1)
+    w = (1 + np.log(tf) if sublinear else tf.astype(float)) * idf[i]
+    norm = np.sqrt(np.bincount(record, w * w, minlength=len(texts)))
+    return record, i, w / norm[record]
+
+
+#: Texts weighed at once.
+_RECORDS = 4096
+
+
+def _mapped(df: DataFrame, ident: str, text: str, vocab: DataFrame, spec: Spec, schema, make) -> DataFrame:
+    """One pass over ``df`` in Arrow batches: ``make(ids, texts, table)`` gives a record batch. The vocabulary, bounded by
+    ``max_features``, is broadcast as arrays; nothing is shuffled."""
+    index = vocab if "i" in vocab.columns else numbered(vocab)
+    shared = df.sparkSession.sparkContext.broadcast(Table(index.select("ngram", "idf", "i").collect(), spec).arrays())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, _RECORDS):
+                part = batch.slice(s, _RECORDS)
+                yield make(part.column("id"), part.column("t").to_pylist(), shared.value)
+
+    rows = widened(df.select(F.col(ident).alias("id"), F.col(text).alias("t"))).select("id", model_input(F.col("t"), spec).alias("t"))
+    return rows.mapInArrow(run, schema)
+
+
+def numbered(vocab: DataFrame) -> DataFrame:
+    """``vocab`` with ``i`` from 0 in order of grams; it is bounded by ``max_features``, so one task may number it."""
+    from pyspark.sql import Window
+
+    return vocab.withColumn("i", F.row_number().over(Window.orderBy("ngram")) - 1)
+
+
+def weights(df: DataFrame, ident: str, text: str, vocab: DataFrame, spec: Spec) -> DataFrame:
+    """``(id, i, weight)`` of every record's grams in the vocabulary (which has ``i``), of unit length per record."""
+
+    def make(ids: pa.Array, texts: list[str], table: tuple) -> pa.RecordBatch:
+        record, i, w = _weigh(texts, table)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(record)), pa.array(i), pa.array(w)], ["id", "i", "weight"])
+
+    kind = df.schema[ident].dataType.simpleString()
+    return _mapped(df, ident, text, vocab, spec, f"id {kind}, i long, weight double", make)
 
 
 class Model:
@@ -99,11 +195,21 @@ class Model:
         self.spec, self.vocab, self.coefficients, self.intercept = spec, vocab, coefficients, intercept
 
     def score(self, df: DataFrame, ident: str, text: str) -> DataFrame:
-        """``(id, score)``: probability of phishing. Rows without a known gram get that of the intercept."""
-        w = weights(term_frequencies(df, ident, text, self.spec), self.vocab, self.spec)
-        margin = w.join(self.coefficients, "ngram").groupBy("id").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("m"))
-        all_ = df.select(F.col(ident).alias("id")).join(margin, "id", "left")
-        return all_.select("id", (1.0 / (1.0 + F.exp(-(F.coalesce("m", F.lit(0.0)) + self.intercept)))).alias("score"))
+        """``(id, score)``: probability of phishing. Rows without a known gram get that of the intercept. One pass without a shuffle."""
+        index = materialize(numbered(self.vocab).join(F.broadcast(self.coefficients), "ngram"))
+        size = index.count()
+        coefficients = np.zeros(size)
+        for r in index.select("i", "coefficient").collect():
+            coefficients[r.i] = r.coefficient
+        shared, intercept = df.sparkSession.sparkContext.broadcast(coefficients), self.intercept
+
+        def make(ids: pa.Array, texts: list[str], table: tuple) -> pa.RecordBatch:
+            record, i, w = _weigh(texts, table)
+            m = np.bincount(record, w * shared.value[i], minlength=len(texts)) + intercept
+            return pa.RecordBatch.from_arrays([ids, pa.array(1 / (1 + np.exp(-m)))], ["id", "score"])
+
+        kind = df.schema[ident].dataType.simpleString()
+        return _mapped(df, ident, text, index, self.spec, f"id {kind}, score double", make)
 
     def top_ngrams(self, n: int = 50) -> DataFrame:
         """``(direction, rank_no, ngram, coefficient)``: the ``n`` largest and the ``n`` smallest coefficients, ties by gram."""
@@ -133,17 +239,24 @@ class Model:
         return Model(Spec(**meta["spec"]), spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/coefficients"), meta["intercept"])
 
 
-def vectors(w: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """``(id, features)``: sparse vectors with a constant one in the last place."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+def vectors(df: DataFrame, ident: str, text: str, vocab: DataFrame, spec: Spec, size: int) -> DataFrame:
+    """``(id, features)``: sparse vectors of ``size`` weights and a constant one in the last place."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
-    @F.udf(VectorUDT())
-    def to_vector(pairs):
-        pairs = sorted((p.i, p.weight) for p in pairs)
-        return SparseVector(size + 1, [i for i, _ in pairs] + [size], [v for _, v in pairs] + [1.0])
+    def make(ids: pa.Array, texts: list[str], table: tuple) -> pa.RecordBatch:
+        record, i, w = _weigh(texts, table)
+        n = len(texts)
+        at = np.append(np.searchsorted(record, np.arange(n)), len(record))[1:]  # the constant follows each record's weights
+        offsets = pa.array(np.append(0, at + np.arange(1, n + 1)), pa.int32())
+        indices = pa.ListArray.from_arrays(offsets, pa.array(np.insert(i, at, size), pa.int32()))
+        values = pa.ListArray.from_arrays(offsets, pa.array(np.insert(w, at, 1.0)))
+        kind, width = pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size + 1, np.int32))
+        vector = pa.StructArray.from_arrays([kind, width, indices, values], ["type", "size", "indices", "values"])
+        return pa.RecordBatch.from_arrays([ids, vector], ["id", "features"])
 
-    x = w.join(index.select("ngram", "i"), "ngram").groupBy("id").agg(F.collect_list(F.struct("i", "weight")).alias("pairs"))
-    return x.select("id", to_vector("pairs").alias("features"))
+    schema = StructType([StructField("id", df.schema[ident].dataType), StructField("features", VectorUDT())])
+    return _mapped(df, ident, text, vocab, spec, schema, make)
 
 
 def fit(df: DataFrame, ident: str, text: str, target: str, spec: Spec) -> Model:
@@ -156,16 +269,13 @@ def fit(df: DataFrame, ident: str, text: str, target: str, spec: Spec) -> Model:
 
 
 def _vectorised(df: DataFrame, ident: str, text: str, spec: Spec) -> tuple[DataFrame, DataFrame, int]:
-    tf = materialize(term_frequencies(df, ident, text, spec))
+    tf = term_frequencies(df, ident, text, spec)
     vocab = materialize(vocabulary(tf, df.count(), spec))
     size = vocab.count()
     if not size:
         raise ValueError("no gram occurs in enough records")
-    # The vocabulary is bounded by max_features, so one task may number it.
-    from pyspark.sql import Window
-
-    index = materialize(vocab.withColumn("i", F.row_number().over(Window.orderBy("ngram")) - 1))
-    return materialize(vectors(weights(tf, index, spec), index, size)), index, size
+    index = materialize(numbered(vocab))
+    return materialize(vectors(df, ident, text, index, spec, size)), index, size
 
 
 def _fit(vec: DataFrame, df: DataFrame, ident: str, target: str, spec: Spec, index: DataFrame, size: int) -> Model:
@@ -181,7 +291,7 @@ def _fit(vec: DataFrame, df: DataFrame, ident: str, target: str, spec: Spec, ind
     dummy = df.sparkSession.createDataFrame([(SparseVector(size + 1, {}), 0.0, 1.0)], rows.schema)
     total = n0 * w0 + n1 * w1 + 1.0
     lr = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False, standardization=False, regParam=1.0 / (spec.c * total), elasticNetParam=0.0, family="binomial", maxIter=spec.max_iter, tol=1e-8
+        featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False, standardization=False, regParam=1.0 / (spec.c * total), elasticNetParam=0.0, family="binomial", maxIter=spec.max_iter, tol=1e-6
     )
     coefficients = lr.fit(rows.union(dummy)).coefficients.toArray()
     values = df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(coefficients[:size])], "i int, coefficient double")

@@ -17,7 +17,7 @@ from ..functions.suffix import registered_domain
 from ..functions.urls import protocol_only_score, with_features, with_parts
 from ..operators import audit, metrics, splits, textmodel
 from ..operators.prepare import prepare
-from ..operators.shared import materialize
+from ..operators.shared import materialize, widened
 from ..session import session
 from ..sources import raw
 
@@ -27,7 +27,7 @@ COSTS = metrics.Costs()
 def rule_scored(df: DataFrame, url: str = "url_model_input") -> DataFrame:
     """``df`` with the features and the rule score of its URLs."""
     p = "__domain_parts"
-    x = with_parts(df, url, p).withColumn("__domain", registered_domain(df.sparkSession, F.col(f"{p}.host")))
+    x = with_parts(widened(df), url, p).withColumn("__domain", registered_domain(df.sparkSession, F.col(f"{p}.host")))
     return with_features(x.drop(p), url, F.col("__domain")).withColumn("score", rules.score()).drop("__domain")
 
 

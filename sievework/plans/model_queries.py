@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import splits, textmodel
-from ..operators.shared import materialize
 from ..session import table
 from .url_queries import _strip
 
@@ -49,9 +48,9 @@ def ngram_vocabulary(spark, sf_dir):
 
 def tfidf_weights(spark, sf_dir):
     """Per record: number of weighted grams, their sum and the largest weight."""
-    tf = materialize(_tf(spark, sf_dir))
-    vocab = textmodel.vocabulary(tf, _urls(spark, sf_dir).count(), SPEC)
-    w = textmodel.weights(tf, vocab, SPEC)
+    urls = _urls(spark, sf_dir)
+    vocab = textmodel.numbered(textmodel.vocabulary(_tf(spark, sf_dir), urls.count(), SPEC))
+    w = textmodel.weights(urls, "url_id", "url_model_input", vocab, SPEC)
     return w.groupBy(F.col("id").alias("url_id")).agg(F.count(F.lit(1)).alias("n_grams"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
 
 
