@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import materialize
+from ..operators.shared import materialize, widened
 from ..operators.skew import spread_join
 from ..session import table
 from . import postings
@@ -112,7 +112,7 @@ def _candidates(docs: DataFrame, copies: DataFrame, rows: int, least: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(blobs, pa.binary())], ["ident", "blob"])
 
     later = copies.where("ident <> rep").select("ident")
-    blocks = materialize(docs.mapInArrow(index, "ident long, blob binary").join(later, "ident", "left_anti"))
+    blocks = materialize(widened(docs).mapInArrow(index, "ident long, blob binary").join(later, "ident", "left_anti"))
 
     def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.concatenate([postings.unpack(b.as_py(), _DTYPE) for b in batch.column("blob")])

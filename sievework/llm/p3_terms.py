@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import widened
 from ..session import table
 from .grams import code_points, runs
 from .texts import model_text
@@ -155,7 +156,7 @@ def marked_terms(df: DataFrame, text: str, named: DataFrame, term: str, *, n: in
     rows of ``df`` (a null text is a row without terms), else null. Null and repeated named terms count once or not at
     all; the empty term is passed over. With an empty ``df`` only the named terms remain, all rare.
     """
-    texts = df.select(model_text(F.col(text)).alias("text"))
+    texts = widened(df.select(text)).select(model_text(F.col(text)).alias("text"))
     names = named.select(F.col(term).alias("ngram")).where("ngram is not null and ngram <> ''").distinct()
     others = term_counts(texts, names.where(F.length("ngram") != n))
     counted = ngram_counts(texts, n) if others is None else ngram_counts(texts, n).unionByName(others)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import widened
 from ..session import table
 from .grams import runs
 
@@ -155,7 +156,7 @@ def leaked_passages(docs: DataFrame, ident: str, text: str, items: DataFrame, it
     whole. Repeated rows of a document or item count once in the result, with the largest values. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("text")).where("ident is not null and text is not null")
+    slim = widened(docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("text")).where("ident is not null and text is not null"))
     stated = items.select(F.col(item).cast("long").alias("i"), F.col(passage).alias("t")).where("i is not null and t is not null")
     blocks = max(1, -(-(stated.agg(F.sum(F.length("t"))).first()[0] or 0) // (QUERY_WORDS * 4)))
     schema = "doc_id long, item_id long, longest int, passages int, covered int, item_words int"
