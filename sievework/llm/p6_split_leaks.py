@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shared import materialize
+from ..operators.skew import heavy_keys
 from ..session import table
 from . import postings
 from .grams import RECORDS, at_least, mix, needed_overlap, runs, windows
 from .p5_near_duplicates import verified
-from .texts import fold_copies, model_text
+from .texts import BLOCK, dealt, every_block, fold_copies, meet, model_text
 
 #: Minwise hashes per band, and bands: a pair at similarity 0.7 shares no band with probability 1.5e-4, one at 0.8 with 5e-8.
 BAND_ROWS, BANDS = 4, 32
@@ -92,18 +93,22 @@ def split_leaks(df: DataFrame, ident: str, key: str, text: str, split: str, *, t
     side = F.when(F.col(split).eqNullSafe(train), TRAIN).otherwise(OTHER)
     rows = df.where(F.col(ident).isNotNull())
     sides = rows.select(F.col(ident).alias("ident"), F.col(key).alias("k"), side.alias("side")).where("k is not null")
-    t = sides.where(F.col("side") == TRAIN).select("k", F.col("ident").alias("train_id"))
-    o = sides.where(F.col("side") == OTHER).select("k", F.col("ident").alias("other_id"))
-    exact = t.join(o, "k").select("train_id", "other_id", F.lit(True).alias("exact"))
+    # Heavy keys, of which there are few, are paired block by block.
+    heavy = heavy_keys(sides, F.col("k")).select(F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    sides = sides.join(F.broadcast(heavy), "k", "left")
+    t = every_block(sides.where(F.col("side") == TRAIN)).select("k", "block", F.col("ident").alias("train_id"))
+    block = F.pmod(F.xxhash64("ident"), F.coalesce("blocks", F.lit(1))).alias("block")
+    o = sides.where(F.col("side") == OTHER).select("k", block, F.col("ident").alias("other_id"))
+    exact = t.join(o, ["k", "block"]).select("train_id", "other_id", F.lit(True).alias("exact"))
 
     members = fold_copies(rows, ident, F.lower(model_text(F.col(text))), side.alias("at"), facts={"side": F.bit_or("at")})
     classes = members.where("text is not null").select("rep", "text", F.col("side").cast("tinyint").alias("side"))
     pairs = materialize(cross_split_pairs(classes, q, threshold))
     both = members.where(F.col("side") == TRAIN | OTHER).select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
     links = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(both)
-    left = members.where(F.col("at") == TRAIN).select(F.col("rep").alias("a"), F.col("ident").alias("train_id"))
-    right = members.where(F.col("at") == OTHER).select(F.col("rep").alias("b"), F.col("ident").alias("other_id"))
-    near = links.join(left, "a").join(right, "b").select("train_id", "other_id", F.lit(False).alias("exact"))
+    parts = dealt(members.select("rep", "n", "ident", "at"))
+    near = meet(meet(links, "a", parts.where(F.col("at") == TRAIN), "train_id"), "b", parts.where(F.col("at") == OTHER), "other_id")
+    near = near.select("train_id", "other_id", F.lit(False).alias("exact"))
     return exact.union(near).groupBy("train_id", "other_id").agg(F.max("exact").alias("exact"))
 
 

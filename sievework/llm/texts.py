@@ -36,18 +36,45 @@ def fold_copies(df: DataFrame, ident: str, text: Column, *carry: Column, facts:
     return materialize(joined.select("rep", "n", "ident", F.when(F.col("ident") == F.col("rep"), F.col("text")).alias("text"), *kept, *facts))
 
 
+#: Members of a class that one task pairs with all it meets; larger classes are dealt into blocks.
+BLOCK = 5_000
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` (``rep``, ``n``, ``ident``, ...) with ``blocks`` of their class and the ``block`` each belongs to."""
+    x = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    return x.withColumn("block", F.pmod(F.xxhash64("ident"), F.col("blocks")))
+
+
+def every_block(df: DataFrame) -> DataFrame:
+    """``df`` once for each of its ``blocks``, with ``block``; a null ``blocks`` counts as one."""
+    return df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1)))
+
+
+def meet(links: DataFrame, side: str, members: DataFrame, name: str, *, singles: bool = False) -> DataFrame:
+    """``links`` with the class in ``side`` replaced by each of its ``members`` (dealt), as ``name``.
+
+    A class of many members meets its links in as many tasks as it has blocks. With ``singles``, a class without
+    members listed stands for itself.
+    """
+    sizes = members.select(F.col("rep").alias(side), "blocks").distinct()
+    spread = every_block(links.join(sizes, side, "left" if singles else "inner"))
+    to = members.select(F.col("rep").alias(side), "block", F.col("ident").alias(name))
+    out = spread.join(to, [side, "block"], "left" if singles else "inner")
+    if singles:
+        out = out.where(F.col("blocks").isNull() | F.col(name).isNotNull()).withColumn(name, F.coalesce(name, side))
+    return out.drop("blocks", "block", side)
+
+
 def expand_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
     """All pairs of rows ``(a, b)``, smaller ident first, behind ``pairs`` ``(a, b)`` of classes and inside each class.
 
     Written out in full, as a report of cases needs it; the classes themselves are the compact form.
     """
-    repeated = members.where("n > 1").select("rep", "ident")
-    inside = repeated.select("rep", F.col("ident").alias("x")).join(repeated.select("rep", F.col("ident").alias("y")), "rep").where("x < y").select("x", "y")
-
-    def widen(d: DataFrame, side: str) -> DataFrame:
-        to = repeated.select(F.col("rep").alias(side), F.col("ident").alias("__ident"))
-        return d.join(to, side, "left").withColumn(side, F.coalesce("__ident", side)).drop("__ident")
-
-    across = widen(widen(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), "x"), "y")
+    repeated = dealt(members.where("n > 1").select("rep", "n", "ident"))
+    left = repeated.select("rep", "block", F.col("ident").alias("x"))
+    right = every_block(repeated.select("rep", "blocks", F.col("ident").alias("y"))).drop("blocks")
+    inside = left.join(right, ["rep", "block"]).where("x < y").select("x", "y")
+    across = meet(meet(pairs.select(F.col("a").alias("p"), F.col("b").alias("q")), "p", repeated, "x", singles=True), "q", repeated, "y", singles=True)
     across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return inside.union(across).select(F.col("x").alias(a), F.col("y").alias(b))
