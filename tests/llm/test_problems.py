@@ -28,6 +28,7 @@ from sievework.llm import (  # noqa: E402
     p10_shared_spans,
     postings,
 )
+from sievework.llm import texts as texts_module  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
@@ -165,7 +166,9 @@ def messy():
     return hot(url_like(150, 1)) + [None, "", "", "abc", "ABC", "www.abc", "abcd", "é" * 9, "x" * 30_000, "x" * 30_001 + "y", "  http://WWW.host.test/abcdefgh ", "host.test/abcdefgh"]
 
 
-def test_near_duplicates(spark, messy, monkeypatch):
+@pytest.mark.parametrize("block", [5_000, 10])
+def test_near_duplicates(spark, messy, monkeypatch, block):
+    monkeypatch.setattr(texts_module, "BLOCK", block)
     df = frame(spark, messy)
     want = gram_pairs(messy)
     found, members = p5_near_duplicates.near_duplicates(df, "url_id", "body")
@@ -197,7 +200,10 @@ def test_blocks_of_hot_lists_lose_nothing(spark, monkeypatch):
     assert seen[0] > 0
 
 
-def test_split_leaks(spark, messy):
+@pytest.mark.parametrize("block", [5_000, 10])
+def test_split_leaks(spark, messy, monkeypatch, block):
+    monkeypatch.setattr(texts_module, "BLOCK", block)
+    monkeypatch.setattr(p6_split_leaks, "BLOCK", block)
     n = len(messy)
     split = [("train", "validation", "test", None)[i * 7 % 4] for i in range(n)]
     key = [f"k{i % 40}" if i % 9 else None for i in range(n)]
