@@ -57,6 +57,7 @@ def widened(df: DataFrame) -> DataFrame:
     """``df`` with at least as many partitions as there are cores, for work that costs far more than moving its rows.
 
     A small table in one file is one task otherwise. Tables with enough partitions, as any large one, are left alone.
+    Meant for scans: the number of partitions behind a shuffle is known only by running it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -94,8 +94,14 @@ def hashed_splits(df: DataFrame, *, group: str = "split_group", target: str = "t
 
     g = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) == 1).alias("n1"))
     x = g.select("g", "n", (F.col("n1") * 2 > F.col("n")).cast("int").alias("cls"), F.sha2(F.concat(F.lit(seed), F.coalesce("g", F.lit(""))), 256).alias("h"))
-    w = Window.partitionBy("cls").orderBy(F.desc("n"), "h")
-    return x.select("g", ((F.row_number().over(w) - 1) % FOLDS).alias("fold")).select("g", "fold", split_name(F.col("fold")).alias("split"))
+    # Ranks in that order without a task per class: by (size, first digits of the hash), which sort like the whole order.
+    x = x.withColumn("d", F.substring("h", 1, 3))
+    sizes = x.groupBy("cls", "n", "d").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy("cls").orderBy(F.desc("n"), "d").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("cls", "n", "d", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("cls", "n", "d").orderBy("h")
+    ranked = x.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["cls", "n", "d"])
+    return ranked.select("g", ((F.col("start") + F.col("at")) % FOLDS).cast("int").alias("fold")).select("g", "fold", split_name(F.col("fold")).alias("split"))
 
 
 def split_summary(df: DataFrame) -> DataFrame:
