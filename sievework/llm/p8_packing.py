@@ -25,15 +25,17 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     """Packing patterns (lengths in order of placing) with their number.
 
     Lengths are placed longest first, all their items at once: into the open patterns with the most space left, that is
-    the shortest packs, splitting a pattern's count where only some of its packs receive the item, and into new
-    packs where no pattern has space. Patterns are kept by the space they have left, so the work depends on the number of different
-    lengths, not of items.
+    the shortest packs, splitting a pattern's count where only some of its packs receive the item. Where no pattern has
+    space, new packs are opened, but no more than the volume of the items still to come needs beyond the space that is
+    open, so that items of one length share packs when nothing shorter would fill them. Patterns are kept by the
+    space they have left, so the work depends on the number of different lengths, not of items.
     """
+    if any(not 0 < n <= capacity for n in histogram):
+        raise ValueError("lengths must lie between 1 and the capacity")
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    volume, space_open = sum(n * m for n, m in histogram.items()), 0
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        if not 0 < length <= capacity:
-            raise ValueError("lengths must lie between 1 and the capacity")
         while left:
             space = max(open_, default=0)
             if space >= length:
@@ -42,13 +44,16 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 if not stack:
                     del open_[space]
             else:
-                # So many items of this length fill a new pack at most; all but the last pack are filled evenly.
-                pattern, count, space = (), left, capacity
+                count = min(left, max(1, -(-(volume - space_open) // capacity)))
+                pattern, space = (), capacity
+                space_open += count * capacity
             used = min(count, left)
             if used < count:
                 open_.setdefault(space, []).append((pattern, count - used))
             open_.setdefault(space - length, []).append(((*pattern, length), used))
             left -= used
+            volume -= used * length
+            space_open -= used * length
     return [x for stack in open_.values() for x in stack]
 
 
