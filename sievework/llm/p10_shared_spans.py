@@ -244,3 +244,10 @@ def shared_spans(df: DataFrame, ident: str, text: str, *, least: int = LEAST) ->
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+ORACLE = {
+    "p10_found": f"""with stretches as (select distinct doc_id, hash(substr(text, i, {LEAST})) as h from (select doc_id, text, unnest(generate_series(1, length(text) - {LEAST - 1})) as i from documents where text is not null)),
+    met as (select list(doc_id order by doc_id) as ids from stretches group by h having count(*) > 1), different as (select distinct ids from met)
+    select distinct a as doc_id_a, b as doc_id_b from (select unnest(ids) as a, ids from different), unnest(ids) as t(b) where a < b"""
+}

@@ -153,3 +153,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "prepared_urls"), "url_id", "url_model_input")
+
+
+#: CTEs ending in ``near``: the same pairs by prefix filtering in SQL.
+NEAR_SQL = r"""
+texts as (select url_id, lower(regexp_replace(regexp_replace(regexp_replace(url_model_input, '^[\s\p{Z}\x1c-\x1f\x{85}]+|[\s\p{Z}\x1c-\x1f\x{85}]+$', '', 'g'), '^(?i:https?://)', ''), '^(?i:www\.)', '')) as t from prepared_urls where url_model_input is not null),
+grams as (select distinct url_id, substr(t, i, 4) as g from (select url_id, t, unnest(generate_series(1, length(t) - 3)) as i from texts)),
+seen as (select g, count(*) as df from grams group by 1),
+ranked as (select url_id, g, row_number() over (partition by url_id order by df, g) as rk, count(*) over (partition by url_id) as n from grams join seen using (g)),
+prefix as (select * from ranked where rk <= n - ceil(0.7 * n - 1e-9) + 1),
+candidates as (select distinct x.url_id as a, y.url_id as b from prefix x join prefix y on x.g = y.g and x.url_id < y.url_id where least(x.n, y.n) >= 0.7 * greatest(x.n, y.n) - 1e-9),
+sets as (select url_id, list(g) as s from grams group by 1),
+measured as (select a, b, len(list_intersect(x.s, y.s)) as common, len(x.s) + len(y.s) as sizes from candidates join sets x on x.url_id = a join sets y on y.url_id = b),
+near as (select a, b from measured where 10 * common >= 7 * (sizes - common) union select x.url_id, y.url_id from texts x join texts y on x.t = y.t and x.url_id < y.url_id)
+"""
+ORACLE = {"p5_found": f"with {NEAR_SQL} select a as url_id_a, b as url_id_b from near"}

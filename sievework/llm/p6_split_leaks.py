@@ -14,7 +14,7 @@ from ..operators.skew import heavy_keys
 from ..session import table
 from . import postings
 from .grams import RECORDS, at_least, mix, needed_overlap, runs, windows
-from .p5_near_duplicates import verified
+from .p5_near_duplicates import NEAR_SQL, verified
 from .texts import BLOCK, dealt, every_block, fold_copies, meet, model_text
 
 #: Minwise hashes per band, and bands: a pair at similarity 0.7 shares no band with probability 1.5e-4, one at 0.8 with 5e-8.
@@ -125,3 +125,14 @@ def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.select("url_id", "split", "feed").join(per, "url_id").groupBy("split", "feed").agg(
         F.count_if("exact").alias("exact_records"), F.count_if(~F.col("exact")).alias("near_records"), F.sum("pairs").alias("pairs")
     )
+
+
+_SQL = f"""with {NEAR_SQL}, same as (select x.url_id as a, y.url_id as b from prepared_urls x join prepared_urls y on x.url_dedupe_key = y.url_dedupe_key and x.url_id < y.url_id),
+met as (select a, b, max(exact) as exact from (select a, b, 1 as exact from same union all select a, b, 0 from near) group by 1, 2),
+leaks as (select a, b, exact, case when coalesce(x.split, '') = 'train' then b else a end as other_id from met join prepared_urls x on x.url_id = a join prepared_urls y on y.url_id = b
+  where (coalesce(x.split, '') = 'train') <> (coalesce(y.split, '') = 'train'))
+"""
+ORACLE = {
+    "p6_found": _SQL + "select a as url_id_a, b as url_id_b from leaks",
+    "p6_overlaps": _SQL + ", per as (select other_id, max(exact) as exact, count(*) as pairs from leaks group by 1) select split, feed, count(*) filter (exact = 1) as exact_records, count(*) filter (exact = 0) as near_records, cast(sum(pairs) as bigint) as pairs from per join prepared_urls on url_id = other_id group by 1, 2",
+}

@@ -202,3 +202,11 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that leaked: in how many documents, and the largest share of their words found in one."""
     share = (F.col("covered") / F.col("item_words")).alias("share")
     return _leaks(spark, sf_dir).select("item_id", share).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("share"), 6).alias("largest_share"))
+
+
+_WORDS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w))"
+_WINDOWS = "select id, w[i : i + 11] as g from (select id, w, unnest(generate_series(1, len(w) - 11)) as i from {0})"
+ORACLE = {
+    "p9_found": f"with d as (select doc_id as id, {_WORDS} as w from documents where text is not null), e as (select item_id as id, {_WORDS} as w from eval_items where text is not null), "
+    f"x as ({_WINDOWS.format('d')}), y as ({_WINDOWS.format('e')}) select distinct x.id as doc_id, y.id as item_id from x join y using (g)"
+}
