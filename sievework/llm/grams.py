@@ -54,23 +54,9 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
-def needed_overlap(sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """The least overlap of two sets whose sizes add up to ``sizes`` and whose Jaccard similarity is ``threshold``."""
-    return np.ceil(threshold / (1 + threshold) * sizes - 1e-9).astype(np.int64)
-
-
-def jaccard(a: str, b: str, q: int) -> float:
-    """Exact Jaccard similarity of the sets of ``q``-character substrings; equal texts have 1."""
-    if a == b:
-        return 1.0
-    x = {a[i : i + q] for i in range(len(a) - q + 1)}
-    y = {b[i : i + q] for i in range(len(b) - q + 1)}
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if both else 0.0
-
-
 def at_least(a: str, b: str, q: int, threshold: float) -> bool:
-    """Whether ``jaccard`` reaches ``threshold``, in whole numbers so that the bound itself counts."""
+    """Whether the Jaccard similarity of the sets of ``q``-character substrings reaches ``threshold``, in whole numbers so
+    that the bound itself counts; equal texts have similarity 1."""
     if a == b:
         return True
     x = {a[i : i + q] for i in range(len(a) - q + 1)}

@@ -117,13 +117,13 @@ def _candidates(docs: DataFrame, copies: DataFrame, rows: int, least: int) -> Da
     def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.concatenate([postings.unpack(b.as_py(), _DTYPE) for b in batch.column("blob")])
 
-    def keep(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return x["id"] != y["id"]
+    def keep(p: postings.Pairs) -> None:
+        pass
 
-    def out(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        swap = x["id"] > y["id"]
-        a, b = np.where(swap, y, x), np.where(swap, x, y)
-        return [a["id"], b["id"], a["at"].astype(np.int64), b["at"].astype(np.int64)]
+    def out(p: postings.Pairs) -> list[np.ndarray]:
+        (x, y), (at_x, at_y) = p.get("id"), p.get("at")
+        swap = x > y
+        return [np.where(swap, y, x), np.where(swap, x, y), np.where(swap, at_y, at_x).astype(np.int64), np.where(swap, at_x, at_y).astype(np.int64)]
 
     parts = max(12, rows * 32 // postings.PART)
     lists = postings.build(blocks, make, parts, postings.hot_tokens(blocks, make, rows=rows * 32))

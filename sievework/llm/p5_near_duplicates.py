@@ -22,7 +22,7 @@ from ..operators.components import components
 from ..operators.shared import materialize
 from ..session import table
 from . import postings
-from .grams import RECORDS, at_least, mix, needed_overlap, runs, windows
+from .grams import RECORDS, at_least, mix, runs, windows
 from .texts import expand_pairs, fold_copies, model_text
 
 #: log2 of the number of counters for gram frequencies; it bounds what is broadcast (1 MB) and does not grow with the data.
@@ -87,23 +87,23 @@ def near_pairs(classes: DataFrame, q: int, threshold: float) -> DataFrame:
                 out[f] = sketch[r, k]
             yield out
 
-    def keep(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        m, n = x["size"].astype(np.int64), y["size"].astype(np.int64)
-        need = needed_overlap(m + n, threshold)
-        possible = np.minimum(m - x["rank"], n - y["rank"])  # if this is the first gram they share
-        return (x["id"] != y["id"]) & (possible >= need) & ~postings.far_apart(x, y, m + n - 2 * need, _SKETCH)
+    def keep(p: postings.Pairs) -> None:
+        m, n = p.get("size")
+        x, y = p.get("rank")
+        need = postings.least_overlap(m.astype(np.int64) + n, threshold)
+        p.narrow(np.minimum(m - x, n - y) >= need)  # as many can match if this is the first gram they share
+        m, n = p.get("size")
+        both = m.astype(np.int64) + n
+        postings.within(p, both - 2 * postings.least_overlap(both, threshold), _SKETCH)
 
-    def stop(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return x["size"] < threshold * y["size"] - 1e-9
-
-    def out(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        ab = np.unique(np.stack([np.minimum(x["id"], y["id"]), np.maximum(x["id"], y["id"])]), axis=1)
-        return [ab[0], ab[1]]
+    def stop(p: postings.Pairs) -> np.ndarray:
+        m, n = p.get("size")
+        return m < threshold * n - 1e-9
 
     slim = classes.select("rep", "text")
     parts = max(12, rows * 26 // postings.PART)
     lists = postings.build(slim, make, parts, postings.hot_tokens(slim, make, rows=rows))
-    found = postings.join(lists, _DTYPE, keep, out, "a long,b long", order="size", stop=stop)
+    found = postings.join(lists, _DTYPE, keep, postings.distinct_ids, "a long,b long", order="size", stop=stop)
     return verified(materialize(found.distinct()), classes, lambda x, y: at_least(x, y, q, threshold))
 
 

@@ -13,7 +13,7 @@ from ..operators.shared import materialize
 from ..operators.skew import heavy_keys
 from ..session import table
 from . import postings
-from .grams import RECORDS, at_least, mix, needed_overlap, runs, windows
+from .grams import RECORDS, at_least, mix, runs, windows
 from .p5_near_duplicates import NEAR_SQL, verified
 from .texts import BLOCK, dealt, every_block, fold_copies, meet, model_text
 
@@ -63,22 +63,20 @@ def cross_split_pairs(classes: DataFrame, q: int, threshold: float) -> DataFrame
     def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         return band_postings(batch, q, BANDS, BAND_ROWS)
 
-    def keep(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        across = ((x["side"] & TRAIN > 0) & (y["side"] & OTHER > 0)) | ((x["side"] & OTHER > 0) & (y["side"] & TRAIN > 0))
-        m, n = x["size"].astype(np.int64), y["size"].astype(np.int64)
-        need = needed_overlap(m + n, threshold)
-        return across & (x["id"] != y["id"]) & (np.minimum(m, n) >= need) & ~postings.far_apart(x, y, m + n - 2 * need, _SKETCH)
+    def keep(p: postings.Pairs) -> None:
+        x, y = p.get("side")
+        p.narrow((x | y) == TRAIN | OTHER)  # one has a train record, one another
+        m, n = p.get("size")
+        both = m.astype(np.int64) + n
+        postings.within(p, both - 2 * postings.least_overlap(both, threshold), _SKETCH)
 
-    def stop(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return x["size"] < threshold * y["size"] - 1e-9
-
-    def out(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        ab = np.unique(np.stack([np.minimum(x["id"], y["id"]), np.maximum(x["id"], y["id"])]), axis=1)
-        return [ab[0], ab[1]]
+    def stop(p: postings.Pairs) -> np.ndarray:
+        m, n = p.get("size")
+        return m < threshold * n - 1e-9
 
     parts = max(12, rows * BANDS // postings.PART)
     lists = postings.build(slim, make, parts, postings.hot_tokens(slim, make, rows=rows))
-    found = postings.join(lists, _DTYPE, keep, out, "a long,b long", order="size", stop=stop)
+    found = postings.join(lists, _DTYPE, keep, postings.distinct_ids, "a long,b long", order="size", stop=stop)
     return verified(materialize(found.distinct()), classes, lambda x, y: at_least(x, y, q, threshold))
 
 

@@ -119,10 +119,23 @@ def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
     return lists.repartition(parts, "part", "lo", "hi"), hot
 
 
-def join(lists: tuple[DataFrame, Hot], dtype: np.dtype, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], out: Callable, schema: str, *, order: str | None = None, stop: Callable | None = None) -> DataFrame:
-    """Pairs of postings with one token, as far as ``keep(x, y)`` admits them, turned into Arrow columns by ``out(x, y)``.
+class Pairs:
+    """Pairs of postings ``(i, j)`` of one part, narrowed step by step; fields are read for the pairs still there."""
 
-    Within a list postings are sorted by the field ``order``; where ``stop(x, y)`` holds for a posting and one that
+    def __init__(self, fields: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
+        self.fields, self.i, self.j = fields, i, j
+
+    def get(self, f: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.fields[f][self.i], self.fields[f][self.j]
+
+    def narrow(self, m: np.ndarray) -> None:
+        self.i, self.j = self.i[m], self.j[m]
+
+
+def join(lists: tuple[DataFrame, Hot], dtype: np.dtype, keep: Callable[[Pairs], None], out: Callable[[Pairs], list[np.ndarray]], schema: str, *, order: str | None = None, stop: Callable[[Pairs], np.ndarray] | None = None) -> DataFrame:
+    """Pairs of postings of different records with one token, narrowed by ``keep`` and turned into Arrow columns by ``out``.
+
+    Within a list postings are sorted by the field ``order``; where ``stop`` holds for a posting and one that
     follows, it holds for all later ones, and these are passed over. ``out`` gives a list of arrays; its rows are made
     distinct within a step, not across the result.
     """
@@ -137,21 +150,27 @@ def join(lists: tuple[DataFrame, Hot], dtype: np.dtype, keep: Callable[[np.ndarr
         starts = runs(a["t"])
         ends = np.repeat(np.append(starts[1:], len(a)), np.diff(np.append(starts, len(a))))
         i = np.flatnonzero(ends - np.arange(len(a)) > 1)
-        block = _blocks(a, shared.value)[1] if lo != hi else None
+        fields = {f: np.ascontiguousarray(a[f]) for f in dtype.names}
+        if lo != hi:
+            fields["block"] = _blocks(a, shared.value)[1]
+        del a
         found: list[list[np.ndarray]] = []
         d = 1
         while len(i):
-            for s in range(0, len(i), 1 << 18):
-                x, y = a[i[s : s + (1 << 18)]], a[i[s : s + (1 << 18)] + d]
-                m = keep(x, y)
-                if block is not None:
-                    m &= block[i[s : s + (1 << 18)]] != block[i[s : s + (1 << 18)] + d]
-                if m.any():
-                    found.append(out(x[m], y[m]))
+            for s in range(0, len(i), 1 << 16):
+                p = Pairs(fields, i[s : s + (1 << 16)], i[s : s + (1 << 16)] + d)
+                if lo != hi:
+                    x, y = p.get("block")
+                    p.narrow(x != y)
+                keep(p)
+                x, y = p.get("id")
+                p.narrow(x != y)
+                if len(p.i):
+                    found.append(out(p))
             d += 1
             i = i[i + d < ends[i]]
             if stop is not None and len(i):
-                i = i[~stop(a[i], a[i + d])]
+                i = i[~stop(Pairs(fields, i, i + d))]
         cols = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64) for _ in names]
         return pa.table(cols, names=names).cast(_arrow(schema))
 
@@ -173,9 +192,23 @@ def parity(tokens: np.ndarray, record: np.ndarray, records: int, words: int) ->
     return np.packbits(odd.astype(np.uint8).reshape(records, width), axis=1).view(np.uint32).reshape(records, words)
 
 
-def far_apart(x: np.ndarray, y: np.ndarray, most: np.ndarray, fields: list[str]) -> np.ndarray:
-    """Whether the parity words of two postings differ in more than ``most`` bits."""
-    bits = np.zeros(len(x), np.int64)
+def within(pairs: Pairs, most: np.ndarray, fields: list[str]) -> None:
+    """Narrow ``pairs`` to those whose parity words differ in at most ``most`` bits."""
+    bits = np.zeros(len(pairs.i), np.uint8)
     for f in fields:
-        bits += np.bitwise_count(x[f] ^ y[f])
-    return bits > most
+        x, y = pairs.get(f)
+        bits += np.bitwise_count(x ^ y)
+    pairs.narrow(bits <= most)
+
+
+def least_overlap(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The least overlap of two sets whose sizes add up to ``sizes`` at Jaccard similarity ``threshold``, in whole numbers."""
+    p, q = round(threshold * 10_000), 10_000
+    return (p * sizes + (p + q - 1)) // (p + q)
+
+
+def distinct_ids(pairs: Pairs) -> list[np.ndarray]:
+    """The ids of both ends, smaller first, each pair once."""
+    x, y = pairs.get("id")
+    ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+    return [ab[0], ab[1]]
