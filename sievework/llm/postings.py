@@ -19,6 +19,8 @@ from .grams import mix, runs
 #: Postings that one part is meant to hold, and of one token from which on its list is cut in blocks of half as many.
 PART = 250_000
 BLOCK = 8_000
+#: Hot tokens that the layout knows of at most (2 MB to broadcast): the hottest; shorter lists are joined in one piece.
+HOT = 100_000
 Hot = tuple[np.ndarray, np.ndarray]
 _BUFFER = 1_500_000
 
@@ -36,7 +38,7 @@ def hot_tokens(df: DataFrame, make: Callable, *, rows: int, share: int = 64) ->
     """Tokens that seem to have over ``BLOCK`` postings, and blocks for each, told from one row in ``share``.
 
     It only steers how lists are cut into blocks, never what is joined: a list missed here is joined in one piece.
-    There are at most as many such tokens as all postings hold lists of that length; tables too small for one are not read.
+    At most ``HOT`` tokens are told, the hottest; tables too small for such a list are not read.
     """
     if rows <= BLOCK:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -50,7 +52,8 @@ def hot_tokens(df: DataFrame, make: Callable, *, rows: int, share: int = 64) ->
 
     sample = df.where(F.pmod(F.xxhash64(*[c for c in df.columns if c != "text"]), F.lit(share)) == 0)
     counts = sample.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = sorted((r.t & 0xFFFFFFFFFFFFFFFF, -(-2 * r.n * share // BLOCK)) for r in counts.collect())
+    hottest = counts.orderBy(F.desc("n"), "t").limit(HOT)
+    found = sorted((r.t & 0xFFFFFFFFFFFFFFFF, -(-2 * r.n * share // BLOCK)) for r in hottest.collect())
     return np.array([t for t, _ in found], np.uint64), np.array([max(2, n) for _, n in found], np.int64)
 
 
