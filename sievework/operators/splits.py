@@ -9,6 +9,7 @@ from .shared import materialize
 from .skew import rank_within, spread_join
 
 FOLDS = 5
+EXACT = 32
 REQUIRED = ("url_dedupe_key", "split_group", "target")
 
 
@@ -61,8 +62,10 @@ def assign_splits(df: DataFrame, *, group: str = "split_group", target: str = "t
         held[best][0] += r.n0
         held[best][1] += r.n1
         placed.append((r.g, best))
-    small = groups.where(F.col("n") <= cut).withColumn("kind", F.concat_ws("/", "n0", "n1")).withColumn("h", F.sha2(F.concat(F.lit(seed), "g"), 256))
-    kinds = small.groupBy("kind", "n0", "n1").agg(F.count(F.lit(1)).alias("m")).collect()  # at most cut * cut
+    # Counts up to EXACT are told apart, larger ones by steps of 2^(1/4), so there are a few thousand kinds at most.
+    coarse = lambda c: F.when(F.col(c) <= EXACT, F.col(c)).otherwise(EXACT + 1 + F.floor(F.log2(F.col(c) / EXACT) * 4)).cast("long")
+    small = groups.where(F.col("n") <= cut).withColumn("kind", F.concat_ws("/", coarse("n0"), coarse("n1"))).withColumn("h", F.sha2(F.concat(F.lit(seed), "g"), 256))
+    kinds = small.groupBy("kind").agg(F.count(F.lit(1)).alias("m"), F.avg("n0").alias("n0"), F.avg("n1").alias("n1")).collect()
     deals = []
     for r in sorted(kinds, key=lambda r: (-(r.n0 + r.n1), r.kind)):
         m, at = r.m, 0
