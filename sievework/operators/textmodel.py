@@ -27,7 +27,7 @@ class Spec:
     class_weight: str | None = None
     min_df: int = 3
     max_features: int = 250_000
-    scheme_neutral: bool = True
+    scheme_neutral: bool = False
     sublinear: bool = True
     max_iter: int = 1000
 
@@ -50,20 +50,22 @@ class Spec:
 
 
 def compact_candidates() -> list[Spec]:
+    """Seven candidates; the last two differ in ``scheme_neutral`` alone."""
     return [
-        Spec("char25_c10_bal_raw", 2, 5, 1.0, "balanced", scheme_neutral=False),
-        Spec("char35_c20_bal", 3, 5, 2.0, "balanced"),
-        Spec("char35_c10", 3, 5, 1.0),
         Spec("char35_c05", 3, 5, 0.5),
+        Spec("char35_c10", 3, 5, 1.0),
+        Spec("char35_c20_bal", 3, 5, 2.0, "balanced"),
         Spec("char36_c10", 3, 6, 1.0),
         Spec("char46_c10", 4, 6, 1.0),
-        Spec("char25_c10_bal_scheme_www_neutral", 2, 5, 1.0, "balanced"),
+        Spec("char25_c10_bal_raw", 2, 5, 1.0, "balanced"),
+        Spec("char25_c10_bal_scheme_www_neutral", 2, 5, 1.0, "balanced", scheme_neutral=True),
     ]
 
 
 def full_candidates() -> list[Spec]:
-    ranges, cs, weights = ((3, 5), (3, 6), (4, 6)), (0.5, 1.0, 2.0), (None, "balanced")
-    return [Spec(f"char{a}{b}_c{int(c * 10):02d}" + ("_bal" if w else ""), a, b, c, w) for a, b in ranges for c in cs for w in weights]
+    """The grid of three ranges, three strengths and two class weights, none scheme-neutral."""
+    ranges, cs, weights = ((3, 5), (3, 6), (2, 5)), (0.1, 1.0, 5.0), (None, "balanced")
+    return [Spec(f"char{a}{b}_c{c:g}_{w or 'none'}", a, b, c, w) for a, b in ranges for c in cs for w in weights]
 
 
 def model_input(text: Column, spec: Spec) -> Column:

@@ -9,8 +9,8 @@ from ..operators import splits, textmodel
 from ..session import table
 from .url_queries import _strip
 
-SPEC = textmodel.Spec("char34_c10_bal", 3, 4, 1.0, "balanced")
-SMALL = (textmodel.Spec("char33_c10", 3, 3, 1.0, max_features=20_000), textmodel.Spec("char33_c05_bal", 3, 3, 0.5, "balanced", max_features=20_000))
+SPEC = textmodel.Spec("char34_c10_bal", 3, 4, 1.0, "balanced", scheme_neutral=True)
+SMALL = (textmodel.Spec("char33_c10", 3, 3, 1.0, scheme_neutral=True, max_features=20_000), textmodel.Spec("char33_c05_bal", 3, 3, 0.5, "balanced", scheme_neutral=True, max_features=20_000))
 
 
 def _urls(spark, sf_dir) -> DataFrame:

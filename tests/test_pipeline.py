@@ -93,6 +93,21 @@ def test_spec():
             textmodel.Spec("x", **bad)
 
 
+def test_candidates_spec_by_spec():
+    """The reference's lists: name, range, C, class weight and whether scheme-neutral."""
+    of = lambda specs: {(s.name, s.min_n, s.max_n, s.c, s.class_weight, s.scheme_neutral) for s in specs}
+    assert of(textmodel.compact_candidates()) == {
+        ("char35_c05", 3, 5, 0.5, None, False), ("char35_c10", 3, 5, 1.0, None, False), ("char35_c20_bal", 3, 5, 2.0, "balanced", False),
+        ("char36_c10", 3, 6, 1.0, None, False), ("char46_c10", 4, 6, 1.0, None, False),
+        ("char25_c10_bal_raw", 2, 5, 1.0, "balanced", False), ("char25_c10_bal_scheme_www_neutral", 2, 5, 1.0, "balanced", True),
+    }
+    assert of(textmodel.full_candidates()) == {
+        (f"char{r}_c{c:g}_{w or 'none'}", int(r[0]), int(r[1]), c, w, False) for r in ("35", "36", "25") for c in (0.1, 1.0, 5.0) for w in (None, "balanced")
+    }
+    every = [*textmodel.compact_candidates(), *textmodel.full_candidates()]
+    assert all((s.min_df, s.max_features, s.sublinear, s.max_iter) == (3, 250_000, True, 1000) for s in every)
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     data, reports = f"file://{tmp_path}/data", f"file://{tmp_path}/reports"
     rows = [(f"http{'s' if g % 2 else ''}://{'shop' if g % 2 else 'login-verify'}{g}.test/{'items' if g % 2 else 'account'}/{r}", g % 2) for g in range(40) for r in range(3)]
