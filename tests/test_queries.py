@@ -3,7 +3,8 @@
 import pytest
 from conftest import DATA, same_rows
 
-from sievework.plans import catalog
+from sievework.operators import textmodel
+from sievework.plans import catalog, model_queries
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) & set(catalog.ORACLE)))
@@ -23,3 +24,14 @@ def test_assignment_keeps_groups_together(spark):
     urls = spark.read.parquet(f"{DATA}/prepared_urls.parquet").select("url_id", "split_group")
     assert x.count() == urls.count()
     assert x.join(urls, "url_id").groupBy("split_group").agg({"fold": "min"}).count() == x.join(urls, "url_id").select("split_group", "split").distinct().count()
+
+
+def test_model_queries_run_the_whole_job(spark):
+    """All compact candidates are ranked, and the model is fitted on 3- to 5-grams without a smaller vocabulary."""
+    ranked = catalog.QUERIES["candidate_search"](spark, DATA).collect()
+    assert {r.name for r in ranked} == {s.name for s in textmodel.compact_candidates()} and [r.rank_no for r in ranked] == [*range(1, 8)]
+    top = catalog.QUERIES["top_ngrams"](spark, DATA).collect()
+    assert {len(r.ngram) for r in top} == {3, 4, 5}
+    assert model_queries.FITTED in textmodel.compact_candidates() and model_queries.FITTED.max_features == 250_000
+    wide = {r.n for r in catalog.QUERIES["ngram_vocabulary_wide"](spark, DATA).selectExpr("length(ngram) as n").distinct().collect()}
+    assert wide == {3, 4, 5}
