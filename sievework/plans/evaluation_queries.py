@@ -1,7 +1,13 @@
-"""Queries over scores: metrics, threshold sweeps, profiles and curves. Scores are those of the model with the first name."""
+"""Queries over scores: metrics, threshold sweeps, profiles and curves.
+
+Each report is there twice: of the model with the first name, and as ``..._by_model`` of every model in the table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +18,12 @@ from ..session import table
 _COSTS = metrics.Costs()
 
 
+def _all_scores(spark, sf_dir) -> DataFrame:
+    """Targets and scores of all models; rows without a score are left out."""
+    x = table(spark, sf_dir, "url_scores").where("score is not null")
+    return x.select("model", "url_id", F.col("target").cast("int").alias("target"), "score")
+
+
 def _scores(spark, sf_dir) -> DataFrame:
     """Targets and scores of one model; rows without a score are left out."""
     x = table(spark, sf_dir, "url_scores")
@@ -23,12 +35,41 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _table(spark, sf_dir) -> DataFrame:
-    return metrics.threshold_table(_scores(spark, sf_dir), costs=_COSTS)
+def _table(scores: DataFrame) -> DataFrame:
+    return metrics.threshold_table(scores, costs=_COSTS)
+
+
+#: Reports of the scores of one model.
+_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "metrics_at_half": lambda x: _rounded(metrics.evaluate(x, threshold=0.5, costs=_COSTS)),
+    "ranking_metrics": lambda x: _rounded(metrics.ranking(metrics.by_score(x))),
+    "calibration_bins": lambda x: _rounded(metrics.calibration_bins(metrics.by_score(x))),
+    "calibration_error": lambda x: _rounded(metrics.expected_calibration_error(x)),
+    "calibration_quantile_bins": lambda x: _rounded(metrics.quantile_calibration(x)),
+    "threshold_table": lambda x: _rounded(_table(x)),
+    "threshold_at_max_fpr": lambda x: _rounded(metrics.at_max_fpr(_table(x), 0.0163)),
+    "profiles": lambda x: _rounded(metrics.profiles(_table(x))),
+    "pr_curve": lambda x: _rounded(metrics.pr_curve(_table(x))),
+    "roc_curve": lambda x: _rounded(metrics.roc_curve(_table(x))),
+    "threshold_tradeoff": lambda x: _rounded(metrics.tradeoff(_table(x))),
+    "score_histogram": lambda x: audit.histogram(x, "score", 20, by="target").select("target", "bin", "n_rows"),
+}
+
+
+def _of_first(report: Callable[[DataFrame], DataFrame]):
+    return lambda spark, sf_dir: report(_scores(spark, sf_dir))
+
 
+def _of_each(report: Callable[[DataFrame], DataFrame]):
+    """The report of every model that has scores, ``model`` in front. Only the models' names reach the driver."""
 
-def metrics_at_half(spark, sf_dir):
-    return _rounded(metrics.evaluate(_scores(spark, sf_dir), threshold=0.5, costs=_COSTS))
+    def query(spark, sf_dir):
+        x = _all_scores(spark, sf_dir)
+        of = lambda m: report(x.where(F.col("model") == m)).select(F.lit(m).alias("model"), "*")
+        names = sorted(r.model for r in x.where("model is not null").select("model").distinct().collect())
+        return reduce(DataFrame.unionByName, map(of, names)) if names else of("").limit(0)
+
+    return query
 
 
 def metrics_by_model(spark, sf_dir):
@@ -40,61 +81,14 @@ def metrics_by_model(spark, sf_dir):
     ))
 
 
-def ranking_metrics(spark, sf_dir):
-    return _rounded(metrics.ranking(metrics.by_score(_scores(spark, sf_dir))))
-
-
-def calibration_bins(spark, sf_dir):
-    return _rounded(metrics.calibration_bins(metrics.by_score(_scores(spark, sf_dir))))
-
-
-def calibration_error(spark, sf_dir):
-    return _rounded(metrics.expected_calibration_error(_scores(spark, sf_dir)))
-
-
-def calibration_quantile_bins(spark, sf_dir):
-    return _rounded(metrics.quantile_calibration(_scores(spark, sf_dir)))
-
-
-def threshold_table(spark, sf_dir):
-    return _rounded(_table(spark, sf_dir))
-
-
-def threshold_at_max_fpr(spark, sf_dir):
-    return _rounded(metrics.at_max_fpr(_table(spark, sf_dir), 0.0163))
-
-
-def profiles(spark, sf_dir):
-    return _rounded(metrics.profiles(_table(spark, sf_dir)))
-
-
-def pr_curve(spark, sf_dir):
-    return _rounded(metrics.pr_curve(_table(spark, sf_dir)))
-
-
-def roc_curve(spark, sf_dir):
-    return _rounded(metrics.roc_curve(_table(spark, sf_dir)))
-
-
-def threshold_tradeoff(spark, sf_dir):
-    return _rounded(metrics.tradeoff(_table(spark, sf_dir)))
-
-
-def score_histogram(spark, sf_dir):
-    return audit.histogram(_scores(spark, sf_dir), "score", 20, by="target").select("target", "bin", "n_rows")
-
-
 def protocol_only(spark, sf_dir):
     """The detector that looks at the scheme alone, over the validation rows."""
     x = table(spark, sf_dir, "prepared_urls").where("split = 'validation'").select(protocol_only_score(F.col("url_model_input")).alias("score"), F.col("target").cast("int").alias("target"))
     return _rounded(metrics.evaluate(x, threshold=0.5, costs=_COSTS))
 
 
-_NAMES = (
-    "metrics_at_half metrics_by_model ranking_metrics calibration_bins calibration_error calibration_quantile_bins threshold_table threshold_at_max_fpr profiles pr_curve "
-    "roc_curve threshold_tradeoff score_histogram protocol_only"
-).split()
-QUERIES = {n: globals()[n] for n in _NAMES}
+QUERIES = {n: _of_first(f) for n, f in _REPORTS.items()} | {f"{n}_by_model": _of_each(f) for n, f in _REPORTS.items()}
+QUERIES |= {"metrics_by_model": metrics_by_model, "protocol_only": protocol_only}
 
 _SOURCE = "rows_ as (select target, score from url_scores where model = (select min(model) from url_scores) and score is not null)"
 _PROTOCOL = r"rows_ as (select target, cast(starts_with(lower(url_model_input), 'http://') as double) as score from prepared_urls where split = 'validation')"
@@ -151,3 +145,40 @@ ORACLE = {
     "score_histogram": f"with {_SOURCE}, ends as (select target, min(score) as lo, max(score) as hi from rows_ group by 1) select target, cast(least(floor((score - lo) / ((hi - lo) / 20)), 19) as int) as bin, count(*) as n_rows from rows_ join ends using (target) group by 1, 2",
     "protocol_only": _one(_PROTOCOL),
 }
+
+# The same with ``model`` as a key throughout.
+_EACH_SOURCE = "rows_ as (select model, target, score from url_scores where score is not null)"
+_EACH_BASE = f"""
+g as (select model, score, count(*) filter (target = 1) as p, count(*) filter (target = 0) as n from rows_ group by 1, 2),
+tot as (select model, sum(p) as tp_all, sum(n) as tn_all from g group by 1),
+r as (select model, score, p, n, sum(p) over w as tp, sum(n) over w as fp from g window w as (partition by model order by score desc rows unbounded preceding)),
+rank_ as (select model, sum(p / tp_all * tp / (tp + fp)) as average_precision, sum(n * (tp - p / 2) / tp_all / tn_all) as roc_auc from (select model, cast(p as double) as p, cast(n as double) as n, tp, fp from r) join tot using (model) group by 1),
+bins as (select model, {_EDGES} as bin, count(*) as n_rows, avg(score) as mean_score, avg(target) as rate from rows_ group by 1, 2),
+ece as (select model, sum(n_rows * abs(rate - mean_score)) / sum(n_rows) as expected_calibration_error from bins group by 1),
+brier as (select model, avg((score - target) * (score - target)) as brier_score from rows_ group by 1),
+"""
+_EACH_CUTS = """cuts as (select model, score as threshold, tp, fp from r union all select model, 1.0e0, 0, 0 from tot where model not in (select model from g where score = 1)
+  union all select model, 0.0e0, tp_all, tn_all from tot where model not in (select model from g where score = 0)),"""
+_EACH_HALF = "cuts as (select model, 0.5e0 as threshold, coalesce(sum(p) filter (score >= 0.5), 0) as tp, coalesce(sum(n) filter (score >= 0.5), 0) as fp from g group by 1),"
+_EACH_RECORD = _RECORD.replace("select threshold", "select model, threshold").replace("from cuts, tot, rank_, ece, brier", "from cuts join tot using (model) join rank_ using (model) join ece using (model) join brier using (model)")
+_EACH = f"with {_EACH_SOURCE}, {_EACH_BASE}{_EACH_CUTS}{_EACH_RECORD}"
+
+
+def _each_profile_sql(p: metrics.Profile) -> str:
+    return _profile_sql(p).replace("select '", "select model, '", 1).replace("from full_ order by", "from full_ qualify row_number() over (partition by model order by").replace(" limit 1)", ") = 1)")
+
+
+ORACLE |= {
+    "metrics_at_half_by_model": f"with {_EACH_SOURCE}, {_EACH_BASE}{_EACH_HALF}{_EACH_RECORD} select model, {_COLUMNS} from full_",
+    "ranking_metrics_by_model": f"{_EACH} select model, round(average_precision, 6) as average_precision, round(roc_auc, 6) as roc_auc from rank_",
+    "calibration_bins_by_model": f"{_EACH} select model, bin, n_rows, round(mean_score, 6) as mean_score, round(rate, 6) as rate from bins",
+    "calibration_error_by_model": f"{_EACH} select model, round(expected_calibration_error, 6) as expected_calibration_error from ece",
+    "calibration_quantile_bins_by_model": f"with {_EACH_SOURCE}, q as (select model, quantile_cont(score, [{_Q}]) as q from rows_ group by 1) select model, cast(len(list_filter(q, lambda e: e < score)) as int) as bin, count(*) as n_rows, round(avg(score), 6) as mean_score, round(avg(target), 6) as rate from rows_ join q using (model) group by 1, 2",
+    "threshold_table_by_model": f"{_EACH} select model, {_COLUMNS} from full_",
+    "threshold_at_max_fpr_by_model": f"{_EACH} select model, {_COLUMNS} from full_ qualify row_number() over (partition by model order by (false_positive_rate <= 0.0163 and predicted_positive_rate > 0) desc, (predicted_positive_rate > 0) desc, recall desc, precision desc, false_positive_rate, threshold) = 1",
+    "profiles_by_model": f"{_EACH} " + " union all ".join(map(_each_profile_sql, metrics.PROFILES)),
+    "pr_curve_by_model": f"{_EACH} select model, round(recall, 6) as recall, round(precision, 6) as precision from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 1.0e0 from tot",
+    "roc_curve_by_model": f"{_EACH} select model, round(false_positive_rate, 6) as false_positive_rate, round(recall, 6) as recall from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 0.0e0 from tot",
+    "threshold_tradeoff_by_model": f"{_EACH} select model, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(false_positive_rate, 6) as false_positive_rate from full_",
+    "score_histogram_by_model": f"with {_EACH_SOURCE}, ends as (select model, target, min(score) as lo, max(score) as hi from rows_ group by 1, 2) select model, target, cast(least(floor((score - lo) / ((hi - lo) / 20)), 19) as int) as bin, count(*) as n_rows from rows_ join ends using (model, target) group by 1, 2, 3",
+}

@@ -35,3 +35,13 @@ def test_model_queries_run_the_whole_job(spark):
     assert model_queries.FITTED in textmodel.compact_candidates() and model_queries.FITTED.max_features == 250_000
     wide = {r.n for r in catalog.QUERIES["ngram_vocabulary_wide"](spark, DATA).selectExpr("length(ngram) as n").distinct().collect()}
     assert wide == {3, 4, 5}
+
+
+@pytest.mark.parametrize("name", ["ranking_metrics", "threshold_tradeoff", "score_histogram"])
+def test_every_model_is_evaluated(spark, name):
+    """The reports by model hold every model that has scores, and for the first one what the report of one model has."""
+    models = {r.model for r in spark.read.parquet(f"{DATA}/url_scores.parquet").where("score is not null").select("model").distinct().collect()}
+    got = catalog.QUERIES[f"{name}_by_model"](spark, DATA).collect()
+    assert len(models) > 1 and {r.model for r in got} == models
+    first = sorted(tuple(r)[1:] for r in got if r.model == min(models))
+    assert first == sorted(map(tuple, catalog.QUERIES[name](spark, DATA).collect()))
