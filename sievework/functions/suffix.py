@@ -23,13 +23,21 @@ def icann_rules(spark: SparkSession) -> list[str]:
     if stream is None:
         raise RuntimeError("no public-suffix list on the class path")
     text = spark._jvm.java.lang.String(stream.readAllBytes(), "UTF-8")
+    return parsed_rules(str(text))
+
+
+def parsed_rules(text: str) -> list[str]:
+    """The rules of a public-suffix list before its private part, one a line; those with non-ASCII letters in their ``xn--`` form too."""
     out = []
-    for line in str(text).splitlines():
+    for line in text.splitlines():
         line = line.strip()
         if "===BEGIN PRIVATE" in line:
             break
         if line and not line.startswith("//"):
-            out.append(line.split()[0].lower())
+            rule = line.split()[0].lower()
+            out.append(rule)
+            if not rule.isascii():
+                out.append(".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in rule.split(".")))
     return out
 
 

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.suffix import registered_domain
+from ..functions.suffix import icann_rules, parsed_rules, registered_domain
 from ..functions.urls import protocol_only_score, with_features, with_parts
 from ..operators import audit, metrics, splits, textmodel
 from ..operators.prepare import prepare
@@ -24,19 +25,19 @@ from ..sources import raw
 COSTS = metrics.Costs()
 
 
-def rule_scored(df: DataFrame, url: str = "url_model_input") -> DataFrame:
-    """``df`` with the features and the rule score of its URLs."""
+def rule_scored(df: DataFrame, url: str = "url_model_input", suffixes: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with the features and the rule score of its URLs. ``suffixes`` are the public-suffix rules, ``icann_rules`` by default."""
     p = "__domain_parts"
-    x = with_parts(widened(df), url, p).withColumn("__domain", registered_domain(df.sparkSession, F.col(f"{p}.host")))
+    x = with_parts(widened(df), url, p).withColumn("__domain", registered_domain(df.sparkSession, F.col(f"{p}.host"), suffixes or icann_rules(df.sparkSession)))
     return with_features(x.drop(p), url, F.col("__domain")).withColumn("score", rules.score()).drop("__domain")
 
 
-def prepare_job(spark: SparkSession, data: str, reports: str) -> dict:
+def prepare_job(spark: SparkSession, data: str, reports: str, *, suffixes: Sequence[str] | None = None) -> dict:
     source = spark.read.parquet(raw.require(spark, f"{data}/raw.parquet", "ingest"))
     if "row_id" not in source.columns:
         source = source.withColumn("row_id", F.monotonically_increasing_id())
         source = materialize(source)
-    prepared, conflicts, summary = prepare(source)
+    prepared, conflicts, summary = prepare(source, rules=suffixes or icann_rules(spark))
     raw.write_parquet(prepared, f"{data}/prepared.parquet")
     raw.write_parquet(conflicts, f"{data}/conflicts.parquet")
     out = summary.first().asDict()
@@ -110,11 +111,11 @@ def _report(title: str, facts: dict, profiles: dict, extra: str = "") -> str:
     return "\n".join(lines) + "\n" + extra
 
 
-def rules_job(spark: SparkSession, data: str, reports: str) -> dict:
+def rules_job(spark: SparkSession, data: str, reports: str, *, suffixes: Sequence[str] | None = None) -> dict:
     df = _validated(spark, f"{data}/validation.parquet")
     out = f"{reports}/rules"
     began = time.perf_counter()
-    scored = materialize(rule_scored(df))
+    scored = materialize(rule_scored(df, suffixes=suffixes))
     seconds = time.perf_counter() - began
     n = scored.count()
     timing = {"seconds": seconds, "ms_per_url": seconds / n * 1000, "urls_per_second": n / seconds if seconds else float("inf")}
@@ -169,6 +170,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--parquet")
     p.add_argument("--full-grid", action="store_true")
     p.add_argument("--max-features", type=int)
+    p.add_argument("--suffixes", help="public-suffix rules of the stages prepare and rules, one a line; else the ICANN rules")
     a = p.parse_args(args)
     spark = session(f"sievework-{a.stage}")
     for folder in (a.data, a.reports):
@@ -177,8 +179,11 @@ def main(args: list[str] | None = None) -> None:
         print(raw.ingest(spark, a.csv, a.parquet, f"{a.data}/raw.parquet"))
     elif a.stage == "train":
         train_job(spark, a.data, a.reports, specs=textmodel.full_candidates() if a.full_grid else None, max_features=a.max_features)
+    elif a.stage in ("prepare", "rules"):
+        suffixes = parsed_rules(raw.read_text(spark, a.suffixes)) if a.suffixes else None
+        {"prepare": prepare_job, "rules": rules_job}[a.stage](spark, a.data, a.reports, suffixes=suffixes)
     else:
-        {"prepare": prepare_job, "audit": audit_job, "split": split_job, "rules": rules_job}[a.stage](spark, a.data, a.reports)
+        {"audit": audit_job, "split": split_job}[a.stage](spark, a.data, a.reports)
 
 
 if __name__ == "__main__":

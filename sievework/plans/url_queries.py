@@ -38,7 +38,7 @@ def text_normaliser(spark, sf_dir):
 
 
 def _featured(spark, sf_dir) -> DataFrame:
-    return rule_scored(_urls(spark, sf_dir).select("url_id", "url_original"), "url_original")
+    return rule_scored(_urls(spark, sf_dir).select("url_id", "url_original"), "url_original", TEST_RULES)
 
 
 def url_features(spark, sf_dir):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.jobs import rule_scored
 
 
-def scored_stream(stream: DataFrame, url: str = "url") -> DataFrame:
+def scored_stream(stream: DataFrame, url: str = "url", suffixes: Sequence[str] | None = None) -> DataFrame:
     """``stream`` with features and rule score; stateless, so late or repeated rows need no care."""
-    return rule_scored(stream, url)
+    return rule_scored(stream, url, suffixes)
 
 
 def counts_by_hour(stream: DataFrame, time_column: str, *, late: str = "1 day", window: str = "1 hour") -> DataFrame:

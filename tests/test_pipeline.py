@@ -134,6 +134,21 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert top.count() == 6 and {r.direction for r in top.collect()} == {"phishing", "legitimate"}
 
 
+def test_jobs_know_real_suffixes(spark, tmp_path):
+    """Hosts of one registered domain stay in one group, a shortener is one below www too; other suffixes can be given."""
+    data = f"file://{tmp_path}/data"
+    hosts = ["a.site.com", "b.site.com", "x.shop.co.uk", "y.shop.co.uk", "www.bit.ly", "a.b.xn--p1ai"]
+    spark.createDataFrame([(i, f"https://{h}/p", i % 2) for i, h in enumerate(hosts)], "row_id long, url string, label int").write.parquet(f"{data}/raw.parquet")
+    domains = lambda: [r.split_group for r in spark.read.parquet(f"{data}/prepared.parquet").orderBy("row_order").collect()]
+    jobs.prepare_job(spark, data, "")
+    assert domains() == ["site.com", "site.com", "shop.co.uk", "shop.co.uk", "bit.ly", "b.xn--p1ai"]
+    prepared = spark.read.parquet(f"{data}/prepared.parquet")
+    assert [r.uses_url_shortener for r in jobs.rule_scored(prepared).orderBy("row_order").collect()] == [False] * 4 + [True, False]
+    (tmp_path / "list").write_text("// mine\nuk\nsite.com\n")
+    jobs.main(["prepare", "--data", data, "--reports", f"file://{tmp_path}/reports", "--suffixes", f"file://{tmp_path}/list"])
+    assert domains() == ["a.site.com", "b.site.com", "co.uk", "co.uk", "www.bit.ly", "a.b.xn--p1ai"]
+
+
 def test_regression_is_at_its_minimum(spark):
     """The gradient of the stated objective vanishes, the intercept being part of the penalty."""
     import math
