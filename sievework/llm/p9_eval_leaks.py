@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 import numpy as np
@@ -99,13 +99,13 @@ def term_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     return out
 
 
-def search_shard(q: Queries | SimpleNamespace, docs: np.ndarray, starts: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(document, item, longest, passages, covered)`` of a shard: longest shared stretch in words, stretches of ``least``
-    words or more, and words of the item that lie in one.
+def shard_runs(q: Queries | SimpleNamespace, starts: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(document, item, place, offset, length)`` of every maximal stretch of ``least`` words or more that a document of a shard
+    shares with an item: the document and the item by number, where it begins in the shard and in the item.
 
-    The shard's positional index is the list of positions per word, built by one stable sort. Lists of anchor words are
-    read first; each is shifted by the anchor's offset in its item, which gives the place where the item would begin. At
-    every such place the lists of the item's other words, shifted likewise, are intersected.
+    The shard's positional index is the list of positions per anchor word, built by one stable sort. Each list is shifted by
+    the anchor's offset in its item, which gives the place where the item would begin. At every such place the item's
+    words are compared with the document's.
     """
     anchor = np.zeros(len(q.vocabulary) + 1, bool)
     anchor[:-1] = np.diff(q.first) > 0
@@ -121,7 +121,6 @@ def search_shard(q: Queries | SimpleNamespace, docs: np.ndarray, starts: np.ndar
     owner = np.searchsorted(starts, np.repeat(position, n), side="right") - 1
     found = np.unique(np.stack([owner, q.item[which], place]), axis=1)
     bounds = np.append(starts, len(terms))
-    best: dict[tuple[int, int], list] = {}
     for s in range(0, found.shape[1], 4096):
         doc, item, at = found[:, s : s + 4096]
         width = int(q.lengths[item].max())
@@ -136,15 +135,50 @@ def search_shard(q: Queries | SimpleNamespace, docs: np.ndarray, starts: np.ndar
         for row in np.flatnonzero(run.max(axis=1) >= q.least):
             r = run[row]
             ends = np.flatnonzero((r >= q.least) & (np.append(r[1:], 0) == 0))
-            entry = best.setdefault((int(doc[row]), int(item[row])), [0, 0, np.zeros(int(q.lengths[item[row]]), bool)])
-            entry[0] = max(entry[0], int(r.max()))
-            entry[1] += len(ends)
             for e in ends:
-                entry[2][e - r[e] + 1 : e + 1] = True
+                first = int(e - r[e] + 1)
+                yield int(doc[row]), int(item[row]), int(at[row]) + first, first, int(r[e])
+
+
+def search_shard(q: Queries | SimpleNamespace, docs: np.ndarray, starts: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(document, item, longest, passages, covered)`` of a shard: longest shared stretch in words, stretches of ``least``
+    words or more, and words of the item that lie in one."""
+    best: dict[tuple[int, int], list] = {}
+    for d, i, _, first, n in shard_runs(q, starts, terms):
+        entry = best.setdefault((d, i), [0, 0, np.zeros(int(q.lengths[i]), bool)])
+        entry[0] = max(entry[0], n)
+        entry[1] += 1
+        entry[2][first : first + n] = True
     for (d, i), (longest, passages, covered) in best.items():
         yield int(docs[d]), int(q.ids[i]), longest, passages, int(covered.sum())
 
 
+def near_shard(q: Queries | SimpleNamespace, docs: np.ndarray, starts: np.ndarray, terms: np.ndarray, words_: int, gap: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """``(document, item, words, span, exact)`` of a shard: shared stretches of ``least`` words or more, in the item's order and with at most
+    ``gap`` words between two of them on either side, that hold ``words_`` words together; the most words, the words of the
+    document they lie in (the fewest on ties), and whether one stretch alone has ``words_``."""
+    runs_: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for d, i, place, first, n in shard_runs(q, starts, terms):
+        runs_.setdefault((d, i), []).append((place, first, n))
+    for (d, i), mine in runs_.items():
+        mine.sort()
+        widest = max(n for *_, n in mine)
+        chains: list[tuple[int, int]] = []  # words, and the place of its first, of the best chain that ends in each stretch
+        for k, (place, first, n) in enumerate(mine):
+            best = n, place
+            for j in range(k - 1, -1, -1):
+                p, f, m = mine[j]
+                if place - p > widest + gap:
+                    break
+                over = max(0, p + m - place, f + m - first)  # words that both would count
+                if over < n and f < first and place + over - p - m <= gap and first + over - f - m <= gap:
+                    best = max(best, (chains[j][0] + n - over, chains[j][1]))
+            chains.append(best)
+        words, short = max((w, s - p - n) for (w, s), (p, _, n) in zip(chains, mine))
+        if words >= words_:
+            yield int(docs[d]), int(q.ids[i]), words, -short, widest >= words_
+
+
 def leaked_passages(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, passage: str, *, least: int = 12) -> DataFrame:
     """``(doc_id, item_id, longest, passages, covered, item_words)`` of every document that holds ``least`` or more consecutive words of an item.
 
@@ -155,11 +189,36 @@ def leaked_passages(docs: DataFrame, ident: str, text: str, items: DataFrame, it
     Null texts and idents on either side match nothing, nor do items shorter than ``least`` words. Documents are read
     whole. Repeated rows of a document or item count once in the result, with the largest values. Empty tables give no rows.
     """
+    schema = "doc_id long, item_id long, longest int, passages int, covered int, item_words int"
+
+    def rows_of(q: SimpleNamespace, *shard: np.ndarray) -> list[tuple]:
+        length = dict(zip(q.ids, q.lengths.tolist()))
+        return [(*x, length[x[1]]) for x in search_shard(q, *shard)]
+
+    out = _searched(docs, ident, text, items, item, passage, least, schema, rows_of)
+    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("longest", "passages", "covered", "item_words")))
+
+
+def near_passages(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, passage: str, *, least: int = 12, part: int = 6, gap: int = 4) -> DataFrame:
+    """``(doc_id, item_id, words, span, exact)``: exact phrase and proximity matches, see ``near_shard``. Stretches have ``part`` words or more,
+    so a passage is found though words are changed, put in or left out, as long as ``part`` words in a row are left between such places
+    and each takes ``gap`` words at most. Otherwise as ``leaked_passages``; with ``exact`` the pair is among its rows too."""
+
+    def rows_of(q: SimpleNamespace, *shard: np.ndarray) -> list[tuple]:
+        return list(near_shard(q, *shard, least, gap))
+
+    out = _searched(docs, ident, text, items, item, passage, part, "doc_id long, item_id long, words int, span int, exact boolean", rows_of)
+    best = F.max(F.struct("words", (-F.col("span")).alias("short"))).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best, F.max("exact").alias("exact")).select("doc_id", "item_id", "best.words", (-F.col("best.short")).alias("span"), "exact")
+
+
+def _searched(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, passage: str, least: int, schema: str, rows_of: Callable) -> DataFrame:
+    """What ``rows_of`` finds in all shards, for each block of the query set; columns as in ``schema``."""
     spark = docs.sparkSession
     slim = widened(docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("text")).where("ident is not null and text is not null"))
     stated = items.select(F.col(item).cast("long").alias("i"), F.col(passage).alias("t")).where("i is not null and t is not null")
     blocks = max(1, -(-(stated.agg(F.sum(F.length("t"))).first()[0] or 0) // (QUERY_WORDS * 4)))
-    schema = "doc_id long, item_id long, longest int, passages int, covered int, item_words int"
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]
     out = None
     for b in range(blocks):
         here = [(r.i, r.t) for r in stated.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
@@ -171,19 +230,15 @@ def leaked_passages(docs: DataFrame, ident: str, text: str, items: DataFrame, it
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             here = SimpleNamespace(**shared.value)
-            length = dict(zip(here.ids, here.lengths.tolist()))
             for shard in _shards(batches, here.vocabulary):
-                rows = [(*x, length[x[1]]) for x in search_shard(here, *shard)]
+                rows = list(rows_of(here, *shard))
                 if rows:
                     cols = list(zip(*rows))
-                    kinds = [pa.int64()] * 2 + [pa.int32()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in schema.split(", ")])
 
         part = slim.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("longest", "passages", "covered", "item_words")))
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +253,11 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and proximity matches."""
+    return near_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
 def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that leaked: in how many documents, and the largest share of their words found in one."""
     share = (F.col("covered") / F.col("item_words")).alias("share")

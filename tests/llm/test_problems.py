@@ -389,3 +389,20 @@ def test_shared_spans(spark, monkeypatch, slice_):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_proximity_matches(spark):
+    """A passage with a word changed or put in after every 11 is no exact match, but a near one; scattered stretches are neither."""
+    w = [f"w{i}" for i in range(40)]
+    changed = ["XX" if i % 12 == 11 else x for i, x in enumerate(w)]
+    inserted = [y for i, x in enumerate(w) for y in ([x, "YY"] if i % 11 == 10 else [x])]
+    far = w[:8] + ["ZZ"] * 30 + w[8:16]
+    swapped = w[20:28] + w[:8]
+    texts = [" ".join(["before", *x, "after"]) for x in (w, changed, inserted, far, swapped, w[:11])]
+    df = spark.createDataFrame([*enumerate(texts), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "too short"), (3, None)], "item_id long, t string")
+    exact = p9_eval_leaks.leaked_passages(df, "doc_id", "text", items, "item_id", "t").collect()
+    assert [r.doc_id for r in exact] == [0]
+    near = {(r.doc_id, r.item_id): (r.words, r.span, r.exact) for r in p9_eval_leaks.near_passages(df, "doc_id", "text", items, "item_id", "t").collect()}
+    assert near == {(0, 1): (40, 40, True), (1, 1): (33, 35, False), (2, 1): (40, 43, False)}
+    assert "p9_near" in catalog.QUERIES
