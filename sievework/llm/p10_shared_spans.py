@@ -168,9 +168,9 @@ def shared_factors(df: DataFrame, ident: str, text: str, *, least: int = LEAST)
     """``(factors, copies)``: ``(a, b, start_a, start_b, length)`` of the maximal stretches of at least ``least`` code points
     that different texts a < b have in common, and ``(rep, ident, n)`` with the exact copies of every document.
 
-    Every document is factored relative to all others: an index of blocks, chosen by their content in all of them, says
-    where another document may be referred to; each reference is extended as far as both agree, and factors shorter
-    than ``least`` are dropped. Blocks guarantee that no stretch is missed; comparing the texts at the factor's two boundaries
+    Seed and extend: an index of blocks, chosen by their content in all documents, says where two of them may agree; each
+    such seed is extended both ways as far as both agree, and stretches (factors) shorter than ``least`` are dropped. No
+    document is parsed greedily, as a parse names one source for each factor and all pairs are wanted. Blocks guarantee that no stretch is missed; comparing the texts at the factor's two boundaries
     makes it exact. Copies are folded first and documents without a shared block never leave the map side, told by a
     bit map of fixed size. Null idents and texts are left out, texts shorter than ``least`` share nothing but copies; an empty
     table gives no rows.
