@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from ..operators.shared import materialize
 from ..session import table
 
-# Letters of other scripts and alphabets with the ASCII letter they look like.
+# Letters of other scripts and alphabets with the ASCII letter they look like. Of Greek, Cyrillic, Armenian,
+# Cherokee, Coptic and Lisu all that the Unicode confusables data give one ASCII letter; of Latin and others a choice.
 LOOKALIKES = {
-    "a": "аɑα", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁɗ", "e": "еҽ", "f": "ϝ", "g": "ɡց", "h": "һհ", "i": "іıɩι", "j": "јϳ", 
-    "l": "ӏǀ", "n": "ոռ", "o": "оοօᴏ", "p": "рρ", "q": "ԛգ", "s": "ѕꜱ", "u": "υսᴜ", "v": "νѵᴠ",
-    "w": "ԝѡաᴡ", "x": "хχ", "y": "уγүʏ", "z": "ᴢ",
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
-    "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Սᑌ", "V": "ѴᏙ", "W": "ԜᎳ",
-    "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
+    "a": "аɑα", "b": "ЬƅᏏ", "c": "сϲᴄⲥꮯ", "d": "ԁɗᏧꓒ", "e": "еҽ", "f": "ϝք", "g": "ɡց", "h": "һհᏂ", "i": "іıɩιᎥꙇꭵ", "j": "јϳ", 
+    "l": "ӏǀ", "n": "ոռ", "o": "оοօᴏσⲟ", "p": "рρϱⲣ", "q": "ԛգզ", "r": "гᴦⲅꮁ", "s": "ѕꜱꮪ", "u": "υսᴜ", "v": "νѵᴠꮩ",
+    "w": "ԝѡաᴡꮃ", "x": "хχ", "y": "уγүʏ", "z": "ᴢꮓ",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟⲤꓚ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀᏳꓖ", "H": "НΗᎻⲎꓧ", "I": "ІΙӀⲒꓲ", "J": "ЈͿᎫꓙ", "K": "КΚᏦⲔꓗ",
+    "L": "ᏞⳐꓡ", "M": "МΜᎷϺⲘꓟ", "N": "ΝⲚꓠ", "O": "ОΟՕⲞꓳ", "P": "РΡᏢⲢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏚᏕꓢ", "T": "ТΤᎢⲦꓔ", "U": "Սᑌꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳᏔꓪ",
+    "X": "ХΧⲬꓫ", "Y": "ҮΥϒУᎩᎽⲨꓬ", "Z": "ΖᏃꓜ",
 }
 # Characters without ink besides those of category Cf.
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"

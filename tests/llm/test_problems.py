@@ -406,3 +406,13 @@ def test_proximity_matches(spark):
     near = {(r.doc_id, r.item_id): (r.words, r.span, r.exact) for r in p9_eval_leaks.near_passages(df, "doc_id", "text", items, "item_id", "t").collect()}
     assert near == {(0, 1): (40, 40, True), (1, 1): (33, 35, False), (2, 1): (40, 43, False)}
     assert "p9_near" in catalog.QUERIES
+
+
+def test_lookalikes_of_more_scripts(spark):
+    """Cyrillic and Coptic r, Greek sigma, Cherokee R, Lisu B and others read like the ASCII letter; every letter has one reading."""
+    texts = ["http://roRB.test/", "http://\u0433\u03c3\u13a1\ua4d0.test/", "http://\u2c85\u2c9f\ua4e3B.test/", "http://ro\u13d2\ua4d0.test/", "http://toRB.test/"]
+    df = spark.createDataFrame([*enumerate(texts)], "i long, u string")
+    got = {(r.a, r.b) for r in p2_lookalikes.lookalike_pairs(df, "i", "u").collect()}
+    assert got == {(i, j) for i in range(4) for j in range(i + 1, 4)}
+    every = [c for others in p2_lookalikes.LOOKALIKES.values() for c in others]
+    assert len(every) == len(set(every))
