@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,39 +22,57 @@ def byte_tokens(text: Column) -> Column:
     return (F.octet_length(text) + 1).cast("long")
 
 
-def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Packing patterns (lengths in order of placing) with their number.
+Pattern = tuple[tuple[int, int], ...]
+
+
+def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Packing patterns with their number; a pattern is ``((length, times), ...)`` in order of placing.
 
     Lengths are placed longest first, all their items at once: into the open patterns with the most space left, that is
     the shortest packs, splitting a pattern's count where only some of its packs receive the item. Where no pattern has
-    space, new packs are opened, but no more than the volume of the items still to come needs beyond the space that is
-    open, so that items of one length share packs when nothing shorter would fill them. Patterns are kept by the
-    space they have left, so the work depends on the number of different lengths, not of items.
+    space, new packs are opened once for the length: as many as hold all its items left, or as the volume still to
+    come needs beyond the space that is open, whichever is more, so that shorter items find room beside them.
+
+    A length opens packs once and splits one count at most, so there are no more patterns than twice the different lengths,
+    however many items there are.
     """
     if any(not 0 < n <= capacity for n in histogram):
         raise ValueError("lengths must lie between 1 and the capacity")
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    open_: dict[int, list[tuple[Pattern, int]]] = {}
+    spaces: list[int] = []  # heap of the keys of open_, negated
     volume, space_open = sum(n * m for n, m in histogram.items()), 0
+
+    def put(space: int, pattern: Pattern, count: int) -> None:
+        if space not in open_:
+            heapq.heappush(spaces, -space)
+        open_.setdefault(space, []).append((pattern, count))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            space = max(open_, default=0)
-            if space >= length:
-                stack = open_[space]
-                pattern, count = stack.pop()
-                if not stack:
-                    del open_[space]
-            else:
-                count = min(left, max(1, -(-(volume - space_open) // capacity)))
-                pattern, space = (), capacity
-                space_open += count * capacity
-            used = min(count, left)
-            if used < count:
-                open_.setdefault(space, []).append((pattern, count - used))
-            open_.setdefault(space - length, []).append(((*pattern, length), used))
-            left -= used
-            volume -= used * length
-            space_open -= used * length
+            space = -spaces[0] if spaces else 0
+            if space < length:
+                need = -(-(volume - space_open) // capacity)
+                fresh = min(left, max(-(-left // (capacity // length)), need))
+                put(capacity, (), fresh)
+                space_open += fresh * capacity
+                continue
+            stack = open_[space]
+            pattern, count = stack.pop()
+            if not stack:
+                del open_[space]
+                heapq.heappop(spaces)
+            if count > left:
+                put(space, pattern, count - left)
+                count = left
+            # As often as this stays the shortest pack.
+            below = -spaces[0] if spaces else 0
+            times = max(1, min((space - max(below, length - 1) - 1) // length + 1 if space > below else 1, space // length, left // count))
+            more = pattern[-1][1] if pattern and pattern[-1][0] == length else 0
+            put(space - times * length, (*(pattern[:-1] if more else pattern), (length, more + times)), count)
+            left -= count * times
+            volume -= count * times * length
+            space_open -= count * times * length
     return [x for stack in open_.values() for x in stack]
 
 
@@ -84,10 +103,10 @@ def packed(df: DataFrame, ident: str, tokens: Column, *, capacity: int = CAPACIT
     first = 0
     for pattern, count in patterns:
         offset = 0
-        for length in pattern:
-            runs.setdefault(length, []).append((ranks[length], first, offset))
-            ranks[length] += count
-            offset += length
+        for length, times in pattern:
+            runs.setdefault(length, []).append((ranks[length], first, offset, count))
+            ranks[length] += count * times
+            offset += length * times
         first += count
     flat = {n: tuple(np.array(x, np.int64) for x in zip(*r)) for n, r in runs.items()}
     shared = spark.sparkContext.broadcast(flat)
@@ -102,9 +121,10 @@ def packed(df: DataFrame, ident: str, tokens: Column, *, capacity: int = CAPACIT
             for e in ends:
                 at = order[s:e]
                 if len(at):
-                    begin, box, place = shared.value[int(length[at[0]])]
+                    begin, box, place, count = shared.value[int(length[at[0]])]
                     k = np.searchsorted(begin, rank[at], side="right") - 1
-                    container[at], offset[at] = box[k] + rank[at] - begin[k], place[k]
+                    layer, pack = np.divmod(rank[at] - begin[k], count[k])
+                    container[at], offset[at] = box[k] + pack, place[k] + layer * length[at]
                 s = e
             cols = [batch.column(c) for c in ("ident", "piece", "start", "length")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(container), pa.array(offset)], ["ident", "piece", "start", "length", "container", "offset"])
@@ -129,6 +149,17 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document with a text: its pieces, their tokens, whether they follow each other without a gap, whether none of
+    its containers is overfull or holds two pieces at one place."""
+    placed = materialize(_packed(spark, sf_dir))
+    boxes = placed.groupBy("container").agg((F.sum("length") <= CAPACITY).alias("room"), (F.max(F.col("offset") + F.col("length")) == F.sum("length")).alias("tight"), F.min("offset").alias("low"), F.count(F.lit(1)).alias("n"), F.count_distinct("offset").alias("places"))
+    fine = boxes.select("container", (F.col("room") & F.col("tight") & (F.col("low") == 0) & (F.col("n") == F.col("places"))).alias("fine"))
+    return placed.join(fine, "container").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("length").alias("tokens"), (F.max(F.col("start") + F.col("length")) == F.sum("length")).alias("whole"), F.min("fine").alias("fits")
+    )
+
+
 def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens, and the share of the space that stays unused."""
     boxes = _packed(spark, sf_dir).groupBy("container").agg(F.sum("length").alias("used"))
@@ -136,4 +167,7 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.agg(n.alias("containers"), used.alias("tokens"), F.max("used").alias("fullest"), (1 - used / (n * CAPACITY)).alias("unused"))
 
 
-ORACLE = {"p8_found": "select doc_id from documents where strlen(text) + 1 > 8192"}
+ORACLE = {
+    "p8_found": "select doc_id from documents where strlen(text) + 1 > 8192",
+    "p8_documents": "select doc_id, cast(floor(strlen(text) / 8192) + 1 as bigint) as pieces, strlen(text) + 1 as tokens, true as whole, true as fits from documents where text is not null",
+}
