@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import widened
 from ..session import table
-from .grams import code_points, runs
+from .grams import code_points, runs, windows
 from .texts import model_text
 
 #: Code points counted at once, and distinct terms a task holds before it passes its counters on.
@@ -26,31 +26,43 @@ class _Counters:
     differs from the one last seen for the term; no term keeps a set of records."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, key: np.ndarray, record: np.ndarray) -> None:
-        """``record`` ascends. A stable sort by key keeps that order inside every term."""
+    def add(self, key: np.ndarray, record: np.ndarray, letters: np.ndarray | None = None) -> None:
+        """``record`` ascends. A stable sort by key keeps that order inside every term. ``letters`` are the code points of
+        each token where ``key`` does not tell them."""
         order = np.argsort(key, kind="stable")
         k, r = key[order], record[order]
         starts = runs(k)
         fresh = np.ones(len(k), np.int64)
         fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])  # the last record seen for the term is another one
         if len(starts):
-            self.parts.append((k[starts], np.diff(np.append(starts, len(k))), np.add.reduceat(fresh, starts)))
+            spelled = () if letters is None else (letters[order[starts]],)
+            self.parts.append((k[starts], np.diff(np.append(starts, len(k))), np.add.reduceat(fresh, starts), *spelled))
             self.held += len(starts)
-            if self.held > _HELD:
-                self.parts = [self.merged()]
-                self.held = len(self.parts[0][0])
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def full(self) -> bool:
+        """Whether the counters are to be passed on: more than ``_HELD`` are held, also after merging."""
+        if self.held > _HELD and len(self.parts) > 1:
+            self.parts = [self.merged()]
+            self.held = len(self.parts[0][0])
+        return 2 * self.held > _HELD and len(self.parts) == 1
+
+    def merged(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
             return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        k, o, r = (np.concatenate(x) for x in zip(*self.parts))
+        k, o, r, *letters = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(k, kind="stable")
         k, o, r = k[order], o[order], r[order]
         starts = runs(k)
-        return k[starts], np.add.reduceat(o, starts), np.add.reduceat(r, starts)
+        return k[starts], np.add.reduceat(o, starts), np.add.reduceat(r, starts), *(x[order[starts]] for x in letters)
+
+    def passed_on(self) -> tuple[np.ndarray, ...]:
+        """The counters; none are held any more."""
+        out = self.merged()
+        self.parts, self.held = [], 0
+        return out
 
 
 def _slices(text: list[str]) -> Iterator[list[str]]:
@@ -67,35 +79,56 @@ def _slices(text: list[str]) -> Iterator[list[str]]:
 
 
 def ngram_counts(texts: DataFrame, n: int) -> DataFrame:
-    """``(ngram, occurrences, records)`` of all ``n``-character substrings of ``texts.text``, ``n`` from 1 to 3.
+    """``(ngram, occurrences, records)`` of all ``n``-character substrings of ``texts.text``, ``n`` from 1.
 
-    A record's tokens never leave its task, which counts them in order of records (see ``_Counters``); the tasks'
-    counters are then hash-partitioned by term and summed. Null texts count for nothing.
+    A record's tokens never leave its task, which counts them in order of records (see ``_Counters``) and passes the
+    counters on when it holds too many; they are then hash-partitioned by term and summed. Up to three
+    characters a term is a number; longer terms are told apart by 64 bits in the task and by their characters after it.
+    Null texts count for nothing.
     """
-    if not 1 <= n <= 3:
-        raise ValueError("n must be 1, 2 or 3")
+    if n < 1:
+        raise ValueError("n must be 1 or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = _Counters()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, o, r, *letters = counters.passed_on()
+            for s in range(0, len(k), 100_000):
+                e = slice(s, s + 100_000)
+                if n <= 3:
+                    term = pa.array(k[e].view(np.int64))
+                else:
+                    whole = letters[0][e].tobytes().decode("utf-32-le", "surrogatepass")
+                    term = pa.array([whole[i : i + n] for i in range(0, len(whole), n)], pa.string())
+                yield pa.RecordBatch.from_arrays([term, pa.array(o[e]), pa.array(r[e])], ["k", "o", "r"])
+
         for batch in batches:
             for held in _slices([t for t in batch.column("text").to_pylist() if t is not None]):
                 points, lengths = code_points(held)
-                wide = points.astype(np.uint64)
-                count = len(wide) - n + 1
+                count = len(points) - n + 1
                 if count < 1:
                     continue
-                key = wide[:count].copy()
-                for k in range(1, n):
-                    key = (key << np.uint64(21)) | wide[k : k + count]
-                record = np.repeat(np.arange(len(held)), lengths)
-                inside = np.arange(count) + n <= np.cumsum(lengths)[record[:count]]
-                counters.add(key[inside], record[:count][inside])
-        k, o, r = counters.merged()
-        for s in range(0, len(k), 100_000):
-            e = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(k[e].view(np.int64)), pa.array(o[e]), pa.array(r[e])], ["k", "o", "r"])
-
-    sums = texts.select("text").mapInArrow(run, "k long, o long, r long").groupBy("k").agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
+                if n <= 3:
+                    wide = points.astype(np.uint64)
+                    key = wide[:count].copy()
+                    for k in range(1, n):
+                        key = (key << np.uint64(21)) | wide[k : k + count]
+                    record = np.repeat(np.arange(len(held)), lengths)
+                    inside = np.arange(count) + n <= np.cumsum(lengths)[record[:count]]
+                    counters.add(key[inside], record[:count][inside])
+                else:
+                    key, record = windows(held, n)
+                    inside = np.arange(count) + n <= np.cumsum(lengths)[np.repeat(np.arange(len(held)), lengths)[:count]]
+                    counters.add(key, record, np.lib.stride_tricks.sliding_window_view(points, n)[inside])
+                if counters.full():
+                    yield from out()
+        yield from out()
+
+    kind = "long" if n <= 3 else "string"
+    sums = texts.select("text").mapInArrow(run, f"k {kind}, o long, r long").groupBy("k").agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
+    if n > 3:
+        return sums.withColumnRenamed("k", "ngram")
     bits = [F.shiftright("k", 21 * (n - 1 - i)).bitwiseAND((1 << 21) - 1) for i in range(n)]
     # The mark in front is consumed; without it a leading U+FEFF would be.
     decoded = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), *(F.lpad(F.hex(b), 8, "0") for b in bits))), "UTF-32")
