@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shared import materialize
+from ..operators.skew import spread_join
 from ..session import table
+from .texts import dealt, meet, pairs_within
 
 # Letters of other scripts and alphabets with the ASCII letter they look like. Of Greek, Cyrillic, Armenian,
 # Cherokee, Coptic and Lisu all that the Unicode confusables data give one ASCII letter; of Latin and others a choice.
@@ -82,10 +84,15 @@ def rewrites(frequency: dict[str, int]) -> dict[str, str]:
     for plain, others in LOOKALIKES.items():
         for other in others:
             classes.union(other, plain)
+    plain_of = {other: plain for plain, others in LOOKALIKES.items() for other in others}
     for ch in frequency:
         s = plain_string(ch)
         if s and s != ch:
             classes.union(ch, s)
+        # A letter that looks like another also does so under an accent.
+        t = "".join(plain_of.get(c, c) for c in s)
+        if len(t) > 1 and t != s:
+            classes.union(s, t)
     members: dict[str, list[str]] = {}
     for s in list(classes.parent):
         members.setdefault(classes.find(s), []).append(s)
@@ -108,19 +115,25 @@ def automaton(table_: dict[str, str]) -> ahocorasick.Automaton | None:
 
 
 def rewrite(text: str, a: ahocorasick.Automaton | None) -> str:
-    """Replace from left to right the longest pattern at each place, then join accents to their letters."""
+    """Replace from left to right the longest pattern at each place, then join accents to their letters; again while what was
+    taken out or replaced lets other characters meet."""
     if a is None:
         return text
-    text = unicodedata.normalize("NFD", text)
-    out, done = [], 0
-    for end, (n, to) in a.iter_long(text):
-        out += (text[done : end - n + 1], to)
-        done = end + 1
-    out.append(text[done:])
-    return unicodedata.normalize("NFC", "".join(out))
-
-
-_HOST = re.compile(r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#]*@)?([^/?#]*)")
+    for _ in range(len(text) + 1):
+        before, apart = text, unicodedata.normalize("NFD", text)
+        out, done = [], 0
+        for end, (n, to) in a.iter_long(apart):
+            out += (apart[done : end - n + 1], to)
+            done = end + 1
+        out.append(apart[done:])
+        text = unicodedata.normalize("NFC", "".join(out))
+        if text == before:
+            break
+    return text
+
+
+# What precedes a port is a host, not a scheme.
+_HOST = re.compile(r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://|//|[A-Za-z][A-Za-z0-9+.-]*:(?![0-9]*(?:[/?#]|$)))?(?:[^/?#]*@)?([^/?#]*)")
 _LABEL = re.compile(r"(?i)(?<![^.])xn--([^.:]+)")
 
 
@@ -192,18 +205,22 @@ def lookalike_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
 
     Texts of ASCII alone without ``xn--`` labels are their own form, hence never look like each other: one side of
     every pair is among the others. Pairs are first made of distinct texts, then of rows, so copies multiply only what
-    is reported. Null texts and idents look like nothing; repeated rows give repeated pairs; an empty table gives none.
+    is reported; forms with many texts and texts with many rows are dealt into blocks. Null texts and idents look like
+    nothing; repeated rows give repeated pairs; an empty table gives none.
     """
     rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     odd = rows.where(F.col("text").rlike(ODD)).select("text").distinct()
     odd = materialize(with_plain_form(odd, "text", "form"))
-    met = odd.select(F.col("text").alias("s"), "form").join(odd.select(F.col("text").alias("t"), "form"), "form").where("s < t").select("s", "t")
+    sizes = odd.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = pairs_within(odd.join(sizes, "form").select(F.col("form").alias("rep"), "n", F.col("text").alias("ident")))
+    met = met.select(F.col("x").alias("s"), F.col("y").alias("t"))
     met = met.union(odd.where("text <> form").where(~F.col("form").rlike(ODD)).select("text", "form"))
     met = materialize(met)
     needed = met.select(F.col("s").alias("text")).union(met.select("t")).distinct()
     touched = materialize(rows.join(needed, "text", "left_semi"))
-    left = met.join(touched.select(F.col("text").alias("s"), F.col("id").alias("x")), "s")
-    both = left.join(touched.select(F.col("text").alias("t"), F.col("id").alias("y")), "t")
+    sizes = touched.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    members = dealt(spread_join(touched, sizes.withColumn("w", F.col("n")), "text", weight="w", total=touched.count()).select(F.col("text").alias("rep"), "n", F.col("id").alias("ident")))
+    both = meet(meet(met, "s", members, "x"), "t", members, "y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

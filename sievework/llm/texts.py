@@ -18,16 +18,21 @@ def model_text(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"^(?i:https?://)", ""), r"^(?i:www\.)", "")
 
 
+def digest(text: Column) -> Column:
+    """160 bits of SHA-256, by which exact copies meet: no two different texts with one digest can be made."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 20)
+
+
 def fold_copies(df: DataFrame, ident: str, text: Column, *carry: Column, facts: dict[str, Column] | None = None) -> DataFrame:
     """Every row with the class of its exact copies: ``rep`` (least ``ident`` of the class), ``n`` (rows of the class),
     ``ident``, ``text`` (only where ``ident`` is ``rep``, else null), the columns ``carry`` and the aggregates ``facts``
     of the class (over carried columns); written to the shared folder.
 
-    Texts meet by their 128-bit digest. The count is combined on the map side and the join back spreads large
+    Texts meet by their ``digest``. The count is combined on the map side and the join back spreads large
     classes, so a text that stands in a third of all rows makes no heavy task. Rows with a null text or ident are left out.
     """
     rows = df.select(F.col(ident).alias("ident"), text.alias("text"), *carry).where("ident is not null and text is not null")
-    rows = rows.withColumn("h", F.unhex(F.md5("text")))
+    rows = rows.withColumn("h", digest(F.col("text")))
     facts = facts or {}
     firsts = rows.groupBy("h").agg(F.min("ident").alias("rep"), F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in facts.items()))
     firsts = firsts.withColumn("w", F.col("n"))
@@ -66,15 +71,21 @@ def meet(links: DataFrame, side: str, members: DataFrame, name: str, *, singles:
     return out.drop("blocks", "block", side)
 
 
+def pairs_within(members: DataFrame) -> DataFrame:
+    """``(x, y)``, x < y, of the different idents of every class in ``members`` (``rep``, ``n``, ``ident``), block by block."""
+    repeated = dealt(members.where("n > 1").select("rep", "n", "ident"))
+    left = repeated.select("rep", "block", F.col("ident").alias("x"))
+    right = every_block(repeated.select("rep", "blocks", F.col("ident").alias("y"))).drop("blocks")
+    return left.join(right, ["rep", "block"]).where("x < y").select("x", "y")
+
+
 def expand_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
     """All pairs of rows ``(a, b)``, smaller ident first, behind ``pairs`` ``(a, b)`` of classes and inside each class.
 
     Written out in full, as a report of cases needs it; the classes themselves are the compact form.
     """
     repeated = dealt(members.where("n > 1").select("rep", "n", "ident"))
-    left = repeated.select("rep", "block", F.col("ident").alias("x"))
-    right = every_block(repeated.select("rep", "blocks", F.col("ident").alias("y"))).drop("blocks")
-    inside = left.join(right, ["rep", "block"]).where("x < y").select("x", "y")
+    inside = pairs_within(members)
     across = meet(meet(pairs.select(F.col("a").alias("p"), F.col("b").alias("q")), "p", repeated, "x", singles=True), "q", repeated, "y", singles=True)
     across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return inside.union(across).select(F.col("x").alias(a), F.col("y").alias(b))
