@@ -116,6 +116,33 @@ def test_terms(spark):
     assert {r.mark for r in p3_terms.marked_terms(df.limit(0), "body", named, "ngram").collect()} == {"rare"}
 
 
+@pytest.mark.parametrize("held", [4_000_000, 50])
+def test_longer_terms(spark, monkeypatch, held):
+    monkeypatch.setattr(p3_terms, "_HELD", held)
+    texts = ["abcdeabcde", "abcde\x00", "\ufeffab😀cd", None, "", "abcd", "x" * 3000, "abcdeabcde"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for n in (4, 5, 7):
+        plain = [t for t in texts if t]
+        terms = {t[i : i + n] for t in plain for i in range(len(t) - n + 1)}
+        got = {r.ngram: (r.occurrences, r.records) for r in p3_terms.ngram_counts(df, n).collect()}
+        assert got == {g: (sum(sum(t.startswith(g, i) for i in range(len(t))) for t in plain), sum(g in t for t in plain)) for g in terms}
+
+
+def test_counters_are_passed_on(monkeypatch):
+    """A task never holds many more counters than it may, whatever the number of distinct terms."""
+    monkeypatch.setattr(p3_terms, "_HELD", 100)
+    c, seen = p3_terms._Counters(), Counter()
+    for s in range(50):
+        c.add(np.arange(s * 60, s * 60 + 60, dtype=np.uint64), np.zeros(60, np.int64))
+        assert c.held <= 160
+        if c.full():
+            k, o, _ = c.passed_on()
+            seen.update(dict(zip(k.tolist(), o.tolist())))
+    k, o, _ = c.passed_on()
+    seen.update(dict(zip(k.tolist(), o.tolist())))
+    assert len(seen) == 3000 and set(seen.values()) == {1}
+
+
 def test_counters_merge_in_slices(monkeypatch, spark):
     monkeypatch.setattr(p3_terms, "_HELD", 10)
     monkeypatch.setattr(p3_terms, "_SLICE", 8)
@@ -299,6 +326,21 @@ def test_packing(spark):
     assert [r[0] for r in toks] == [3, 1, None]
 
 
+def test_patterns_are_bounded_by_lengths():
+    """The work depends on the different lengths, not on the items; every item is placed once and no pack is overfull."""
+    assert len(p8_packing.shortest_pack_first({5000: 10**9}, 8192)) == 1
+    assert p8_packing.shortest_pack_first({37: 400}, 100) == [(((37, 2),), 200)]
+    rng = random.Random(8)
+    for capacity in (7, 60, 1000, 1000, 8192):
+        histogram = {rng.randrange(1, capacity + 1): rng.randrange(1, 10 ** rng.randrange(1, 9)) for _ in range(300)}
+        patterns = p8_packing.shortest_pack_first(histogram, capacity)
+        placed = Counter()
+        for pattern, count in patterns:
+            assert count > 0 and sum(n * times for n, times in pattern) <= capacity
+            placed.update({n: times * count for n, times in pattern})
+        assert placed == histogram and len(patterns) <= 2 * len(histogram) + 1
+
+
 # 9
 
 
@@ -408,11 +450,27 @@ def test_proximity_matches(spark):
     assert "p9_near" in catalog.QUERIES
 
 
+@pytest.mark.parametrize("block", [5_000, 3])
+def test_hot_forms(spark, monkeypatch, block):
+    """Forms with many texts, and texts with many rows, come out whole."""
+    monkeypatch.setattr(texts_module, "BLOCK", block)
+    texts = ["ao"] * 12 + ["\u0430o"] * 9 + ["a\u043e", "\u0430\u043e", "a\u200bo", "\uff41o", "b"]
+    df = spark.createDataFrame([*enumerate(texts)], "i long, u string")
+    got = pairs(p2_lookalikes.lookalike_pairs(df, "i", "u"))
+    n = len(texts) - 1
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if texts[i] != texts[j]}
+
+
 def test_lookalikes_of_more_scripts(spark):
     """Cyrillic and Coptic r, Greek sigma, Cherokee R, Lisu B and others read like the ASCII letter; every letter has one reading."""
     texts = ["http://roRB.test/", "http://\u0433\u03c3\u13a1\ua4d0.test/", "http://\u2c85\u2c9f\ua4e3B.test/", "http://ro\u13d2\ua4d0.test/", "http://toRB.test/"]
     df = spark.createDataFrame([*enumerate(texts)], "i long, u string")
     got = {(r.a, r.b) for r in p2_lookalikes.lookalike_pairs(df, "i", "u").collect()}
     assert got == {(i, j) for i in range(4) for j in range(i + 1, 4)}
+    # Accents on look-alike letters, invisible characters between letter and accent, and a hidden label before a port.
+    texts = ["no\u00ebl", "no\u0451l", "no\u0435\u0308l", "noe\u200b\u0308l", "xn--caf-dma.test:80/", "caf\u00e9.test:80/", "xn--caf-dma.test:80", "no\u0435l"]
+    df = spark.createDataFrame([*enumerate(texts)], "i long, u string")
+    got = {(r.a, r.b) for r in p2_lookalikes.lookalike_pairs(df, "i", "u").collect()}
+    assert got == {(i, j) for i in range(4) for j in range(i + 1, 4)} | {(4, 5)}
     every = [c for others in p2_lookalikes.LOOKALIKES.values() for c in others]
     assert len(every) == len(set(every))
