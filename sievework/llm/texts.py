@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,27 @@ def fold_copies(df: DataFrame, ident: str, text: Column, *carry: Column, facts:
     return materialize(joined.select("rep", "n", "ident", F.when(F.col("ident") == F.col("rep"), F.col("text")).alias("text"), *kept, *facts))
 
 
+#: Bits of the map of idents that are looked for: 512 KB to broadcast, however many there are.
+MAP_BITS = 22
+
+
+def named(df: DataFrame, ident: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` (``ident`` and ``text``) that may have an ident in ``wanted``, told by a bit map of fixed size, so that the texts of
+    others are not shuffled for a join with it. Chance companions pass; the more idents are wanted, the more."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS)).alias("s")
+    bits = np.zeros(1 << MAP_BITS, bool)
+    bits[wanted.select(slot(ident)).distinct().toArrow().column("s").to_numpy()] = True
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(marks[batch.column("s").to_numpy()])).select([ident, "text"])
+
+    kind = df.schema[ident].dataType.simpleString()
+    return df.select(ident, "text", slot(ident)).mapInArrow(run, f"{ident} {kind}, text string")
+
+
 #: Members of a class that one task pairs with all it meets; larger classes are dealt into blocks.
 BLOCK = 5_000
 
