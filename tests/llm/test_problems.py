@@ -349,7 +349,7 @@ def test_eval_leaks(spark, monkeypatch):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)] + ["Élan", "ÀB", "3x"]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(text(rng.randrange(8, 40)))) for i in range(20)] + [(90, None), (91, ""), (92, "same " * 30)]
+    items = [(i, " ".join(text(rng.randrange(8, 40)))) for i in range(20)] + [(90, None), (91, ""), (92, "same " * 30), (93, "just three words")]
     docs = []
     for i in range(120):
         w = text(rng.randrange(0, 200))
@@ -360,26 +360,58 @@ def test_eval_leaks(spark, monkeypatch):
             w[rng.randrange(0, len(w) + 1) : 0] = src[p : p + k]
         docs.append((i, rng.choice([" ", "  ", "-\n", "_"]).join(w).upper() if i % 2 else ", ".join(w)))
     docs += [(500, None), (501, ""), (502, "same " * 11), (503, "same " * 5000), (3, docs[3][1])]
+    docs.append((504, "x " + dict(items)[93] + " y"))
     word = re.compile(r"[^\W_]+")
     split = lambda t: [x.lower() for x in word.findall(t or "")]
     want = {}
     for d, t in docs:
         a = split(t)
-        here = {tuple(a[k : k + 12]) for k in range(len(a) - 11)}
         for i, p in items:
             b = split(p)
-            hits = [k for k in range(len(b) - 11) if tuple(b[k : k + 12]) in here]
+            size = min(12, len(b))
+            here = {tuple(a[k : k + size]) for k in range(len(a) - size + 1)}
+            hits = [k for k in range(len(b) - size + 1) if size and tuple(b[k : k + size]) in here]
             if hits:
-                want[d, i] = len({k + j for k in hits for j in range(12)})
+                want[d, i] = len({k + j for k in hits for j in range(size)})
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"ident": F.lit(1), "item_id": F.lit(2)})
     got = p9_eval_leaks.leaked_passages(df, "doc_id", "text", spark.createDataFrame(items, "item_id long, t string"), "item_id", "t").collect()
     assert {(r.doc_id, r.item_id): r.covered for r in got} == want and len(got) == len(want)
-    assert all(r.longest >= 12 and r.covered <= r.item_words for r in got)
+    assert all(r.longest >= min(12, r.item_words) and r.covered <= r.item_words for r in got)
     none = spark.createDataFrame([], "item_id long, t string")
     assert not p9_eval_leaks.leaked_passages(df, "doc_id", "text", none, "item_id", "t").count()
     assert not p9_eval_leaks.leaked_passages(df.limit(0), "doc_id", "text", spark.createDataFrame(items, "item_id long, t string"), "item_id", "t").count()
 
 
+def test_chapter_long_items(spark):
+    """An item of 10,000 words in several documents takes no array of documents times words; the blocks of a large query set give the same."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    w = [f"w{i % 977}x{i % 13}" for i in range(10_000)]
+    q = p9_eval_leaks.Queries([(1, " ".join(w))], 12)
+    q.plan(np.bincount(q.term[q.words[0]], minlength=len(q.names)))
+    number = np.tile(q.words[0], 20)
+    starts = np.arange(20) * 10_000
+    lists = np.searchsorted(q.wanted, q.names)
+    wanted = np.isin(q.names, q.wanted)
+    keys = np.sort(np.concatenate([(np.int64(lists[t]) << 32) + np.flatnonzero(q.term[number] == t) for t in np.flatnonzero(wanted)]))
+    tracemalloc.start()
+    doc, i, place = p9_eval_leaks.intersected(SimpleNamespace(**vars(q)), keys, starts)
+    for d, p in zip(doc, place):
+        p9_eval_leaks.stretches(number[d * 10_000 : d * 10_000 + 10_000], q.words[0], int(p), 12)
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+    assert {(d, 0) for d in range(20)} <= set(zip(doc.tolist(), place.tolist()))
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(f"w{(i * 5 + k) % 90}" for k in range(20))) for i in range(20)], "item_id long, t string")
+    whole = pairs(p9_eval_leaks.leaked_passages(docs, "doc_id", "text", items, "item_id", "t"))
+    monkeypatch.setattr(p9_eval_leaks, "QUERY_WORDS", 300)
+    assert whole and pairs(p9_eval_leaks.leaked_passages(docs, "doc_id", "text", items, "item_id", "t")) == whole
+
+
 # 10
 
 
