@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group before compression.
+_ROW_GROUP = 16 << 20
 _written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
@@ -31,10 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here and no executor owns a part."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends here and no executor owns a part.
+
+    Row groups are small, so that what few tasks wrote is read by many.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sievework-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
