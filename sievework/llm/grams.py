@@ -54,13 +54,8 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
-def at_least(a: str, b: str, q: int, threshold: float) -> bool:
-    """Whether the Jaccard similarity of the sets of ``q``-character substrings reaches ``threshold``, in whole numbers so
-    that the bound itself counts; equal texts have similarity 1."""
-    if a == b:
-        return True
-    x = {a[i : i + q] for i in range(len(a) - q + 1)}
-    y = {b[i : i + q] for i in range(len(b) - q + 1)}
+def alike(x: set[str], y: set[str], threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sets of grams reaches ``threshold``, in whole numbers so that the bound itself counts."""
     both = len(x & y)
     parts = round(threshold * 10_000)
     return both > 0 and both * 10_000 >= parts * (len(x) + len(y) - both)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +13,17 @@ from ..operators.shared import materialize, widened
 from ..operators.skew import spread_join
 from ..session import table
 from . import postings
-from .grams import code_points, mix
-from .texts import expand_pairs
+from .grams import code_points, mix, runs
+from .texts import digest, expand_pairs, named, pairs_within
 
 LEAST = 400
 #: Code points hashed at once. Places in a slice must fit 20 bits.
 _SLICE = 400_000
-_DTYPE = np.dtype([("t", "<u8"), ("id", "<i8"), ("at", "<u4")])
+_BLOCKS = np.dtype([("t", "<u8"), ("id", "<i8"), ("at", "<u4")])
+_WINDOWS = np.dtype([("t", "<u8"), ("id", "<i8"), ("at", "<u4"), ("w", "<u8"), ("j", "<u2")])
 _BASE = 0x9E3779B97F4A7C15
-#: Bits of the map of documents that hold a shared block: 512 KB to broadcast, however many documents there are.
-_MAP_BITS = 22
+#: Places of a window relative to its block that stay together when a block is hot.
+_NEAR = 16
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,169 +55,242 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return (low & np.uint64((1 << 20) - 1)).astype(np.int64)
 
 
-def blocks_of(texts: list[str], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(text, place, hash)`` of the reference blocks of each text: blocks of half the length ``least``, so chosen that
-    any stretch of ``least`` code points holds one, the same one wherever it stands.
+class Slice:
+    """Some texts, or parts of long ones, hashed together; parts overlap so that every window lies in one of them.
 
-    A stretch of ``least`` has ``w = least - k + 1`` blocks of ``k``; the least hash of every ``w`` in a row is taken.
-    Texts are cut into slices only for hashing; slices overlap so that no stretch is missed.
+    Of every window of ``least`` code points ``text`` is the number of its text, ``start`` where it begins there and ``place`` where its
+    reference block does: the block of half that length with the least hash in the window, hence the same one wherever the window
+    stands. ``block`` is the hash of that block, ``window()`` that of the window.
     """
-    k = least // 2
-    w = least - k + 1
-    powers = _powers(_SLICE + least)
-    held: list[tuple[int, int, str]] = []
-    size = 0
 
-    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        points, lengths = code_points([t for _, _, t in held])
-        h = block_hashes(points, k, powers)
-        low = window_minima(h, w)
+    def __init__(self, held: list[tuple[int, int, str]], least: int, powers: tuple[np.ndarray, np.ndarray]) -> None:
+        self.points, lengths = code_points([t for _, _, t in held])
+        self.least, self.powers = least, powers
+        h = block_hashes(self.points, least // 2, powers)
+        low = window_minima(h, least - least // 2 + 1)
         ends = np.cumsum(lengths)
         part = np.repeat(np.arange(len(held)), lengths)[: len(low)]
-        low = low[np.arange(len(low)) + least <= ends[part]]
-        at = np.unique(low)
-        part = np.searchsorted(ends, at, side="right")
-        return np.array([i for i, _, _ in held])[part], at - (ends - lengths)[part] + np.array([o for _, o, _ in held])[part], h[at]
+        self.at = np.flatnonzero(np.arange(len(low)) + least <= ends[part])
+        part, low = part[self.at], low[self.at]
+        shift = np.array([o for _, o, _ in held]) - (ends - lengths)
+        self.text = np.array([i for i, _, _ in held])[part]
+        self.start, self.place, self.block = self.at + shift[part], low + shift[part], h[low]
+
+    def window(self, some: np.ndarray) -> np.ndarray:
+        return block_hashes(self.points, self.least, self.powers)[self.at[some]]
+
 
+def slices(texts: list[str], least: int) -> Iterator[Slice]:
+    powers = _powers(_SLICE + least)
+    held: list[tuple[int, int, str]] = []
+    size = 0
     for i, text in enumerate(texts):
         if len(text) < least:
             continue
         for s in range(0, len(text) - least + 1, _SLICE - least):
             piece = text[s : s + _SLICE - 1]
             if size + len(piece) > _SLICE:
-                yield out()
+                yield Slice(held, least, powers)
                 held, size = [], 0
             held.append((i, s, piece))
             size += len(piece)
     if held:
-        yield out()
+        yield Slice(held, least, powers)
 
 
-def _candidates(docs: DataFrame, copies: DataFrame, rows: int, least: int) -> DataFrame:
-    """``(a, b, pa, pb)``: documents a < b, neither a later copy, with an equal block hash at those places."""
+def _met_blocks(docs: DataFrame, copies: DataFrame, rows: int, least: int) -> DataFrame:
+    """``(ident, places)``: the blocks of every document, no later copy, that other documents have too."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ident").to_numpy()
             owner, blobs = [], []
-            for text, place, h in blocks_of(batch.column("text").to_pylist(), least):
-                a = np.zeros(len(text), _DTYPE)
-                a["t"], a["id"], a["at"] = h, ids[text], place
-                cuts = np.append(np.flatnonzero(np.diff(text)) + 1, len(a))
-                s = 0
-                for e in cuts:
-                    owner.append(ids[text[s]])
+            for x in slices(batch.column("text").to_pylist(), least):
+                first = runs(x.text * (1 << 40) + x.place)
+                a = np.zeros(len(first), _BLOCKS)
+                a["t"], a["id"], a["at"] = x.block[first], ids[x.text[first]], x.place[first]
+                cuts = runs(x.text[first])
+                for s, e in zip(cuts, [*cuts[1:], len(first)]):
+                    owner.append(int(a["id"][s]))
                     blobs.append(postings.pack(a[s:e]))
-                    s = e
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(blobs, pa.binary())], ["ident", "blob"])
 
     later = copies.where("ident <> rep").select("ident")
     blocks = materialize(widened(docs).mapInArrow(index, "ident long, blob binary").join(later, "ident", "left_anti"))
 
     def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield np.concatenate([postings.unpack(b.as_py(), _DTYPE) for b in batch.column("blob")])
+        yield np.concatenate([postings.unpack(b.as_py(), _BLOCKS) for b in batch.column("blob")])
 
-    def keep(p: postings.Pairs) -> None:
-        pass
+    def once(batch: pa.RecordBatch) -> Iterator[np.ndarray]:  # a block that one document repeats is not hot
+        for a in make(batch):
+            yield a[np.unique(a[["t", "id"]], return_index=True)[1]]
 
-    def out(p: postings.Pairs) -> list[np.ndarray]:
-        (x, y), (at_x, at_y) = p.get("id"), p.get("at")
-        swap = x > y
-        return [np.where(swap, y, x), np.where(swap, x, y), np.where(swap, at_y, at_x).astype(np.int64), np.where(swap, at_x, at_y).astype(np.int64)]
+    # A hot block is in several documents for certain: its postings need not meet and are dealt out by document.
+    hot = postings.hot_tokens(blocks, once, rows=rows * 32)
+    lists = postings.build(blocks, make, postings.parts(rows * 32), hot, by=lambda a, n: mix(a["id"].astype(np.uint64)) % n)
 
-    parts = max(12, rows * 32 // postings.PART)
-    lists = postings.build(blocks, make, parts, postings.hot_tokens(blocks, make, rows=rows * 32))
-    met = postings.join(lists, _DTYPE, keep, out, "a long,b long,pa long,pb long")
-    # One seed per alignment is enough: what is contiguous around it is one factor.
-    return met.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("d")).agg(F.array_sort(F.collect_set("pa")).alias("seeds"))
+    def met(key: tuple, table: pa.Table) -> pa.Table:
+        a = np.concatenate([postings.unpack(b.as_py(), _BLOCKS) for b in table.column("blob")])
+        if key[1].as_py() < 0:
+            a = a[np.lexsort((a["id"], a["t"]))]
+            starts = runs(a["t"])
+            ends = np.append(starts[1:], len(a))
+            a = a[np.repeat(a["id"][starts] != a["id"][ends - 1], ends - starts)]
+        a = a[np.argsort(a["id"], kind="stable")]
+        cuts = runs(a["id"])
+        blobs = [a["at"][s:e].tobytes() for s, e in zip(cuts, [*cuts[1:], len(a)])]
+        return pa.table([pa.array(a["id"][cuts]), pa.array(blobs, pa.binary())], ["ident", "places"])
 
+    parts_ = lists.groupBy("part", "sub").applyInArrow(met, "ident long, places binary")
+    return parts_.groupBy("ident").agg(F.collect_list("places").alias("places"))
 
-def factors(x: str, y: str, shift: int, seeds: list[int], least: int) -> list[tuple[int, int]]:
-    """``(start in x, length)`` of the maximal equal stretches of at least ``least`` through the ``seeds`` (places in x);
-    ``shift`` is what a place in x exceeds its place in y by. Seeds within a factor already read are passed over."""
-    out, done = [], -1
-    for p in seeds:
-        if p < done:
-            continue
-        start, q = p, p - shift
-        step = least
-        # Longest common suffix before the seed and prefix after it, by doubling and halving steps of slice comparison.
-        back = _common(lambda n: x[start - n : start] == y[q - n : q], min(start, q), step)
-        ahead = _common(lambda n: x[start : start + n] == y[q : q + n], min(len(x) - start, len(y) - q), step)
-        if back + ahead >= least:
-            out.append((start - back, back + ahead))
-        done = start + ahead
-    return out
-
-
-def _common(equal, most: int, step: int) -> int:
-    """The largest n up to ``most`` for which ``equal(n)`` holds, given that it holds for all smaller ones."""
-    low, high = 0, min(step, most)
-    while high < most and equal(high):
-        low, high = high, min(2 * high, most)
-    while low < high:
-        mid = (low + high + 1) // 2
-        if equal(mid):
-            low = mid
-        else:
-            high = mid - 1
-    return low
 
+def _windows(docs: DataFrame, met: DataFrame, rows: int, least: int) -> DataFrame:
+    """Lists of all windows around the blocks in ``met``, by block; those of a hot block are cut by where the window begins before the
+    block, and by the window's hash, so that equal windows stay together."""
+    some = materialize(named(docs, "ident", met).join(met, "ident"))
 
-def shared_factors(df: DataFrame, ident: str, text: str, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """``(factors, copies)``: ``(a, b, start_a, start_b, length)`` of the maximal stretches of at least ``least`` code points
-    that different texts a < b have in common, and ``(rep, ident, n)`` with the exact copies of every document.
-
-    Seed and extend: an index of blocks, chosen by their content in all documents, says where two of them may agree; each
-    such seed is extended both ways as far as both agree, and stretches (factors) shorter than ``least`` are dropped. No
-    document is parsed greedily, as a parse names one source for each factor and all pairs are wanted. Blocks guarantee that no stretch is missed; comparing the texts at the factor's two boundaries
-    makes it exact. Copies are folded first and documents without a shared block never leave the map side, told by a
-    bit map of fixed size. Null idents and texts are left out, texts shorter than ``least`` share nothing but copies; an empty
-    table gives no rows.
+    def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        ids, texts = batch.column("ident").to_numpy(), batch.column("text").to_pylist()
+        places = [np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in row])).astype(np.int64) for row in batch.column("places").to_pylist()]
+        wanted = np.concatenate([(i << 40) + p for i, p in enumerate(places)])  # ascends
+        for x in slices(texts, least):
+            key = (x.text << 40) + x.place
+            m = np.flatnonzero(wanted[np.searchsorted(wanted, key).clip(max=len(wanted) - 1)] == key)
+            out = np.zeros(len(m), _WINDOWS)
+            out["t"], out["id"], out["at"], out["w"], out["j"] = x.block[m], ids[x.text[m]], x.start[m], x.window(m), x.place[m] - x.start[m]
+            yield out
+
+    near = -(-(least - least // 2 + 1) // _NEAR)
+
+    def by(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        deep = np.maximum(n // near, 1)
+        return (a["j"] // _NEAR) * deep + (mix(a["w"]) % deep.astype(np.uint64)).astype(np.int64)
+
+    size = rows * 8 * (least // 4)
+    return postings.build(some, make, postings.parts(size), postings.hot_tokens(some, make, rows=size), by=by)
+
+
+def window_classes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``a`` sorted by block, window and document, where each class of equal windows begins, and which classes two documents share."""
+    a = a[np.lexsort((a["at"], a["id"], a["w"], a["t"]))]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a["t"][1:] != a["t"][:-1]) | (a["w"][1:] != a["w"][:-1])
+    starts = np.flatnonzero(fresh)
+    ends = np.append(starts[1:], len(a))
+    return a, starts, a["id"][starts] != a["id"][ends - 1]
+
+
+def factored(a: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """``(document, start, length, source, source start)``: every document factored greedily against the windows of all others.
+
+    A window's source is its first occurrence (least document, then place) in another document. From a document's first shared window a
+    factor goes on as long as the source does, then the next one begins.
     """
+    a, starts, shared = window_classes(a)
+    size = np.diff(np.append(starts, len(a)))
+    first = np.repeat(starts, size)
+    other = np.full(len(starts), -1)  # the first posting of a second document
+    change = np.flatnonzero((a["id"][1:] != a["id"][:-1])) + 1
+    k = np.searchsorted(change, starts + 1)
+    other[shared] = change[k[shared]]
+    source = np.where(a["id"] == a["id"][first], np.repeat(other, size), first)
+    m = np.repeat(shared, size)
+    ident, at, source = a["id"][m], a["at"][m].astype(np.int64), source[m]
+    of, there = a["id"][source], a["at"][source].astype(np.int64)
+    order = np.lexsort((at, ident))
+    ident, at, of, there = ident[order], at[order], of[order], there[order]
+    goes_on = np.zeros(len(at), bool)
+    goes_on[1:] = (ident[1:] == ident[:-1]) & (at[1:] == at[:-1] + 1) & (of[1:] == of[:-1]) & (there[1:] == there[:-1] + 1)
+    begin = np.flatnonzero(~goes_on)
+    length = np.diff(np.append(begin, len(at))) + least - 1
+    return ident[begin], at[begin], length, of[begin], there[begin]
+
+
+def sharing_sets(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(set, n, document)``: the sets of documents that have a window in common, each set once; a set is named by a hash of its documents."""
+    a, starts, shared = window_classes(a)
+    if not shared.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a))))
+    m = shared[group]
+    group, ident = group[m], a["id"][m]
+    once = np.ones(len(ident), bool)
+    once[1:] = (group[1:] != group[:-1]) | (ident[1:] != ident[:-1])
+    group, ident = group[once], ident[once]
+    starts = runs(group)
+    size = np.diff(np.append(starts, len(group)))
+    name = mix(np.add.reduceat(mix(ident.astype(np.uint64) ^ np.uint64(_BASE)), starts) ^ size.astype(np.uint64))
+    _, kept = np.unique(name, return_index=True)
+    chosen = np.zeros(len(starts), bool)
+    chosen[kept] = True
+    m = np.repeat(chosen, size)
+    return np.repeat(name, size)[m].view(np.int64), np.repeat(size, size)[m], ident[m]
+
+
+def _compared(df: DataFrame, ident: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """``(lists, copies)``: the lists of windows that may be shared, and ``(rep, ident, n)`` with the exact copies of every document."""
     docs = df.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("text")).where("ident is not null and text is not null")
-    keyed = docs.select("ident", F.unhex(F.md5("text")).alias("h"))
+    keyed = docs.select("ident", digest(F.col("text")).alias("h"))
     firsts = keyed.groupBy("h").agg(F.min("ident").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("w", F.col("n"))
     rows = df.count()
     copies = materialize(spread_join(keyed, firsts, "h", weight="w", total=rows).select("rep", "ident", "n"))
-    met = materialize(_candidates(docs, copies.where("n > 1"), rows, least))
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << _MAP_BITS)).alias("s")
-    marked = met.select(F.col("a").alias("id")).union(met.select("b")).select(slot).distinct().toArrow().column("s").to_numpy()
-    bits = np.zeros(1 << _MAP_BITS, bool)
-    bits[marked] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(marks[batch.column("s").to_numpy()])).select(["ident", "text"])
+    met = materialize(_met_blocks(docs, copies.where("n > 1"), rows, least))
+    return _windows(docs, met, rows, least), copies
+
+
+def _unpacked(table: pa.Table) -> np.ndarray:
+    return np.concatenate([postings.unpack(b.as_py(), _WINDOWS) for b in table.column("blob")])
+
+
+def shared_factors(df: DataFrame, ident: str, text: str, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """``(factors, copies)``: ``(ident, start, length, source, source_start)`` of the factors of at least ``least`` code points by which each
+    different text is parsed against all others, and ``(rep, ident, n)`` with the exact copies of every document.
 
-    slots = docs.select("ident", "text", F.pmod(F.xxhash64("ident"), F.lit(1 << _MAP_BITS)).alias("s"))
-    some = slots.mapInArrow(named, "ident long, text string")
-    left = met.join(some.select(F.col("ident").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(some.select(F.col("ident").alias("b"), F.col("text").alias("y")), "b")
+    Relative parsing: reference blocks, chosen by their content in all documents, are indexed; where a block is met in another document, every window of
+    ``least`` code points around it is looked up among the windows of all documents with that block, and the document is factored greedily, each
+    factor following one source as long as it goes. A window belongs to one block wherever it stands, so no shared window is missed, and one that
+    crosses the boundary of two factors is looked up like any other. The work grows with the windows, not with pairs of documents. Windows are told
+    apart by the 128 bits of their own and their block's hash.
+
+    Copies are folded first; only documents with a block that is met elsewhere leave the map side. Null idents and texts are
+    left out, texts shorter than ``least`` share nothing but copies; an empty table gives no rows.
+    """
+    lists, copies = _compared(df, ident, text, least)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table([pa.array(c) for c in factored(_unpacked(table), least)], ["ident", "start", "length", "source", "source_start"])
+
+    return lists.groupBy("part", "sub").applyInArrow(run, "ident long, start long, length long, source long, source_start long"), copies
+
+
+def sharing_documents(df: DataFrame, ident: str, text: str, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, copies)``: ``(a, b)``, a < b, of different texts that share a window of ``least`` code points, and the copies, as in ``shared_factors``.
+
+    The windows give sets of documents, of which equal ones are kept once; pairs are written from the sets' members, block by block.
+    """
+    lists, copies = _compared(df, ident, text, least)
 
-    @F.pandas_udf("array<struct<start:long,length:long>>")
-    def read(x: pd.Series, y: pd.Series, d: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": s, "length": n} for s, n in factors(*r, least)] for r in zip(x, y, d, seeds)])
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table([pa.array(c) for c in sharing_sets(_unpacked(table))], ["rep", "n", "ident"])
 
-    out = both.select("a", "b", "d", F.explode(read("x", "y", "d", "seeds")).alias("f"))
-    return out.select("a", "b", F.col("f.start").alias("start_a"), (F.col("f.start") - F.col("d")).alias("start_b"), F.col("f.length").alias("length")), copies
+    sets = materialize(lists.groupBy("part", "sub").applyInArrow(run, "rep long, n long, ident long").distinct())
+    return pairs_within(sets).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), copies
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found, copies = shared_factors(docs, "doc_id", "text")
+    found, copies = sharing_documents(docs, "doc_id", "text")
     long = docs.where(F.length("text") >= LEAST).select("doc_id")
     repeated = copies.where("n > 1").join(long.withColumnRenamed("doc_id", "ident"), "ident", "left_semi")
-    return expand_pairs(found.select("a", "b").distinct(), repeated, "doc_id_a", "doc_id_b")
+    return expand_pairs(found, repeated, "doc_id_a", "doc_id_b")
 
 
 def shared_spans(df: DataFrame, ident: str, text: str, *, least: int = LEAST) -> DataFrame:
     """``(doc_id, n_spans, shared_chars, n_chars, share)`` of every document with a text: how much of it stands elsewhere
-    in stretches of at least ``least`` code points; overlapping stretches count once. A document with an exact copy of that length is shared whole."""
+    in stretches of at least ``least`` code points. Factors that overlap or touch are one span. A document with an exact copy of that length is shared whole."""
     found, copies = shared_factors(df, ident, text, least=least)
-    ends = found.select(F.col("a").alias("rep"), F.col("start_a").alias("s"), "length").union(found.select("b", "start_b", "length"))
+    ends = found.select(F.col("ident").alias("rep"), F.col("start").alias("s"), "length")
     spans = ends.groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("length")).alias("e")))).alias("spans"))
     merged = F.aggregate(
         "spans",
@@ -249,5 +322,11 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = {
     "p10_found": f"""with stretches as (select distinct doc_id, hash(substr(text, i, {LEAST})) as h from (select doc_id, text, unnest(generate_series(1, length(text) - {LEAST - 1})) as i from documents where text is not null)),
     met as (select list(doc_id order by doc_id) as ids from stretches group by h having count(*) > 1), different as (select distinct ids from met)
-    select distinct a as doc_id_a, b as doc_id_b from (select unnest(ids) as a, ids from different), unnest(ids) as t(b) where a < b"""
+    select distinct a as doc_id_a, b as doc_id_b from (select unnest(ids) as a, ids from different), unnest(ids) as t(b) where a < b""",
+    "p10_shares": f"""with stretches as (select doc_id, i, hash(substr(text, i, {LEAST})) as h from (select doc_id, text, unnest(generate_series(1, length(text) - {LEAST - 1})) as i from documents where text is not null)),
+    met as (select h from stretches group by h having min(doc_id) <> max(doc_id)),
+    seen as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as step from stretches where h in (select h from met)),
+    per as (select doc_id, count(*) filter (step is null or step > {LEAST}) as n_spans, sum(case when step is null or step > {LEAST} then {LEAST} else step end) as shared_chars from seen group by 1)
+    select doc_id, coalesce(n_spans, 0) as n_spans, cast(coalesce(shared_chars, 0) as bigint) as shared_chars, length(text) as n_chars,
+      case when length(text) > 0 then round(coalesce(shared_chars, 0) * 1.0e0 / length(text), 6) else 0 end as share from documents left join per using (doc_id) where text is not null""",
 }

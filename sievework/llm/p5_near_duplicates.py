@@ -22,11 +22,13 @@ from ..operators.components import components
 from ..operators.shared import materialize
 from ..session import table
 from . import postings
-from .grams import RECORDS, at_least, mix, runs, windows
+from .grams import RECORDS, alike, mix, runs, windows
 from .texts import expand_pairs, fold_copies, model_text
 
 #: log2 of the number of counters for gram frequencies; it bounds what is broadcast (1 MB) and does not grow with the data.
 COUNTER_BITS = 18
+#: Occurrences beyond which a gram is indexed in pairs, and set size up to which it is; both steer the index, not what is found.
+FREQUENT, LONG = 20_000, 200
 WORDS = 3
 _SKETCH = [f"s{k}" for k in range(WORDS)]
 _DTYPE = np.dtype([("t", "<u8"), ("id", "<i8"), ("size", "<u4"), ("rank", "<u2"), *((s, "<u4") for s in _SKETCH)])
@@ -65,24 +67,48 @@ def ordered_sets(text: list[str], q: int, level: np.ndarray) -> Iterator[tuple[i
         yield s, both & np.uint64((1 << 51) - 1), (both >> np.uint64(51)).astype(np.int64)
 
 
+def paired(token: np.ndarray, record: np.ndarray, rank: np.ndarray, last: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, which)``: for each of the tokens numbered ``hot`` a key with every token that follows it in its record before rank ``last[record]``;
+    ``which`` is the number of the latter. A record's only token has a key of its own."""
+    n = np.maximum(last[record[hot]] - rank[hot] - 1, 0)
+    first = np.repeat(hot, n)
+    after = first + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    alone = hot[n == 0]
+    key = mix(token[first]) ^ (mix(token[after]) >> np.uint64(1))
+    return np.concatenate([key, mix(token[alone]) ^ np.uint64(1)]), np.concatenate([after, alone])
+
+
 def near_pairs(classes: DataFrame, q: int, threshold: float) -> DataFrame:
-    """``(a, b)``, a < b, of all ``classes`` (``rep``, ``text``) whose sets of ``q``-grams have at least that similarity."""
+    """``(a, b)``, a < b, of all ``classes`` (``rep``, ``text``) whose sets of ``q``-grams have at least that similarity.
+
+    A gram that occurs more than ``FREQUENT`` times is no token by itself: sets that share none rarer share two grams at least of the first m - ceil(t m) + 2, so it is
+    indexed together with each that follows. Lists thus stay short where all grams are frequent, as in a very large collection. Sets of more than
+    ``LONG`` grams, of which all pairs would be many, keep the single gram, and so do, besides, those that can be similar to such a set.
+    """
     rows = classes.count()
     frequency = gram_frequencies(classes, q)
-    shared = classes.sparkSession.sparkContext.broadcast(np.minimum(65535, np.log2(1 + frequency) * 2048).astype(np.uint64))
+    level = np.minimum(65535, np.log2(1 + frequency) * 2048).astype(np.uint64)
+    shared = classes.sparkSession.sparkContext.broadcast((level, int(np.log2(1 + FREQUENT) * 2048)))
 
     def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         ids, text = batch.column("rep").to_numpy(), batch.column("text").to_pylist()
-        for s, token, record in ordered_sets(text, q, shared.value):
+        level, frequent = shared.value
+        for s, token, record in ordered_sets(text, q, level):
             here = min(RECORDS, len(text) - s)
             size = np.bincount(record, minlength=here)
             sketch = postings.parity(mix(token), record, here, WORDS)
             rank = np.arange(len(token)) - (np.cumsum(size) - size)[record]
             prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            m = rank < prefix[record]
-            r = record[m]
+            inside = rank < prefix[record]
+            hot = inside & ((token >> np.uint64(35)) > frequent)
+            single = np.flatnonzero(inside & (~hot | (size[record] > threshold * LONG)))
+            key, after = paired(token, record, rank, np.minimum(prefix + 1, size), np.flatnonzero(hot & (size[record] <= LONG)))
+            which = np.concatenate([single, after])
+            r = record[which]
             out = np.zeros(len(r), _DTYPE)
-            out["t"], out["id"], out["size"], out["rank"] = token[m], ids[s : s + here][r], size[r], np.minimum(rank[m], 65535)
+            out["t"], out["id"], out["size"] = np.concatenate([token[single], key]), ids[s : s + here][r], size[r]
+            # In a pair of grams the second has the rank of the first that may still be followed by others.
+            out["rank"] = np.minimum(np.maximum(np.concatenate([rank[single], rank[after] - 1]), 0), 65535)
             for k, f in enumerate(_SKETCH):
                 out[f] = sketch[r, k]
             yield out
@@ -96,26 +122,27 @@ def near_pairs(classes: DataFrame, q: int, threshold: float) -> DataFrame:
         both = m.astype(np.int64) + n
         postings.within(p, both - 2 * postings.least_overlap(both, threshold), _SKETCH)
 
-    def stop(p: postings.Pairs) -> np.ndarray:
-        m, n = p.get("size")
-        return m < threshold * n - 1e-9
-
-    slim = classes.select("rep", "text")
-    parts = max(12, rows * 26 // postings.PART)
-    lists = postings.build(slim, make, parts, postings.hot_tokens(slim, make, rows=rows))
-    found = postings.join(lists, _DTYPE, keep, postings.distinct_ids, "a long,b long", order="size", stop=stop)
-    return verified(materialize(found.distinct()), classes, lambda x, y: at_least(x, y, q, threshold))
+    lists = postings.build(classes.select("rep", "text"), make, postings.parts(rows * 16))
+    found = postings.join(lists, _DTYPE, keep, threshold)
+    return verified(materialize(found), classes, q, threshold)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, test) -> DataFrame:
-    """The ``pairs`` (a, b) whose texts pass ``test``."""
+def verified(pairs: DataFrame, classes: DataFrame, q: int, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts have at least that similarity, exactly."""
     text = classes.select("rep", "text")
 
     @F.pandas_udf("boolean")
     def passes(x, y):
         import pandas as pd
 
-        return pd.Series([test(i, j) for i, j in zip(x, y)])
+        known: dict[str, set[str]] = {}  # a text stands in many pairs of a batch
+
+        def grams(t: str) -> set[str]:
+            if t not in known:
+                known[t] = {t[i : i + q] for i in range(len(t) - q + 1)}
+            return known[t]
+
+        return pd.Series([alike(grams(i), grams(j), threshold) for i, j in zip(x, y)], dtype=bool)
 
     left = pairs.join(text.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(text.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")

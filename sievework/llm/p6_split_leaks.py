@@ -13,12 +13,12 @@ from ..operators.shared import materialize
 from ..operators.skew import heavy_keys
 from ..session import table
 from . import postings
-from .grams import RECORDS, at_least, mix, runs, windows
+from .grams import RECORDS, mix, runs, windows
 from .p5_near_duplicates import NEAR_SQL, verified
 from .texts import BLOCK, dealt, every_block, fold_copies, meet, model_text
 
-#: Minwise hashes per band, and bands: a pair at similarity 0.7 shares no band with probability 1.5e-4, one at 0.8 with 5e-8.
-BAND_ROWS, BANDS = 4, 32
+#: Minwise hashes per band, and bands: a pair at similarity 0.7 shares no band with probability 5.7e-6, one at 0.8 with 1e-10.
+BAND_ROWS, BANDS = 4, 44
 WORDS = 3
 _SKETCH = [f"s{k}" for k in range(WORDS)]
 _DTYPE = np.dtype([("t", "<u8"), ("id", "<i8"), ("size", "<u4"), ("side", "u1"), *((s, "<u4") for s in _SKETCH)])
@@ -70,14 +70,9 @@ def cross_split_pairs(classes: DataFrame, q: int, threshold: float) -> DataFrame
         both = m.astype(np.int64) + n
         postings.within(p, both - 2 * postings.least_overlap(both, threshold), _SKETCH)
 
-    def stop(p: postings.Pairs) -> np.ndarray:
-        m, n = p.get("size")
-        return m < threshold * n - 1e-9
-
-    parts = max(12, rows * BANDS // postings.PART)
-    lists = postings.build(slim, make, parts, postings.hot_tokens(slim, make, rows=rows))
-    found = postings.join(lists, _DTYPE, keep, postings.distinct_ids, "a long,b long", order="size", stop=stop)
-    return verified(materialize(found.distinct()), classes, lambda x, y: at_least(x, y, q, threshold))
+    lists = postings.build(slim, make, postings.parts(rows * BANDS))
+    found = postings.join(lists, _DTYPE, keep, threshold)
+    return verified(materialize(found), classes, q, threshold)
 
 
 def split_leaks(df: DataFrame, ident: str, key: str, text: str, split: str, *, train: str = "train", q: int = 4, threshold: float = 0.7) -> DataFrame:

@@ -322,7 +322,7 @@ def _searched(docs: DataFrame, ident: str, text: str, items: DataFrame, item: st
 
         met = index.of_terms(q.wanted).groupBy("shard").cogroup(index.shards.groupBy("shard")).applyInArrow(_meeting(shared), "doc_id long, i long, place long")
         met = materialize(met.groupBy("doc_id").agg(F.collect_set(F.struct("i", "place")).alias("met")))
-        some = named(slim, "ident", met.select(F.col("doc_id").alias("ident"))).withColumnRenamed("ident", "doc_id").join(met, "doc_id")
+        some = named(slim, "ident", met.select(F.col("doc_id").alias("ident"))).withColumnRenamed("ident", "doc_id").join(met.hint("merge"), "doc_id")
 
         part = some.select("doc_id", "text", "met").mapInArrow(_confirming(shared, rows_of, kinds, names), f"doc_id long, {schema}")
         out = part if out is None else out.unionByName(part)

@@ -16,15 +16,22 @@ from pyspark.sql import functions as F
 
 from .grams import mix, runs
 
-#: Postings that one part is meant to hold, and of one token from which on its list is cut in blocks of half as many.
-PART = 250_000
-BLOCK = 8_000
-#: Hot tokens that the layout knows of at most (2 MB to broadcast): the hottest; shorter lists are joined in one piece.
+#: Postings that one part is meant to hold.
+PART = 500_000
+#: A list longer than two blocks of so many postings is joined block by block.
+BLOCK = 4_000
+#: Hot tokens that the layout knows of at most (2 MB to broadcast): the hottest; shorter lists stay in one piece.
 HOT = 100_000
 Hot = tuple[np.ndarray, np.ndarray]
+NONE: Hot = (np.empty(0, np.uint64), np.empty(0, np.int64))
 _BUFFER = 1_500_000
 
 
+def parts(size: int) -> int:
+    """Parts for about ``size`` postings."""
+    return max(12, size // PART)
+
+
 def pack(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
 
@@ -35,14 +42,14 @@ def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
 
 
 def hot_tokens(df: DataFrame, make: Callable, *, rows: int, share: int = 64) -> Hot:
-    """Tokens that seem to have over ``BLOCK`` postings, and blocks for each, told from one row in ``share``.
+    """Tokens that seem to have over two ``BLOCK`` of postings, and pieces for each, told from one row in ``share``.
 
-    It only steers how lists are cut into blocks, never what is joined: a list missed here is joined in one piece.
+    It only steers how lists that need no pairing are cut, never what is found: a list missed here stays in one piece.
     At most ``HOT`` tokens are told, the hottest; tables too small for such a list are not read.
     """
-    if rows <= BLOCK:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    least = max(2, BLOCK // share)
+    if rows <= 2 * BLOCK:
+        return NONE
+    least = max(2, 2 * BLOCK // share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,63 +57,39 @@ def hot_tokens(df: DataFrame, make: Callable, *, rows: int, share: int = 64) ->
                 t, n = np.unique(np.concatenate([p["t"] for p in make(batch)] or [np.empty(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["t", "n"])
 
-    sample = df.where(F.pmod(F.xxhash64(*[c for c in df.columns if c != "text"]), F.lit(share)) == 0)
+    sample = df.where(F.pmod(F.xxhash64("ident"), F.lit(share)) == 0)
     counts = sample.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     hottest = counts.orderBy(F.desc("n"), "t").limit(HOT)
-    found = sorted((r.t & 0xFFFFFFFFFFFFFFFF, -(-2 * r.n * share // BLOCK)) for r in hottest.collect())
+    found = sorted((r.t & 0xFFFFFFFFFFFFFFFF, -(-r.n * share // BLOCK)) for r in hottest.collect())
     return np.array([t for t, _ in found], np.uint64), np.array([max(2, n) for _, n in found], np.int64)
 
 
-def _blocks(a: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
-    """``(number of blocks, own block)`` of each posting; no blocks for tokens that are not hot."""
-    tokens, sizes = hot
-    n = np.zeros(len(a), np.int64)
-    if len(tokens):
-        at = np.searchsorted(tokens, a["t"]).clip(max=len(tokens) - 1)
-        n = np.where(tokens[at] == a["t"], sizes[at], 0)
-    return n, (mix(a["id"].astype(np.uint64)) % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
-
+def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, hot: Hot = NONE, by: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``(part, sub, blob)`` of the postings that ``make`` gives for each batch of ``df``.
 
-def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]], parts: int, hot: Hot) -> tuple[DataFrame, Hot]:
-    """``(part, lo, hi, blob)`` of the postings that ``make`` gives for each batch of ``df``; and ``hot``, for ``join``.
-
-    A ``hot`` token has its postings dealt into blocks by a hash of the record; the part for blocks ``lo <= hi`` gets
-    both, so that any two postings of the token meet in some part and none holds more than two blocks.
+    The postings of a ``hot`` token are dealt by ``by(postings, pieces)`` into pieces ``sub``, others have -1. No posting is sent twice.
     """
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, held, size = shared.value, [], 0
+        (tokens, pieces), held, size = shared.value, [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             a = np.concatenate(held)
             held.clear()
-            n, block = _blocks(a, hot)
-            keys, los, his, blobs = [], [], [], []
-
-            def cut(b: np.ndarray, part: np.ndarray, lo: int, hi: int) -> None:
-                order = np.lexsort((b["t"], part))
-                b, part = b[order], part[order]
-                starts = runs(part)
-                for s, e in zip(starts, [*starts[1:], len(b)]):
-                    keys.append(int(part[s]))
-                    los.append(lo)
-                    his.append(hi)
-                    blobs.append(pack(b[s:e]))
-
             part = (mix(a["t"]) % np.uint64(parts)).astype(np.int64)
-            cold = n == 0
-            if cold.any():
-                cut(a[cold], part[cold], -1, -1)
-            a, part, n, block = (x[~cold] for x in (a, part, n, block))
-            for lo in range(int(n.max(initial=0))):
-                for hi in range(lo, int(n.max())):
-                    m = ((block == lo) | (block == hi)) & (hi < n)
-                    if m.any():
-                        cut(a[m], part[m], lo, hi)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(blobs, pa.binary())], ["part", "lo", "hi", "blob"])
+            sub = np.full(len(a), -1)
+            if len(tokens):
+                at = np.searchsorted(tokens, a["t"]).clip(max=len(tokens) - 1)
+                m = np.flatnonzero(tokens[at] == a["t"])
+                sub[m] = by(a[m], pieces[at[m]]).astype(np.int64)
+            order = np.lexsort((a["t"], sub, part))
+            a, part, sub = a[order], part[order], sub[order]
+            cuts = runs(part) if not len(tokens) else np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (sub[1:] != sub[:-1])))
+            blobs = [pack(a[s:e]) for s, e in zip(cuts, [*cuts[1:], len(a)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(sub[cuts]), pa.array(blobs, pa.binary())], ["part", "sub", "blob"])
 
         for batch in batches:
             for piece in make(batch) if batch.num_rows else ():
@@ -118,8 +101,7 @@ def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                     yield from out()
         yield from out()
 
-    lists = df.mapInArrow(run, "part long, lo int, hi int, blob binary")
-    return lists.repartition(parts, "part", "lo", "hi"), hot
+    return df.mapInArrow(run, "part long, sub long, blob binary").repartition(parts, "part", "sub")
 
 
 class Pairs:
@@ -135,54 +117,90 @@ class Pairs:
         self.i, self.j = self.i[m], self.j[m]
 
 
-def join(lists: tuple[DataFrame, Hot], dtype: np.dtype, keep: Callable[[Pairs], None], out: Callable[[Pairs], list[np.ndarray]], schema: str, *, order: str | None = None, stop: Callable[[Pairs], np.ndarray] | None = None) -> DataFrame:
-    """Pairs of postings of different records with one token, narrowed by ``keep`` and turned into Arrow columns by ``out``.
+def _met(a: np.ndarray, ends: np.ndarray, keep: Callable[[Pairs], None], ratio: float, left: int | None = None) -> list[np.ndarray]:
+    """``[smaller id, larger id]`` of the pairs within each list of ``a``, which is sorted by list and ``size`` and ends at ``ends``; with
+    ``left``, of the pairs of one of the first so many postings and one of the others."""
+    fields = {f: np.ascontiguousarray(a[f]) for f in a.dtype.names}
+    n = len(a) if left is None else left
+    i = np.arange(n)
+    ahead = np.ones(n, np.int64) if left is None else left - i
+    found: list[np.ndarray] = []
+    while True:
+        m = i + ahead < ends[i]
+        i, ahead = i[m], ahead[m]
+        m = fields["size"][i] >= ratio * fields["size"][i + ahead] - 1e-9  # sizes ascend, so what is too large now is so from here on
+        i, ahead = i[m], ahead[m]
+        if not len(i):
+            break
+        for s in range(0, len(i), 1 << 16):
+            p = Pairs(fields, i[s : s + (1 << 16)], i[s : s + (1 << 16)] + ahead[s : s + (1 << 16)])
+            keep(p)
+            x, y = p.get("id")
+            p.narrow(x != y)
+            if len(p.i):
+                x, y = p.get("id")
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+        ahead = ahead + 1
+    return list(np.concatenate(found, axis=1)) if found else [np.empty(0, np.int64)] * 2
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_ROWS = "a long, b long, list long, i int, low long, high long, blob binary"
+
 
-    Within a list postings are sorted by the field ``order``; where ``stop`` holds for a posting and one that
-    follows, it holds for all later ones, and these are passed over. ``out`` gives a list of arrays; its rows are made
-    distinct within a step, not across the result.
+def join(lists: DataFrame, dtype: np.dtype, keep: Callable[[Pairs], None], ratio: float) -> DataFrame:
+    """``(a, b)``, a < b, of the records that have a token in common, whose ``size`` has at least that ``ratio``, and that ``keep`` lets pass.
+
+    Lists of up to two blocks are joined where they are. A longer one is sorted by size, cut into blocks and passed on; each two blocks whose
+    sizes can meet are joined by a task of their own. Nothing is dropped, and how a list is cut follows from its own length.
     """
-    frames, hot = lists
-    shared = frames.sparkSession.sparkContext.broadcast(hot)
-    names = [c.split()[0] for c in schema.split(",")]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         a = np.concatenate([unpack(b.as_py(), dtype) for b in table.column("blob")])
-        lo, hi = key[1].as_py(), key[2].as_py()
-        a = a[np.lexsort((a[order], a["t"]) if order else (a["id"], a["t"]))]
+        a = a[np.lexsort((a["size"], a["t"]))]
         starts = runs(a["t"])
-        ends = np.repeat(np.append(starts[1:], len(a)), np.diff(np.append(starts, len(a))))
-        i = np.flatnonzero(ends - np.arange(len(a)) > 1)
-        fields = {f: np.ascontiguousarray(a[f]) for f in dtype.names}
-        if lo != hi:
-            fields["block"] = _blocks(a, shared.value)[1]
-        del a
-        found: list[list[np.ndarray]] = []
-        d = 1
-        while len(i):
-            for s in range(0, len(i), 1 << 16):
-                p = Pairs(fields, i[s : s + (1 << 16)], i[s : s + (1 << 16)] + d)
-                if lo != hi:
-                    x, y = p.get("block")
-                    p.narrow(x != y)
-                keep(p)
-                x, y = p.get("id")
-                p.narrow(x != y)
-                if len(p.i):
-                    found.append(out(p))
-            d += 1
-            i = i[i + d < ends[i]]
-            if stop is not None and len(i):
-                i = i[~stop(Pairs(fields, i, i + d))]
-        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64) for _ in names]
-        return pa.table(cols, names=names).cast(_arrow(schema))
-
-    return frames.groupBy("part", "lo", "hi").applyInArrow(run, schema)
-
+        length = np.diff(np.append(starts, len(a)))
+        long = np.flatnonzero(length > 2 * BLOCK)
+        blocks = [(int(a["t"][s].view(np.int64)), k, a[b : min(b + BLOCK, s + n)]) for s, n in zip(starts[long], length[long]) for k, b in enumerate(range(s, s + n, BLOCK))]
+        rest = np.repeat((length > 1) & (length <= 2 * BLOCK), length)
+        a = a[rest]
+        starts = runs(a["t"])
+        length = np.diff(np.append(starts, len(a)))
+        x, y = _met(a, np.repeat(starts + length, length), keep, ratio)
+        none = [None] * len(x)
+        cols = [
+            [*x, *[None] * len(blocks)], [*y, *[None] * len(blocks)], [*none, *(t for t, _, _ in blocks)], [*none, *(k for _, k, _ in blocks)],
+            [*none, *(int(b["size"][0]) for *_, b in blocks)], [*none, *(int(b["size"][-1]) for *_, b in blocks)], [*none, *(pack(b) for *_, b in blocks)],
+        ] if blocks else [x, y, *[none] * 5]
+        kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in _ROWS.split(", ")])
+
+    from ..operators.shared import materialize  # here, as workers are sent this module whole
+
+    rows = materialize(lists.groupBy("part", "sub").applyInArrow(run, _ROWS))
+    found = rows.where("blob is null").select("a", "b")
+    blocks = rows.where("blob is not null")
+    ours, theirs = blocks.select("list", "i", "high", F.col("blob").alias("x")), blocks.select("list", F.col("i").alias("j"), "low", F.col("blob").alias("y"))
+    facts = blocks.select("list", "i", "high").join(blocks.select("list", F.col("i").alias("j"), "low"), "list").where((F.col("i") <= F.col("j")) & (F.col("high") >= ratio * F.col("low") - 1e-9))
+    tasks = facts.count()
+    if not tasks:
+        return found.distinct()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                x = unpack(one.column("x")[0].as_py(), dtype)
+                if one.column("i")[0].as_py() == one.column("j")[0].as_py():
+                    cols = _met(x, np.full(len(x), len(x)), keep, ratio)
+                else:
+                    both = np.concatenate([x, unpack(one.column("y")[0].as_py(), dtype)])
+                    cols = _met(both, np.full(len(both), len(both)), keep, ratio, len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_PAIRS)
 
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32()}
-    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(","))])
+    facts = facts.repartition(min(tasks, 20_000), "list", "i", "j")
+    pairs = facts.join(ours.drop("high"), ["list", "i"]).join(theirs.drop("low"), ["list", "j"]).repartition(min(tasks, 20_000), "list", "i", "j")
+    return found.union(pairs.select("i", "j", "x", "y").mapInArrow(meet, "a long, b long")).distinct()
 
 
 def parity(tokens: np.ndarray, record: np.ndarray, records: int, words: int) -> np.ndarray:
@@ -208,10 +226,3 @@ def least_overlap(sizes: np.ndarray, threshold: float) -> np.ndarray:
     """The least overlap of two sets whose sizes add up to ``sizes`` at Jaccard similarity ``threshold``, in whole numbers."""
     p, q = round(threshold * 10_000), 10_000
     return (p * sizes + (p + q - 1)) // (p + q)
-
-
-def distinct_ids(pairs: Pairs) -> list[np.ndarray]:
-    """The ids of both ends, smaller first, each pair once."""
-    x, y = pairs.get("id")
-    ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-    return [ab[0], ab[1]]
