@@ -214,17 +214,31 @@ def test_near_duplicates(spark, messy, monkeypatch, block):
     assert not p5_near_duplicates.near_duplicates(df.limit(0), "url_id", "body")[0].count()
 
 
-def test_blocks_of_hot_lists_lose_nothing(spark, monkeypatch):
-    """All texts share their rare grams, so that lists are hot; cut in blocks they give the same pairs."""
-    texts = [f"{'abcdefghijklmnopqrstuvwxyz0123456789'}{i:03d}" for i in range(120)]
-    monkeypatch.setattr(postings, "BLOCK", 20)
-    monkeypatch.setattr(postings, "hot_tokens", lambda df, make, rows, share=64, real=postings.hot_tokens: real(df, make, rows=rows, share=1))
-    seen = []
-    build = postings.build
-    monkeypatch.setattr(postings, "build", lambda df, make, parts, h: (seen.append(len(h[0])), build(df, make, parts, h))[1])
+@pytest.mark.parametrize("frequent, long, block", [(20_000, 200, 7), (3, 200, 4_000), (3, 60, 7), (0, 10**6, 4_000)])
+def test_hot_lists_lose_nothing(spark, messy, monkeypatch, frequent, long, block):
+    """Long lists cut into blocks, and frequent grams indexed in pairs, give the same pairs."""
+    texts = messy[:110] + messy[-12:-5] + ["x" * 300, "x" * 301 + "y"] + [f"abcdefghijklmnopqrstuvwxyz0123456789{i:03d}" + "q" * (i % 12) for i in range(60)]
+    monkeypatch.setattr(postings, "BLOCK", block)
+    monkeypatch.setattr(p5_near_duplicates, "FREQUENT", frequent)
+    monkeypatch.setattr(p5_near_duplicates, "LONG", long)
     found, members = p5_near_duplicates.near_duplicates(frame(spark, texts), "url_id", "body")
     assert pairs(p5_near_duplicates.expand_pairs(found, members, "x", "y")) == gram_pairs(texts)
-    assert seen[0] > 0
+
+
+def test_blocks_of_a_list_meet_once():
+    """Postings of one list, joined whole or block by block, give the same pairs of different records, and only sizes that can meet are compared."""
+    rng = np.random.default_rng(3)
+    a = np.zeros(60, np.dtype([("t", "<u8"), ("id", "<i8"), ("size", "<u4")]))
+    a["id"], a["size"] = rng.integers(0, 50, 60), np.sort(rng.integers(5, 40, 60))
+    keep = lambda p: None
+    whole = set(zip(*(c.tolist() for c in postings._met(a, np.full(60, 60), keep, 0.7))))
+    assert whole == {(min(x["id"], y["id"]), max(x["id"], y["id"])) for i, x in enumerate(a) for y in a[i + 1 :] if x["id"] != y["id"] and x["size"] >= 0.7 * y["size"] - 1e-9}
+    cut = set()
+    for i in range(0, 60, 20):
+        for j in range(i, 60, 20):
+            both = a[i : i + 20] if i == j else np.concatenate([a[i : i + 20], a[j : j + 20]])
+            cut |= set(zip(*(c.tolist() for c in postings._met(both, np.full(len(both), len(both)), keep, 0.7, None if i == j else 20))))
+    assert cut == whole
 
 
 @pytest.mark.parametrize("block", [5_000, 10])
@@ -423,9 +437,11 @@ def common_pairs(texts, least):
     return {(i, j) for s in where.values() for i in s for j in s if i < j}
 
 
-@pytest.mark.parametrize("slice_", [400_000, 700])
-def test_shared_spans(spark, monkeypatch, slice_):
+@pytest.mark.parametrize("slice_, block", [(400_000, 4_000), (700, 4_000), (400_000, 3)])
+def test_shared_spans(spark, monkeypatch, slice_, block):
     monkeypatch.setattr(p10_shared_spans, "_SLICE", slice_)
+    monkeypatch.setattr(postings, "BLOCK", block)  # also of hot blocks
+    monkeypatch.setattr(postings, "hot_tokens", lambda df, make, rows, share=64, real=postings.hot_tokens: real(df, make, rows=rows, share=1))
     rng = random.Random(6)
     text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz \né😀") for _ in range(n))
     passages = [text(n) for n in (39, 40, 41, 80, 120)]
@@ -436,30 +452,44 @@ def test_shared_spans(spark, monkeypatch, slice_):
         texts[i] = texts[i][:at] + p + texts[i][at:]
     texts += [texts[0]] * 20 + [None, "", "z" * 500, "z" * 41 + "y", "z" * 39, "z" * 39, text(40), texts[2] * 6]
     df = frame(spark, texts, "ident text rep a b n h seeds")
-    found, copies = p10_shared_spans.shared_factors(df, "url_id", "body", least=40)
+    found, copies = p10_shared_spans.sharing_documents(df, "url_id", "body", least=40)
     long = copies.join(df.where(F.length("body") >= 40).select(F.col("url_id").alias("ident")), "ident", "left_semi")
-    got = pairs(p10_shared_spans.expand_pairs(found.select("a", "b").distinct(), long.where("n > 1"), "x", "y"))
+    got = pairs(p10_shared_spans.expand_pairs(found, long.where("n > 1"), "x", "y"))
     assert got == common_pairs(texts, 40)
-    for r in found.collect():
-        x, y = texts[r.a], texts[r.b]
-        assert r.length >= 40 and x[r.start_a : r.start_a + r.length] == y[r.start_b : r.start_b + r.length]
-        assert x[r.start_a - 1 : r.start_a] != y[r.start_b - 1 : r.start_b] or not r.start_a * r.start_b
-        assert x[r.start_a + r.length : r.start_a + r.length + 1] != y[r.start_b + r.length : r.start_b + r.length + 1] or r.start_a + r.length == len(x) or r.start_b + r.length == len(y)
-    shares = {r.url_id: r for r in p10_shared_spans.shared_spans(df, "url_id", "body", least=40).collect()}
-    assert set(shares) == {i for i, t in enumerate(texts) if t is not None}
-    assert shares[0].share == 1.0 and shares[81].share == 0.0
-    covered = [False] * len(texts[2])
     where = defaultdict(set)
     for i, t in enumerate(texts):
         for k in range(len(t or "") - 39):
             where[t[k : k + 40]].add(i)
-    for k in range(len(texts[2]) - 39):
-        if len(where[texts[2][k : k + 40]]) > 1:
-            covered[k : k + 40] = [True] * 40
-    assert shares[2].shared_chars == sum(covered)
+    different = {c.ident: c.rep for c in copies.collect()}
+    starts = defaultdict(set)
+    for r in p10_shared_spans.shared_factors(df, "url_id", "body", least=40)[0].collect():
+        assert r.length >= 40 and r.ident != r.source and texts[r.ident][r.start : r.start + r.length] == texts[r.source][r.source_start : r.source_start + r.length]
+        starts[r.ident] |= set(range(r.start, r.start + r.length - 39))
+    for i in set(different.values()):
+        assert starts[i] == {k for k in range(len(texts[i]) - 39) if len({different[j] for j in where[texts[i][k : k + 40]]}) > 1}
+    shares = {r.url_id: r for r in p10_shared_spans.shared_spans(df, "url_id", "body", least=40).collect()}
+    assert set(shares) == {i for i, t in enumerate(texts) if t is not None}
+    for i, r in shares.items():
+        covered = [False] * len(texts[i])
+        for k in range(len(texts[i]) - 39):
+            if len(where[texts[i][k : k + 40]]) > 1:
+                covered[k : k + 40] = [True] * 40
+        assert r.shared_chars == sum(covered), i
     assert not p10_shared_spans.shared_factors(df.limit(0), "url_id", "body", least=40)[0].count()
 
 
+def test_a_common_block_is_linear():
+    """A passage in very many documents: factoring sends one row for each of them, and its set of documents comes once."""
+    n = 100_000
+    a = np.zeros(n * 3, p10_shared_spans._WINDOWS)
+    a["id"], a["at"] = np.repeat(np.arange(n), 3), np.tile(np.arange(3), n) + np.repeat(np.arange(n) % 50, 3)
+    a["t"], a["w"] = 5, np.tile([7, 8, 9], n)
+    ident, start, length, source, there = p10_shared_spans.factored(a, 400)
+    assert len(ident) == n and set(length.tolist()) == {402} and (source != ident).all() and (start == ident % 50).all()
+    name, size, members = p10_shared_spans.sharing_sets(a)
+    assert len(members) == n and len(set(name.tolist())) == 1 and set(size.tolist()) == {n}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() >= 0
