@@ -6,7 +6,6 @@ work in generated code; ``with_parts`` computes the parts once and everything el
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +13,10 @@ from pyspark.sql import functions as F
 
 # Terms that make a host or path suspicious, and domains that shorten URLs.
 KEYWORDS = (
-    "account auth banking confirm credential invoice login password payment recover secure session signin support unlock update verify wallet webscr"
-).split()
-SHORTENERS = "bit.ly buff.ly cutt.ly goo.gl is.gd ow.ly rebrand.ly shorturl.at t.co tiny.cc tinyurl.com".split()
+    "account", "auth", "banking", "confirm", "credential", "invoice", "login", "password", "payment", "recover", "secure", "session", "signin", "support",
+    "unlock", "update", "verify", "wallet", "webscr",
+)
+SHORTENERS = ("bit.ly", "buff.ly", "cutt.ly", "goo.gl", "is.gd", "ow.ly", "rebrand.ly", "shorturl.at", "t.co", "tiny.cc", "tinyurl.com")
 
 _BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 _H16 = "[0-9A-Fa-f]{1,4}"
@@ -41,8 +41,9 @@ IPV6 = _ipv6()
 
 
 def _unsafe_class() -> str:
-    """Characters whose compatibility form holds one of ``/?#@:``: a host with one of them is rejected."""
-    bad = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if set(unicodedata.normalize("NFKC", c)) & set("/?#@:")]
+    """Characters whose compatibility form holds one of ``/?#@:``: a host with one of them is rejected. None lies beyond the basic plane."""
+    mapped = (c for c in map(chr, range(0x80, 0x10000)) if unicodedata.decomposition(c).startswith("<"))
+    bad = [c for c in mapped if set(unicodedata.normalize("NFKC", c)) & set("/?#@:")]
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in bad) + "]"
 
 
@@ -131,7 +132,7 @@ def dedupe_key(p: str = "parts") -> Column:
     shown = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
     default = ((c("scheme") == "http") & (c("port") == 80)) | ((c("scheme") == "https") & (c("port") == 443))
     port = F.when(c("port").isNull() | default, "").otherwise(F.concat(F.lit(":"), c("port").cast("string")))
-    # A user name that is empty, without a password, is not shown.
+    # User information is shown as written, also if empty.
     user = F.when(c("userinfo").isNull(), "").otherwise(F.concat(c("userinfo"), F.lit("@")))
     scheme = F.when(c("explicit"), F.concat(c("scheme"), F.lit(":"))).otherwise("")
     query = F.when(c("query") != "", F.concat(F.lit("?"), c("query"))).otherwise("")
@@ -156,10 +157,11 @@ def _count(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
-def with_features(df: DataFrame, url: str, domain: Column | None = None) -> DataFrame:
-    """``df`` with the 20 features of the text column ``url``; ``domain`` is its registered domain, by default taken as its host."""
-    p = "__feature_parts"
-    x = with_parts(df, url, p)
+def with_features(df: DataFrame, url: str, domain: Column | None = None, parts: str | None = None) -> DataFrame:
+    """``df`` with the 20 features of the text column ``url``; ``domain`` is its registered domain, by default taken as its host. ``parts`` is the column
+    with its parts where there is one already; it is dropped."""
+    p = parts or "__feature_parts"
+    x = df if parts else with_parts(df, url, p)
     c = lambda k: F.col(f"{p}.{k}")
     x = x.withColumn("__host", F.coalesce(F.regexp_replace(F.lower(c("host")), r"\.+$", ""), F.lit("")))
     host, raw = F.col("__host"), c("raw")
@@ -173,7 +175,7 @@ def with_features(df: DataFrame, url: str, domain: Column | None = None) -> Data
         "has_userinfo": c("netloc").contains("@"),
         "has_punycode": host.rlike(r"(^|\.)xn--"),
         "has_non_default_port": c("port_bad") | F.coalesce(c("port").isNotNull() & ~default, F.lit(False)),
-        "uses_url_shortener": F.coalesce((domain if domain is not None else host).isin(SHORTENERS), F.lit(False)),
+        "uses_url_shortener": F.coalesce((domain if domain is not None else host).isin(*SHORTENERS), F.lit(False)),
         "url_length": n,
         "hostname_length": F.length(host),
         "path_length": F.length(c("path")),

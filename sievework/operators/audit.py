@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import class_label
+from .shared import distinct_counts
 
 MEASURES = ("url_length", "digit_count", "symbol_count")
 
@@ -62,28 +63,32 @@ def describe(df: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
 
 def overview(df: DataFrame) -> DataFrame:
     """Counters over the whole table; duplicates are rows beyond the first of their value."""
-    n = F.count(F.lit(1))
-    return df.agg(
-        n.alias("n_rows"),
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("url_model_input").isNull()).alias("null_inputs"),
         F.count_if(~F.col("is_valid_url")).alias("invalid_rows"),
-        F.count_distinct("split_group").alias("n_groups"),
-        (F.count("url_model_input") - F.count_distinct("url_model_input")).alias("duplicate_inputs"),
-        (F.count("url_dedupe_key") - F.count_distinct("url_dedupe_key")).alias("duplicate_keys"),
+        F.count("url_model_input").alias("inputs"),
+        F.count("url_dedupe_key").alias("keys"),
     )
+    for one in distinct_counts(df, "split_group", "url_model_input", "url_dedupe_key"):
+        counted = counted.crossJoin(F.broadcast(one))
+    return counted.select(
+        "n_rows", "null_inputs", "invalid_rows", F.col("n_split_group").alias("n_groups"),
+        (F.col("inputs") - F.col("n_url_model_input")).alias("duplicate_inputs"), (F.col("keys") - F.col("n_url_dedupe_key")).alias("duplicate_keys"),
+    )
 
 
-def histogram(df: DataFrame, value: str, bins: int = 50, by: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int = 50, by: str | tuple[str, ...] = ()) -> DataFrame:
     """``(by, bin, n_rows, low, high)``: equal bins between the least and largest value (of each ``by``), the last closed; empty bins have no row.
 
     Nulls are left out; a single value falls into the middle of a range of width one around it.
     """
-    keys = [by] if by else []
+    keys = [by] if isinstance(by, str) else list(by)
     x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     ends = x.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     same = F.col("lo") == F.col("hi")
     ends = ends.select(*keys, F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    both = x.join(F.broadcast(ends), by) if by else x.crossJoin(F.broadcast(ends))
+    both = x.join(F.broadcast(ends), keys) if keys else x.crossJoin(F.broadcast(ends))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin")
     out = both.groupBy(*keys, at, "lo", "hi").agg(F.sum("n").alias("n_rows"))

@@ -1,7 +1,9 @@
 """Ranking, calibration and cost metrics of scores, threshold sweeps and operating profiles.
 
-Everything after validation works on the table of different scores (score, positives, negatives), never on raw rows.
-Running totals over that table are split by score range (``running``), so no task gets more than its share of it.
+Everything after validation works on the table of different scores (score, positives, negatives), never on raw rows; it is
+written once. Running totals over it are split by score range (``running``), so no task gets more than its share of it.
+``by`` names key columns, such as a model, for each value of which there is a result of its own; a key has one row in every
+table of totals, which is broadcast: keys are names of models, of which there are few.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
+By = tuple[str, ...]
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -21,8 +27,6 @@ class Costs:
 
 
 NAN = float("nan")
-#: Score ranges that running totals are split into.
-RANGES = 256
 METRICS = (
     "threshold true_positive false_positive true_negative false_negative n_samples precision recall specificity false_positive_rate f1 accuracy "
     "predicted_positive_rate average_precision roc_auc brier_score expected_calibration_error simulated_cost simulated_cost_per_10000"
@@ -47,23 +51,29 @@ def _threshold(t: float) -> float:
     return float(t)
 
 
-def by_score(df: DataFrame, target: str = "target", score: str = "score") -> DataFrame:
-    """``(score, p, n)``: positives and negatives of each different score; -0.0 counts as 0.0."""
-    return df.groupBy((F.col(score) + F.lit(0.0)).alias("score")).agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n"))
+def by_score(df: DataFrame, target: str = "target", score: str = "score", by: By = ()) -> DataFrame:
+    """``(*by, score, p, n, r)``: positives and negatives of each different score; -0.0 counts as 0.0. ``r`` numbers ranges of
+    like size, in order of ``by`` and descending score. The table is written."""
+    t = df.groupBy(*by, (F.col(score) + F.lit(0.0)).alias("score")).agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n"))
+    return materialize(t.repartitionByRange(*by, F.desc("score")).withColumn("r", F.spark_partition_id()))
+
+
+def attach(df: DataFrame, facts: DataFrame, by: By) -> DataFrame:
+    """``df`` with the one row of ``facts`` for its key."""
+    return df.join(F.broadcast(facts), list(by)) if by else df.crossJoin(F.broadcast(facts))
 
 
-def running(scores: DataFrame) -> DataFrame:
+def running(scores: DataFrame, by: By = ()) -> DataFrame:
     """``scores`` with ``tp`` and ``fp``: positives and negatives at that score or above.
 
-    Totals are formed inside fixed score ranges and shifted by those of the ranges above.
+    Totals are formed inside the score ranges and shifted by those of the ranges above.
     """
-    x = scores.withColumn("r", F.least(F.floor(F.col("score") * RANGES), F.lit(RANGES - 1)))
-    above = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
-    per = x.groupBy("r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    starts = per.select("r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"))
-    inside = Window.partitionBy("r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    y = x.select("*", F.sum("p").over(inside).alias("ip"), F.sum("n").over(inside).alias("inn")).join(F.broadcast(starts), "r")
-    return y.select("score", "p", "n", (F.col("ap") + F.col("ip")).alias("tp"), (F.col("an") + F.col("inn")).alias("fp"))
+    above = Window.partitionBy(*by).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    per = scores.groupBy(*by, "r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    starts = per.select(*by, "r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"))
+    inside = Window.partitionBy(*by, "r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    y = scores.select("*", F.sum("p").over(inside).alias("ip"), F.sum("n").over(inside).alias("inn")).join(F.broadcast(starts), [*by, "r"])
+    return y.select(*by, "score", "p", "n", (F.col("ap") + F.col("ip")).alias("tp"), (F.col("an") + F.col("inn")).alias("fp"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -71,14 +81,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def ranking(scores: DataFrame) -> DataFrame:
-    """One row with ``average_precision`` (steps, not trapezoids) and ``roc_auc`` (ties count half); NaN with one class only."""
-    total = scores.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    x = running(scores).crossJoin(F.broadcast(total))
+def ranking(scores: DataFrame, by: By = ()) -> DataFrame:
+    """``average_precision`` (steps, not trapezoids) and ``roc_auc`` (ties count half); NaN with one class only."""
+    total = scores.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    x = attach(running(scores, by), total, by)
     both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
     ap = F.sum(F.when(F.col("all_p") > 0, F.col("p").cast("double") / F.col("all_p") * F.col("tp") / (F.col("tp") + F.col("fp"))))
     auc = F.sum(F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("n") * (F.col("tp") - F.col("p") / 2) / F.col("all_p") / F.col("all_n")))
-    return x.agg(F.when(both, ap).otherwise(NAN).alias("average_precision"), F.when(both, auc).otherwise(NAN).alias("roc_auc"))
+    return x.groupBy(*by).agg(F.when(both, ap).otherwise(NAN).alias("average_precision"), F.when(both, auc).otherwise(NAN).alias("roc_auc"))
 
 
 def edges(n_bins: int) -> list[float]:
@@ -86,30 +96,34 @@ def edges(n_bins: int) -> list[float]:
     return [k * (1.0 / n_bins) for k in range(1, n_bins)]
 
 
-def calibration_bins(scores: DataFrame, n_bins: int = 10) -> DataFrame:
-    """``(bin, rows, mean_score, rate)`` of equal bins closed on the right."""
+def calibration_bins(scores: DataFrame, n_bins: int = 10, by: By = ()) -> DataFrame:
+    """``(*by, bin, n_rows, mean_score, rate)`` of equal bins closed on the right."""
     if n_bins < 2:
         raise ValueError("n_bins must be 2 or more")
     at = F.lit(0)
     for e in edges(n_bins):
         at = at + F.when(F.col("score") > F.lit(e), 1).otherwise(0)
+    return _binned(scores, at.alias("bin"), by)
+
+
+def _binned(scores: DataFrame, at: Column, by: By) -> DataFrame:
     k = F.col("p") + F.col("n")
-    return scores.groupBy(at.alias("bin")).agg(F.sum(k).alias("n_rows"), (F.sum(F.col("score") * k) / F.sum(k)).alias("mean_score"), (F.sum("p") / F.sum(k)).alias("rate"))
+    return scores.groupBy(*by, at).agg(F.sum(k).alias("n_rows"), (F.sum(F.col("score") * k) / F.sum(k)).alias("mean_score"), (F.sum("p") / F.sum(k)).alias("rate"))
 
 
-def expected_calibration_error(df: DataFrame, target: str = "target", score: str = "score", n_bins: int = 10) -> DataFrame:
-    return _ece(by_score(df, target, score), n_bins)
+def expected_calibration_error(df: DataFrame, target: str = "target", score: str = "score", n_bins: int = 10, by: By = ()) -> DataFrame:
+    return _ece(by_score(df, target, score, by), n_bins, by)
 
 
-def _ece(scores: DataFrame, n_bins: int = 10) -> DataFrame:
-    b = calibration_bins(scores, n_bins)
-    return b.agg((F.sum(F.col("n_rows") * F.abs(F.col("rate") - F.col("mean_score"))) / F.sum("n_rows")).alias("expected_calibration_error"))
+def _ece(scores: DataFrame, n_bins: int = 10, by: By = ()) -> DataFrame:
+    b = calibration_bins(scores, n_bins, by)
+    return b.groupBy(*by).agg((F.sum(F.col("n_rows") * F.abs(F.col("rate") - F.col("mean_score"))) / F.sum("n_rows")).alias("expected_calibration_error"))
 
 
-def _scalars(scores: DataFrame) -> DataFrame:
+def _scalars(scores: DataFrame, by: By = ()) -> DataFrame:
     k = F.col("p") + F.col("n")
-    brier = scores.agg(((F.sum(F.col("p") * F.pow(1 - F.col("score"), F.lit(2)) + F.col("n") * F.pow("score", F.lit(2)))) / F.sum(k)).alias("brier_score"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return brier.crossJoin(F.broadcast(ranking(scores))).crossJoin(F.broadcast(_ece(scores)))
+    brier = scores.groupBy(*by).agg(((F.sum(F.col("p") * F.pow(1 - F.col("score"), F.lit(2)) + F.col("n") * F.pow("score", F.lit(2)))) / F.sum(k)).alias("brier_score"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    return attach(attach(brier, ranking(scores, by), by), _ece(scores, by=by), by)
 
 
 def _record(costs: Costs) -> list[Column]:
@@ -127,33 +141,40 @@ def _record(costs: Costs) -> list[Column]:
     return [v.alias(k) for k, v in out.items()]
 
 
-def evaluate(df: DataFrame, target: str = "target", score: str = "score", *, threshold: float = 0.5, costs: Costs | None = None) -> DataFrame:
-    """One row with all metrics at one threshold; predictions are ``score >= threshold``. No row for an empty table."""
+def evaluate(df: DataFrame, target: str = "target", score: str = "score", *, threshold: float = 0.5, costs: Costs | None = None, by: By = ()) -> DataFrame:
+    """One row (of each key) with all metrics at one threshold; predictions are ``score >= threshold``. No row for an empty table."""
     t = F.lit(_threshold(threshold))
-    s = by_score(df, target, score)
-    at = s.agg(F.coalesce(F.sum(F.when(F.col("score") >= t, F.col("p"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(F.col("score") >= t, F.col("n"))), F.lit(0)).alias("fp"))
-    one = at.crossJoin(F.broadcast(_scalars(s))).where("all_p + all_n > 0").withColumn("threshold", t)
-    return one.select(*_record(costs or Costs()))
-
-
-def threshold_table(df: DataFrame, target: str = "target", score: str = "score", *, costs: Costs | None = None) -> DataFrame:
-    """All metrics at every different score and at 0 and 1, one row per threshold; sort by it where an order is wanted."""
-    s = by_score(df, target, score)
-    total = s.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).where("all_p + all_n > 0")
-    ends = total.select(F.explode(F.array(F.struct(F.lit(1.0).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp")), F.struct(F.lit(0.0).alias("threshold"), F.col("all_p").alias("tp"), F.col("all_n").alias("fp")))).alias("e")).select("e.*")
-    seen = running(s).select(F.col("score").alias("threshold"), "tp", "fp")
+    s = by_score(df, target, score, by)
+    at = s.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("score") >= t, F.col("p"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(F.col("score") >= t, F.col("n"))), F.lit(0)).alias("fp"))
+    one = attach(at, _scalars(s, by), by).where("all_p + all_n > 0").withColumn("threshold", t)
+    return one.select(*by, *_record(costs or Costs()))
+
+
+def threshold_table(df: DataFrame, target: str = "target", score: str = "score", *, costs: Costs | None = None, by: By = ()) -> DataFrame:
+    """All metrics at every different score and at 0 and 1, one row per threshold (of each key); sort by it where an order is wanted."""
+    s = by_score(df, target, score, by)
+    scalars = materialize(_scalars(s, by))
+    total = scalars.where("all_p + all_n > 0")
+    ends = total.select(*by, F.explode(F.array(F.struct(F.lit(1.0).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp")), F.struct(F.lit(0.0).alias("threshold"), F.col("all_p").alias("tp"), F.col("all_n").alias("fp")))).alias("e")).select(*by, "e.*")
+    seen = running(s, by).select(*by, F.col("score").alias("threshold"), "tp", "fp")
     # Where 0 or 1 was observed, its own row has the larger counts: at 1 those of scores of 1, at 0 everything either way.
-    rows = seen.union(ends).groupBy("threshold").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))
-    return rows.crossJoin(F.broadcast(_scalars(s))).select(*_record(costs or Costs()))
+    rows = seen.union(ends).groupBy(*by, "threshold").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    return attach(rows, scalars, by).select(*by, *_record(costs or Costs()))
+
+
+def _best(table: DataFrame, order: list[Column], by: By) -> Column:
+    """The row of ``table`` that comes first by ``order`` (ascending), as an aggregate; it is combined on the map side."""
+    return F.min_by(F.struct(*(F.col(c) for c in table.columns if c not in by)), F.struct(*order))
 
 
-def at_max_fpr(table: DataFrame, max_fpr: float) -> DataFrame:
-    """The row with the most recall at a false-positive rate of at most ``max_fpr``; one row, none for an empty table."""
+def at_max_fpr(table: DataFrame, max_fpr: float, by: By = ()) -> DataFrame:
+    """The row with the most recall at a false-positive rate of at most ``max_fpr``; one row (of each key), none for an empty table."""
     if not 0 <= max_fpr <= 1:
         raise ValueError("max_fpr must lie between 0 and 1")
     fits, some = F.col("false_positive_rate") <= F.lit(float(max_fpr)), F.col("predicted_positive_rate") > 0
-    level = F.when(fits & some, 2).when(some, 1).otherwise(0)
-    return table.withColumn("__level", level).orderBy(F.desc("__level"), F.desc("recall"), F.desc("precision"), F.asc("false_positive_rate"), F.asc("threshold")).limit(1).drop("__level")
+    level = F.when(fits & some, 0).when(some, 1).otherwise(2)
+    order = [level, -F.col("recall"), -F.col("precision"), F.col("false_positive_rate"), F.col("threshold")]
+    return table.groupBy(*by).agg(_best(table, order, by).alias("x")).where("x is not null").select(*by, "x.*")
 
 
 @dataclass(frozen=True)
@@ -175,7 +196,7 @@ PROFILES = (
 
 
 def _order(keys: tuple[str, ...]) -> list[Column]:
-    return [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in keys]
+    return [-F.col(k[1:]) if k[0] == "-" else F.col(k) for k in keys]
 
 
 def violation(p: Profile) -> Column:
@@ -184,45 +205,62 @@ def violation(p: Profile) -> Column:
     return f(F.col("false_positive_rate") - p.max_fpr) + f(F.lit(p.min_precision) - F.col("precision")) + f(F.lit(p.min_recall) - F.col("recall"))
 
 
-def profile(table: DataFrame, p: Profile) -> DataFrame:
-    """The row a profile chooses, with ``profile`` and ``constraints_met``; where none meets the constraints, the one that misses them least.
-
-    Thresholds that predict nothing positive are passed over unless there are no others.
-    """
-    met = (F.col("false_positive_rate") <= p.max_fpr) & (F.col("precision") >= p.min_precision) & (F.col("recall") >= p.min_recall)
-    some = (F.col("predicted_positive_rate") > 0).cast("int")
-    x = table.withColumns({"constraints_met": met, "__some": some, "__miss": F.when(met, 0.0).otherwise(F.round(violation(p), 12))})
-    best = x.orderBy(F.desc("__some"), F.desc("constraints_met"), F.asc("__miss"), *_order(p.order), F.asc("threshold")).limit(1)
-    return best.select(F.lit(p.name).alias("profile"), *table.columns, "constraints_met")
+def _meets(p: Profile) -> Column:
+    return (F.col("false_positive_rate") <= p.max_fpr) & (F.col("precision") >= p.min_precision) & (F.col("recall") >= p.min_recall)
 
 
-def profiles(table: DataFrame) -> DataFrame:
-    out = profile(table, PROFILES[0])
-    for p in PROFILES[1:]:
-        out = out.unionByName(profile(table, p))
-    return out
+def profiles(table: DataFrame, by: By = (), chosen: tuple[Profile, ...] = PROFILES) -> DataFrame:
+    """``(*by, profile, ..., constraints_met)``: the row each profile chooses; where none meets the constraints, the one that misses them least.
 
-
-def pr_curve(table: DataFrame) -> DataFrame:
+    Thresholds that predict nothing positive are passed over unless there are no others. One pass for all profiles; no row for an empty table.
+    """
+    picks = []
+    for p in chosen:
+        met = _meets(p)
+        order = [(F.col("predicted_positive_rate") <= 0).cast("int"), (~met).cast("int"), F.when(met, 0.0).otherwise(F.round(violation(p), 12)), *_order(p.order), F.col("threshold")]
+        picks.append(_best(table, order, by).alias(p.name))
+    one = table.groupBy(*by).agg(*picks)
+    rows = one.select(*by, F.explode(F.array(*(F.struct(F.lit(p.name).alias("profile"), F.col(p.name).alias("x")) for p in chosen))).alias("r")).where("r.x is not null").select(*by, "r.profile", "r.x.*")
+    constraints = F.lit(False)
+    for p in chosen:
+        constraints = F.when(F.col("profile") == p.name, _meets(p)).otherwise(constraints)
+    return rows.withColumn("constraints_met", constraints)
+
+
+def _with_end(points: DataFrame, table: DataFrame, by: By, **end: float) -> DataFrame:
+    last = [F.lit(v).alias(k) for k, v in end.items()]
+    rows = table.select(*by).distinct().select(*by, *last) if by else table.sparkSession.range(1).select(*last)
+    return points.select(*by, *end).union(rows)
+
+
+def pr_curve(table: DataFrame, by: By = ()) -> DataFrame:
     """Recall and precision at every observed threshold, and the end point (0, 1)."""
-    end = table.sparkSession.createDataFrame([(0.0, 1.0)], "recall double, precision double")
-    return table.where("predicted_positive_rate > 0").select("recall", "precision").union(end)
+    return _with_end(table.where("predicted_positive_rate > 0"), table, by, recall=0.0, precision=1.0)
 
 
-def roc_curve(table: DataFrame) -> DataFrame:
-    end = table.sparkSession.createDataFrame([(0.0, 0.0)], "false_positive_rate double, recall double")
-    return table.where("predicted_positive_rate > 0").select("false_positive_rate", "recall").union(end)
+def roc_curve(table: DataFrame, by: By = ()) -> DataFrame:
+    return _with_end(table.where("predicted_positive_rate > 0"), table, by, false_positive_rate=0.0, recall=0.0)
 
 
-def tradeoff(table: DataFrame) -> DataFrame:
-    return table.select("threshold", "precision", "recall", "false_positive_rate")
+def tradeoff(table: DataFrame, by: By = ()) -> DataFrame:
+    return table.select(*by, "threshold", "precision", "recall", "false_positive_rate")
 
 
-def quantile_calibration(df: DataFrame, target: str = "target", score: str = "score", bins: int = 10) -> DataFrame:
-    """``(bin, n_rows, mean_score, rate)`` of bins between score quantiles (closed on the right); empty bins have no row."""
-    s = by_score(df, target, score)
-    k = F.col("p") + F.col("n")
-    cut = s.agg(F.percentile("score", F.array(*(F.lit(i / bins) for i in range(1, bins))), k).alias("q"))
+def quantile_calibration(df: DataFrame, target: str = "target", score: str = "score", bins: int = 10, by: By = ()) -> DataFrame:
+    """``(*by, bin, n_rows, mean_score, rate)`` of bins between score quantiles (closed on the right); empty bins have no row.
+
+    Quantiles are exact, with linear interpolation, and read off the running counts: a quantile lies between the scores that stand at two ranks.
+    """
+    s = by_score(df, target, score, by)
+    total = s.groupBy(*by).agg(F.sum(F.col("p") + F.col("n")).alias("all_"))
+    x = attach(running(s, by), total, by)
+    before = F.col("all_") - F.col("tp") - F.col("fp")
+    after = before + F.col("p") + F.col("n")
+    aggs = []
+    for i in range(1, bins):
+        at = (F.col("all_") - 1) * F.lit(i / bins)
+        low, high = F.floor(at), F.ceil(at)
+        aggs += [F.max(F.when((before <= k) & (k < after), F.col("score"))).alias(f"{name}{i}") for name, k in (("lo", low), ("hi", high))] + [F.max(at - low).alias(f"f{i}")]
+    cut = x.groupBy(*by).agg(*aggs).select(*by, F.array(*(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(1, bins))).alias("q"))
     at = F.size(F.filter("q", lambda e: e < F.col("score"))).alias("bin")
-    x = s.crossJoin(F.broadcast(cut))
-    return x.groupBy(at).agg(F.sum(k).alias("n_rows"), (F.sum(F.col("score") * k) / F.sum(k)).alias("mean_score"), (F.sum("p") / F.sum(k)).alias("rate"))
+    return _binned(attach(s, cut, by), at, by)

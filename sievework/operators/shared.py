@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a row group before compression.
 _ROW_GROUP = 16 << 20
@@ -58,6 +59,13 @@ def discard_materialized() -> None:
 atexit.register(discard_materialized)
 
 
+def distinct_counts(df: DataFrame, *columns: str) -> list[DataFrame]:
+    """``(n_<column>)``, one row for each column: how many different texts, not null, it has. One aggregate a column, so that no row is
+    multiplied, on 160 bits of SHA-256, so that no text is shuffled."""
+    name = lambda c: F.substring(F.unhex(F.sha2(F.col(c).cast("binary"), 256)), 1, 20).alias("h")
+    return [df.where(F.col(c).isNotNull()).select(name(c)).distinct().agg(F.count(F.lit(1)).alias(f"n_{c}")) for c in columns]
+
+
 def widened(df: DataFrame) -> DataFrame:
     """``df`` with at least as many partitions as there are cores, for work that costs far more than moving its rows.
 

@@ -9,8 +9,10 @@ from .shared import materialize
 from .skew import rank_within, spread_join
 
 FOLDS = 5
-EXACT = 32
-REQUIRED = ("url_dedupe_key", "split_group", "target")
+REQUIRED = ("url_dedupe_key", "url_model_input", "split_group", "target")
+#: Rows of class 0, of class 1 and without either, of a group.
+VECTOR = ("c0", "c1", "c2")
+Vector = tuple[int, int, int]
 
 
 def split_name(fold: Column) -> Column:
@@ -31,66 +33,96 @@ def validate_input(df: DataFrame) -> None:
         raise ValueError("the split needs exactly two classes")
 
 
-def assign_splits(df: DataFrame, *, group: str = "split_group", target: str = "target", seed: str = "42", single_parts: int = 10_000) -> DataFrame:
+def label_counts(target: Column) -> list[Column]:
+    """The columns of ``VECTOR``, as aggregates."""
+    known = F.coalesce(target.isin(0, 1), F.lit(False))
+    return [F.count_if(target == 0).alias("c0"), F.count_if(target == 1).alias("c1"), F.count_if(~known).alias("c2")]
+
+
+def water_filled(levels: list[float], step: float, items: int) -> list[int]:
+    """How many of ``items`` equal items each holder gets if every item goes to the one at the lowest level, the first on ties, and raises it by ``step``.
+
+    The result of placing them one after another, without doing so: holders are filled up to one common level, and only the rest, fewer than there are holders, is placed singly.
+    """
+    order = sorted(levels)
+    top = order[0]
+    for k in range(1, len(order) + 1):
+        top = (items * step + sum(order[:k])) / k
+        if k == len(order) or top <= order[k]:
+            break
+    given = [min(items, max(0, int((top - x) / step + 1e-9))) for x in levels]
+    while sum(given) > items:  # by rounding
+        given[max(range(len(levels)), key=lambda i: (levels[i] + given[i] * step) if given[i] else -float("inf"))] -= 1
+    for _ in range(items - sum(given)):
+        given[min(range(len(levels)), key=lambda i: (levels[i] + given[i] * step, i))] += 1
+    return given
+
+
+def kinds_of(items: DataFrame) -> list[tuple[Vector, int]]:
+    """The different vectors of ``items`` and how many items have each. The items stay where they are: vectors of n rows of all items
+    together are of the order of n to the power 2/3 at most, and far fewer where sizes are small."""
+    t = items.groupBy(*VECTOR).agg(F.count(F.lit(1)).alias("m")).toArrow()
+    c0, c1, c2, m = (t.column(c).to_pylist() for c in (*VECTOR, "m"))
+    return list(zip(zip(c0, c1, c2), m))
+
+
+def deal(items: DataFrame, name: str, holder: str, deals: list[tuple[Vector, list[int]]], holders: list, seed: str, total: int) -> DataFrame:
+    """``(name, holder)`` of every item: of the items with one vector, in an order set by ``seed``, the first go to the first holder and so on, as many as ``deals`` gives it."""
+    import pyarrow as pa
+
+    vectors, until = zip(*deals)
+    ends = [[sum(g[: k + 1]) for k in range(len(g))] for g in until]
+    facts = items.sparkSession.createDataFrame(pa.table({c: pa.array([v[k] for v in vectors], pa.int64()) for k, c in enumerate(VECTOR)} | {"ends": pa.array(ends, pa.list_(pa.int64())), "m": pa.array([e[-1] for e in ends], pa.int64())}))
+    kind = F.concat_ws("/", *VECTOR)
+    ranked = rank_within(items.select(name, kind.alias("kind"), F.xxhash64(F.lit(seed), name).alias("h")), "kind", "h", total=total)
+    x = spread_join(ranked, facts.select(kind.alias("kind"), "ends", "m"), "kind", weight="m", total=total)
+    at = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    return x.select(name, F.element_at(F.array(*(F.lit(h) for h in holders)), at + 1).alias(holder))
+
+
+def assign_splits(df: DataFrame, *, group: str = "split_group", target: str = "target", seed: str = "42") -> DataFrame:
     """``df`` with ``fold`` (0 to 4) and ``split``; the rows of a group stay together, classes are balanced.
 
-    Groups with more than one row in ``single_parts`` of all, bounded in number, are placed one by one on the driver,
-    the least even first, into the fold whose class counts they even out most. All others are dealt out by their rank
-    among groups with the same class counts. No row of the table and no list of all groups goes to the driver. Rows with a
+    Groups are placed in descending spread of their class counts, then size, each into the fold where it leaves the shares of the classes most even over the
+    folds (least squares). Groups with the same counts are placed at once, with the result of placing them one by one (``water_filled``); which of them go
+    where is told by a seeded hash. No row of the table and no list of groups goes to the driver, only their different counts. Rows with a
     null group are left out; an empty table stays empty.
     """
-    groups = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count_if(F.col(target) == 0).alias("n0"), F.count_if(F.col(target) == 1).alias("n1"), F.count(F.lit(1)).alias("n"))
+    groups = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("__g")).agg(*label_counts(F.col(target)), F.count(F.lit(1)).alias("__n"))
     groups = materialize(groups)
-    rows, count = groups.agg(F.sum("n"), F.count(F.lit(1))).first()
-    if not count:
+    kinds = kinds_of(groups)
+    if not kinds:
         return df.limit(0).select("*", F.lit(0).cast("tinyint").alias("fold"), F.lit("").alias("split"))
-    cut = max(8, rows // single_parts)
-    large = groups.where(F.col("n") > cut).select("g", "n0", "n1", F.sha2(F.concat(F.lit(seed), "g"), 256).alias("h")).collect()
-    held = [[0, 0] for _ in range(FOLDS)]
-    placed = []
-    for r in sorted(large, key=lambda r: (-abs(r.n0 - r.n1), -(r.n0 + r.n1), r.h)):
-        def spread(k: int) -> tuple:
-            held[k][0] += r.n0
-            held[k][1] += r.n1
-            means = [sum(f[c] for f in held) / FOLDS for c in (0, 1)]
-            out = sum((f[c] - means[c]) ** 2 / max(means[c], 1) for f in held for c in (0, 1))
-            held[k][0] -= r.n0
-            held[k][1] -= r.n1
-            return out, sum(held[k]), k
-
-        best = min(range(FOLDS), key=spread)
-        held[best][0] += r.n0
-        held[best][1] += r.n1
-        placed.append((r.g, best))
-    # Counts up to EXACT are told apart, larger ones by steps of 2^(1/4), so there are a few thousand kinds at most.
-    coarse = lambda c: F.when(F.col(c) <= EXACT, F.col(c)).otherwise(EXACT + 1 + F.floor(F.log2(F.col(c) / EXACT) * 4)).cast("long")
-    small = groups.where(F.col("n") <= cut).withColumn("kind", F.concat_ws("/", coarse("n0"), coarse("n1"))).withColumn("h", F.sha2(F.concat(F.lit(seed), "g"), 256))
-    kinds = small.groupBy("kind").agg(F.count(F.lit(1)).alias("m"), F.avg("n0").alias("n0"), F.avg("n1").alias("n1")).collect()
+    whole = [sum(v[k] * m for v, m in kinds) or 1 for k in range(3)]
+    held = [[0, 0, 0] for _ in range(FOLDS)]
     deals = []
-    for r in sorted(kinds, key=lambda r: (-(r.n0 + r.n1), r.kind)):
-        m, at = r.m, 0
-        share = max(1, m // 40)
-        given = [0] * FOLDS
-        while m:
-            step = min(share, m)
-            k = min(range(FOLDS), key=lambda k: ((held[k][0] if r.n0 >= r.n1 else 0) + (held[k][1] if r.n1 >= r.n0 else 0), k))
-            held[k][0] += r.n0 * step
-            held[k][1] += r.n1 * step
-            given[k] += step
-            m -= step
-        for k in range(FOLDS):
-            at += given[k]
-            deals.append((r.kind, at, k))
-    spark = df.sparkSession
-    bounds = spark.createDataFrame(deals, "kind string, until long, fold int").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("until", "fold"))).alias("bounds"))
-    ranked = rank_within(small.select("g", "kind", "h", "n"), "kind", "h", total=count).join(F.broadcast(bounds), "kind")
-    dealt = ranked.select("g", F.filter("bounds", lambda b: b["until"] > F.col("rank"))[0]["fold"].alias("fold"), "n")
-    big = spark.createDataFrame(placed, "g string, fold int").join(groups.select("g", "n"), "g")
-    facts = dealt.union(big).select(F.col("g").alias("__g"), F.col("fold").cast("tinyint").alias("fold"), "n").withColumnRenamed("n", "__n")
+    for v, m in sorted(kinds, key=lambda x: (-abs(x[0][0] - x[0][1]), -sum(x[0]), x[0])):
+        given = water_filled([sum(h[k] * v[k] / whole[k] ** 2 for k in range(3)) for h in held], sum((v[k] / whole[k]) ** 2 for k in range(3)), m)
+        for h, g in zip(held, given):
+            for k in range(3):
+                h[k] += v[k] * g
+        deals.append((v, given))
+    rows, count = sum(sum(v) * m for v, m in kinds), sum(m for _, m in kinds)
+    placed = deal(groups, "__g", "fold", deals, list(range(FOLDS)), seed, count)
+    facts = materialize(placed.join(groups.select("__g", "__n"), "__g").select("__g", F.col("fold").cast("tinyint").alias("fold"), "__n"))
     x = spread_join(df.withColumn("__g", F.col(group)), facts, "__g", weight="__n", total=rows)
     return x.drop("__g").withColumn("split", split_name(F.col("fold")))
 
 
+def quality(assigned: DataFrame, group: str, shares: dict[str, float], *, target: str = "target", split: str = "split", off: float = 0.005, rate_off: float = 0.01) -> DataFrame:
+    """One row on an assignment: rows, rows without a split, groups, groups that lie in more than one, whether every split's share of the rows is within ``off`` of ``shares``
+    and its rate of ``target`` within ``rate_off`` of that of all rows."""
+    t = assigned.select(F.col(group).alias("g"), F.col(split).alias("s"), (F.col(target) == 1).cast("int").alias("t"))
+    per = t.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).agg(F.count("g").alias("n_groups"), F.count_if(F.col("lo") != F.col("hi")).alias("groups_apart"))
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("s").isNull() | ~F.col("s").isin(list(shares))).alias("rows_unplaced")]
+    near, even = F.lit(True), F.lit(True)
+    for s, share in shares.items():
+        mine = F.count_if(F.col("s") == s)
+        near = near & (F.abs(mine / F.count(F.lit(1)) - share) <= off)
+        even = even & (F.abs(F.avg(F.when(F.col("s") == s, F.col("t"))) - F.avg("t")) <= rate_off)
+    return t.agg(*aggs, near.alias("shares_met"), even.alias("rates_met")).crossJoin(F.broadcast(per))
+
+
 def hashed_splits(df: DataFrame, *, group: str = "split_group", target: str = "target", seed: str = "42") -> DataFrame:
     """``(g, fold, split)`` of every group: groups of one dominant class dealt out in order of size and seeded hash, in turn."""
     from pyspark.sql import Window

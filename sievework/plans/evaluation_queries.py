@@ -1,18 +1,15 @@
-"""Queries over scores: metrics, threshold sweeps, profiles and curves.
-
-Each report is there twice: of the model with the first name, and as ``..._by_model`` of every model in the table.
-"""
+"""Queries over scores: metrics, threshold sweeps, profiles and curves, of every model in the table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import protocol_only_score
 from ..operators import audit, metrics
+from ..operators.shared import materialize
 from ..session import table
 
 _COSTS = metrics.Costs()
@@ -24,52 +21,36 @@ def _all_scores(spark, sf_dir) -> DataFrame:
     return x.select("model", "url_id", F.col("target").cast("int").alias("target"), "score")
 
 
-def _scores(spark, sf_dir) -> DataFrame:
-    """Targets and scores of one model; rows without a score are left out."""
-    x = table(spark, sf_dir, "url_scores")
-    first = x.agg(F.min("model").alias("model"))
-    return x.join(F.broadcast(first), "model", "left_semi").where("score is not null").select("url_id", F.col("target").cast("int").alias("target"), "score")
-
-
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+_BY = ("model",)
+
+
 def _table(scores: DataFrame) -> DataFrame:
-    return metrics.threshold_table(scores, costs=_COSTS)
+    return metrics.threshold_table(scores, costs=_COSTS, by=_BY)
 
 
-#: Reports of the scores of one model.
+#: Reports of the scores, ``model`` in front.
 _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "metrics_at_half": lambda x: _rounded(metrics.evaluate(x, threshold=0.5, costs=_COSTS)),
-    "ranking_metrics": lambda x: _rounded(metrics.ranking(metrics.by_score(x))),
-    "calibration_bins": lambda x: _rounded(metrics.calibration_bins(metrics.by_score(x))),
-    "calibration_error": lambda x: _rounded(metrics.expected_calibration_error(x)),
-    "calibration_quantile_bins": lambda x: _rounded(metrics.quantile_calibration(x)),
-    "threshold_table": lambda x: _rounded(_table(x)),
-    "threshold_at_max_fpr": lambda x: _rounded(metrics.at_max_fpr(_table(x), 0.0163)),
-    "profiles": lambda x: _rounded(metrics.profiles(_table(x))),
-    "pr_curve": lambda x: _rounded(metrics.pr_curve(_table(x))),
-    "roc_curve": lambda x: _rounded(metrics.roc_curve(_table(x))),
-    "threshold_tradeoff": lambda x: _rounded(metrics.tradeoff(_table(x))),
-    "score_histogram": lambda x: audit.histogram(x, "score", 20, by="target").select("target", "bin", "n_rows"),
+    "metrics_at_half": lambda x: metrics.evaluate(x, threshold=0.5, costs=_COSTS, by=_BY),
+    "ranking_metrics": lambda x: metrics.ranking(metrics.by_score(x, by=_BY), _BY),
+    "calibration_bins": lambda x: metrics.calibration_bins(metrics.by_score(x, by=_BY), by=_BY),
+    "calibration_error": lambda x: metrics.expected_calibration_error(x, by=_BY),
+    "calibration_quantile_bins": lambda x: metrics.quantile_calibration(x, by=_BY),
+    "threshold_table": _table,
+    "threshold_at_max_fpr": lambda x: metrics.at_max_fpr(_table(x), 0.0163, _BY),
+    "profiles": lambda x: metrics.profiles(_table(x), _BY),
+    "pr_curve": lambda x: metrics.pr_curve(materialize(_table(x)), _BY),
+    "roc_curve": lambda x: metrics.roc_curve(materialize(_table(x)), _BY),
+    "threshold_tradeoff": lambda x: metrics.tradeoff(_table(x), _BY),
+    "score_histogram": lambda x: audit.histogram(x, "score", 20, by=("model", "target")).select("model", "target", "bin", "n_rows"),
 }
 
 
-def _of_first(report: Callable[[DataFrame], DataFrame]):
-    return lambda spark, sf_dir: report(_scores(spark, sf_dir))
-
-
-def _of_each(report: Callable[[DataFrame], DataFrame]):
-    """The report of every model that has scores, ``model`` in front. Only the models' names reach the driver."""
-
-    def query(spark, sf_dir):
-        x = _all_scores(spark, sf_dir)
-        of = lambda m: report(x.where(F.col("model") == m)).select(F.lit(m).alias("model"), "*")
-        names = sorted(r.model for r in x.where("model is not null").select("model").distinct().collect())
-        return reduce(DataFrame.unionByName, map(of, names)) if names else of("").limit(0)
-
-    return query
+def _report(report: Callable[[DataFrame], DataFrame]):
+    return lambda spark, sf_dir: _rounded(report(_all_scores(spark, sf_dir)))
 
 
 def metrics_by_model(spark, sf_dir):
@@ -87,10 +68,9 @@ def protocol_only(spark, sf_dir):
     return _rounded(metrics.evaluate(x, threshold=0.5, costs=_COSTS))
 
 
-QUERIES = {n: _of_first(f) for n, f in _REPORTS.items()} | {f"{n}_by_model": _of_each(f) for n, f in _REPORTS.items()}
+QUERIES = {n: _report(f) for n, f in _REPORTS.items()}
 QUERIES |= {"metrics_by_model": metrics_by_model, "protocol_only": protocol_only}
 
-_SOURCE = "rows_ as (select target, score from url_scores where model = (select min(model) from url_scores) and score is not null)"
 _PROTOCOL = r"rows_ as (select target, cast(starts_with(lower(url_model_input), 'http://') as double) as score from prepared_urls where split = 'validation')"
 _EDGES = " + ".join(f"cast(score > {e!r}e0 as int)" for e in metrics.edges(10))
 _BASE = f"""
@@ -111,7 +91,6 @@ full_ as (select threshold, cast(tp as bigint) as true_positive, cast(fp as bigi
   25.0e0 * (tp_all - tp) + 2.0e0 * fp as simulated_cost, (25.0e0 * (tp_all - tp) + 2.0e0 * fp) * 10000 / (tp_all + tn_all) as simulated_cost_per_10000 from cuts, tot, rank_, ece, brier)
 """
 _HALF = "cuts as (select 0.5e0 as threshold, sum(p) filter (score >= 0.5) as tp, sum(n) filter (score >= 0.5) as fp from g),"
-_FULL = f"with {_SOURCE}, {_BASE}{_RECORD}"
 _INTS = metrics.METRICS[1:6]
 _COLUMNS = ", ".join(c if c in _INTS else f"round(cast({c} as double), 6) as {c}" for c in metrics.METRICS)
 
@@ -129,23 +108,6 @@ def _profile_sql(p: metrics.Profile) -> str:
 
 
 _Q = ", ".join(f"{i / 10}" for i in range(1, 10))
-ORACLE = {
-    "metrics_at_half": _one(_SOURCE),
-    "metrics_by_model": "select model, count(score) as n_scores, count(*) filter (score is null) as n_missing, round(avg((score - target) * (score - target)), 6) as brier_score, count(*) filter (score >= 0.5 and target = 1) as true_positive, count(*) filter (score >= 0.5 and target = 0) as false_positive from url_scores group by 1",
-    "ranking_metrics": f"{_FULL} select round(average_precision, 6) as average_precision, round(roc_auc, 6) as roc_auc from rank_",
-    "calibration_bins": f"{_FULL} select bin, n_rows, round(mean_score, 6) as mean_score, round(rate, 6) as rate from bins",
-    "calibration_error": f"{_FULL} select round(expected_calibration_error, 6) as expected_calibration_error from ece",
-    "calibration_quantile_bins": f"with {_SOURCE}, q as (select quantile_cont(score, [{_Q}]) as q from rows_) select cast(len(list_filter(q, lambda e: e < score)) as int) as bin, count(*) as n_rows, round(avg(score), 6) as mean_score, round(avg(target), 6) as rate from rows_, q group by 1",
-    "threshold_table": f"{_FULL} select {_COLUMNS} from full_",
-    "threshold_at_max_fpr": f"{_FULL} select {_COLUMNS} from full_ order by (false_positive_rate <= 0.0163 and predicted_positive_rate > 0) desc, (predicted_positive_rate > 0) desc, recall desc, precision desc, false_positive_rate, threshold limit 1",
-    "profiles": f"{_FULL} " + " union all ".join(map(_profile_sql, metrics.PROFILES)),
-    "pr_curve": f"{_FULL} select round(recall, 6) as recall, round(precision, 6) as precision from full_ where predicted_positive_rate > 0 union all select 0.0e0, 1.0e0",
-    "roc_curve": f"{_FULL} select round(false_positive_rate, 6) as false_positive_rate, round(recall, 6) as recall from full_ where predicted_positive_rate > 0 union all select 0.0e0, 0.0e0",
-    "threshold_tradeoff": f"{_FULL} select round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(false_positive_rate, 6) as false_positive_rate from full_",
-    "score_histogram": f"with {_SOURCE}, ends as (select target, min(score) as lo, max(score) as hi from rows_ group by 1) select target, cast(least(floor((score - lo) / ((hi - lo) / 20)), 19) as int) as bin, count(*) as n_rows from rows_ join ends using (target) group by 1, 2",
-    "protocol_only": _one(_PROTOCOL),
-}
-
 # The same with ``model`` as a key throughout.
 _EACH_SOURCE = "rows_ as (select model, target, score from url_scores where score is not null)"
 _EACH_BASE = f"""
@@ -168,17 +130,19 @@ def _each_profile_sql(p: metrics.Profile) -> str:
     return _profile_sql(p).replace("select '", "select model, '", 1).replace("from full_ order by", "from full_ qualify row_number() over (partition by model order by").replace(" limit 1)", ") = 1)")
 
 
-ORACLE |= {
-    "metrics_at_half_by_model": f"with {_EACH_SOURCE}, {_EACH_BASE}{_EACH_HALF}{_EACH_RECORD} select model, {_COLUMNS} from full_",
-    "ranking_metrics_by_model": f"{_EACH} select model, round(average_precision, 6) as average_precision, round(roc_auc, 6) as roc_auc from rank_",
-    "calibration_bins_by_model": f"{_EACH} select model, bin, n_rows, round(mean_score, 6) as mean_score, round(rate, 6) as rate from bins",
-    "calibration_error_by_model": f"{_EACH} select model, round(expected_calibration_error, 6) as expected_calibration_error from ece",
-    "calibration_quantile_bins_by_model": f"with {_EACH_SOURCE}, q as (select model, quantile_cont(score, [{_Q}]) as q from rows_ group by 1) select model, cast(len(list_filter(q, lambda e: e < score)) as int) as bin, count(*) as n_rows, round(avg(score), 6) as mean_score, round(avg(target), 6) as rate from rows_ join q using (model) group by 1, 2",
-    "threshold_table_by_model": f"{_EACH} select model, {_COLUMNS} from full_",
-    "threshold_at_max_fpr_by_model": f"{_EACH} select model, {_COLUMNS} from full_ qualify row_number() over (partition by model order by (false_positive_rate <= 0.0163 and predicted_positive_rate > 0) desc, (predicted_positive_rate > 0) desc, recall desc, precision desc, false_positive_rate, threshold) = 1",
-    "profiles_by_model": f"{_EACH} " + " union all ".join(map(_each_profile_sql, metrics.PROFILES)),
-    "pr_curve_by_model": f"{_EACH} select model, round(recall, 6) as recall, round(precision, 6) as precision from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 1.0e0 from tot",
-    "roc_curve_by_model": f"{_EACH} select model, round(false_positive_rate, 6) as false_positive_rate, round(recall, 6) as recall from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 0.0e0 from tot",
-    "threshold_tradeoff_by_model": f"{_EACH} select model, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(false_positive_rate, 6) as false_positive_rate from full_",
-    "score_histogram_by_model": f"with {_EACH_SOURCE}, ends as (select model, target, min(score) as lo, max(score) as hi from rows_ group by 1, 2) select model, target, cast(least(floor((score - lo) / ((hi - lo) / 20)), 19) as int) as bin, count(*) as n_rows from rows_ join ends using (model, target) group by 1, 2, 3",
+ORACLE = {
+    "metrics_by_model": "select model, count(score) as n_scores, count(*) filter (score is null) as n_missing, round(avg((score - target) * (score - target)), 6) as brier_score, count(*) filter (score >= 0.5 and target = 1) as true_positive, count(*) filter (score >= 0.5 and target = 0) as false_positive from url_scores group by 1",
+    "protocol_only": _one(_PROTOCOL),
+    "metrics_at_half": f"with {_EACH_SOURCE}, {_EACH_BASE}{_EACH_HALF}{_EACH_RECORD} select model, {_COLUMNS} from full_",
+    "ranking_metrics": f"{_EACH} select model, round(average_precision, 6) as average_precision, round(roc_auc, 6) as roc_auc from rank_",
+    "calibration_bins": f"{_EACH} select model, bin, n_rows, round(mean_score, 6) as mean_score, round(rate, 6) as rate from bins",
+    "calibration_error": f"{_EACH} select model, round(expected_calibration_error, 6) as expected_calibration_error from ece",
+    "calibration_quantile_bins": f"with {_EACH_SOURCE}, q as (select model, quantile_cont(score, [{_Q}]) as q from rows_ group by 1) select model, cast(len(list_filter(q, lambda e: e < score)) as int) as bin, count(*) as n_rows, round(avg(score), 6) as mean_score, round(avg(target), 6) as rate from rows_ join q using (model) group by 1, 2",
+    "threshold_table": f"{_EACH} select model, {_COLUMNS} from full_",
+    "threshold_at_max_fpr": f"{_EACH} select model, {_COLUMNS} from full_ qualify row_number() over (partition by model order by (false_positive_rate <= 0.0163 and predicted_positive_rate > 0) desc, (predicted_positive_rate > 0) desc, recall desc, precision desc, false_positive_rate, threshold) = 1",
+    "profiles": f"{_EACH} " + " union all ".join(map(_each_profile_sql, metrics.PROFILES)),
+    "pr_curve": f"{_EACH} select model, round(recall, 6) as recall, round(precision, 6) as precision from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 1.0e0 from tot",
+    "roc_curve": f"{_EACH} select model, round(false_positive_rate, 6) as false_positive_rate, round(recall, 6) as recall from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 0.0e0 from tot",
+    "threshold_tradeoff": f"{_EACH} select model, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(false_positive_rate, 6) as false_positive_rate from full_",
+    "score_histogram": f"with {_EACH_SOURCE}, ends as (select model, target, min(score) as lo, max(score) as hi from rows_ group by 1, 2) select model, target, cast(least(floor((score - lo) / ((hi - lo) / 20)), 19) as int) as bin, count(*) as n_rows from rows_ join ends using (model, target) group by 1, 2, 3",
 }

@@ -29,7 +29,7 @@ def rule_scored(df: DataFrame, url: str = "url_model_input", suffixes: Sequence[
     """``df`` with the features and the rule score of its URLs. ``suffixes`` are the public-suffix rules, ``icann_rules`` by default."""
     p = "__domain_parts"
     x = with_parts(widened(df), url, p).withColumn("__domain", registered_domain(df.sparkSession, F.col(f"{p}.host"), suffixes or icann_rules(df.sparkSession)))
-    return with_features(x.drop(p), url, F.col("__domain")).withColumn("score", rules.score()).drop("__domain")
+    return with_features(x, url, F.col("__domain"), p).withColumn("score", rules.score()).drop("__domain")
 
 
 def prepare_job(spark: SparkSession, data: str, reports: str, *, suffixes: Sequence[str] | None = None) -> dict:
@@ -38,8 +38,8 @@ def prepare_job(spark: SparkSession, data: str, reports: str, *, suffixes: Seque
         source = source.withColumn("row_id", F.monotonically_increasing_id())
         source = materialize(source)
     prepared, conflicts, summary = prepare(source, rules=suffixes or icann_rules(spark))
-    raw.write_parquet(prepared, f"{data}/prepared.parquet")
-    raw.write_parquet(conflicts, f"{data}/conflicts.parquet")
+    raw.write_parquet(prepared.orderBy("url_dedupe_key", "row_order"), f"{data}/prepared.parquet")
+    raw.write_parquet(conflicts.orderBy("url_dedupe_key", "row_order"), f"{data}/conflicts.parquet")
     out = summary.first().asDict()
     raw.write_json(spark, out, f"{data}/preparation.json")
     return out
@@ -116,6 +116,7 @@ def rules_job(spark: SparkSession, data: str, reports: str, *, suffixes: Sequenc
     out = f"{reports}/rules"
     began = time.perf_counter()
     scored = materialize(rule_scored(df, suffixes=suffixes))
+    metrics.validate(scored)
     seconds = time.perf_counter() - began
     n = scored.count()
     timing = {"seconds": seconds, "ms_per_url": seconds / n * 1000, "urls_per_second": n / seconds if seconds else float("inf")}

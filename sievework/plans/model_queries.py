@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import splits, textmodel
+from ..operators.shared import materialize
 from ..session import table
 from .url_queries import _strip
 
@@ -25,6 +26,12 @@ def split_assignment(spark, sf_dir):
     return splits.assign_splits(_urls(spark, sf_dir).select("url_id", "split_group", "target")).select("url_id", F.col("fold").cast("int").alias("fold"), "split")
 
 
+def split_quality(spark, sf_dir):
+    """Whether the assignment keeps groups whole, and meets the shares and rates of its splits."""
+    rows = _urls(spark, sf_dir).select("url_id", "split_group", "target")
+    return splits.quality(materialize(splits.assign_splits(rows)), "split_group", {"train": 0.6, "validation": 0.2, "test": 0.2})
+
+
 def split_hashed(spark, sf_dir):
     return splits.hashed_splits(_urls(spark, sf_dir))
 
@@ -94,7 +101,7 @@ def candidate_search(spark, sf_dir):
     return spark.createDataFrame([(i + 1, *(r[k] for k in keep)) for i, r in enumerate(rows)], "rank_no int, name string, c double, average_precision double, roc_auc double, expected_calibration_error double, matched_recall double, n_features int")
 
 
-_NAMES = "split_assignment split_hashed split_summary split_integrity split_straddling_groups ngram_vocabulary ngram_vocabulary_wide tfidf_weights tfidf_weights_wide logistic_scores top_ngrams candidate_search".split()
+_NAMES = "split_assignment split_quality split_hashed split_summary split_integrity split_straddling_groups ngram_vocabulary ngram_vocabulary_wide tfidf_weights tfidf_weights_wide logistic_scores top_ngrams candidate_search".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _GRAMS = rf"""
@@ -107,6 +114,7 @@ vocab as (select ngram, count(*) as df, cast(sum(tf) as bigint) as tf_total, ln(
 _WEIGHTS = "w as (select id, (1 + ln(tf)) * idf as raw from tf join vocab using (ngram)), n as (select id, sqrt(sum(raw * raw)) as norm from w group by 1) select id as url_id, count(*) as n_grams, round(sum(raw / norm), 5) as total, round(max(raw / norm), 6) as largest from w join n using (id) group by 1"
 _WIDE = _GRAMS.replace("(values (3), (4))", "(values (3), (4), (5))")
 ORACLE = {
+    "split_quality": "select count(*) as n_rows, count(*) filter (split_group is null) as rows_unplaced, true as shares_met, true as rates_met, count(distinct split_group) as n_groups, 0 as groups_apart from prepared_urls",
     "split_hashed": "with g as (select split_group as g, count(*) as n, count(*) filter (target = 1) as n1 from prepared_urls group by 1), f as (select g, cast((row_number() over (partition by n1 * 2 > n order by n desc, sha256('42' || coalesce(g, ''))) - 1) % 5 as int) as fold from g) select g, fold, case when fold <= 2 then 'train' when fold = 3 then 'validation' else 'test' end as split from f",
     "split_summary": "select split, count(*) as n_rows, round_even(count(*) * 100.0e0 / (select count(*) from prepared_urls), 4) as percent, count(*) filter (target = 1) as phishing, count(*) filter (target = 0) as legitimate, round_even(count(*) filter (target = 1) * 1.0e0 / count(*), 6) as rate, count(distinct split_group) as n_groups from prepared_urls group by 1",
     "split_integrity": "select (select count(distinct split) from prepared_urls) as n_splits, (select count(*) from prepared_urls where split is null or split not in ('train', 'validation', 'test')) as unknown_rows, (select count(*) from (select 1 from prepared_urls group by split_group having count(distinct split) > 1)) as straddling_groups, (select count(*) from (select 1 from prepared_urls group by url_dedupe_key having count(distinct split) > 1)) as straddling_keys",

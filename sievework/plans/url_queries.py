@@ -37,8 +37,8 @@ def text_normaliser(spark, sf_dir):
     return _urls(spark, sf_dir).select("url_id", urls.text_model_input(u).alias("model_text"), urls.protocol_only_score(u).alias("protocol_score"))
 
 
-def _featured(spark, sf_dir) -> DataFrame:
-    return rule_scored(_urls(spark, sf_dir).select("url_id", "url_original"), "url_original", TEST_RULES)
+def _featured(spark, sf_dir, *also: str) -> DataFrame:
+    return rule_scored(_urls(spark, sf_dir).select("url_id", "url_original", *also), "url_original", TEST_RULES)
 
 
 def url_features(spark, sf_dir):
@@ -61,25 +61,24 @@ def rule_explanations(spark, sf_dir):
 
 def rule_class_summary(spark, sf_dir):
     """Rows, mean and largest rule score and alerts per class."""
-    x = _featured(spark, sf_dir).join(_urls(spark, sf_dir).select("url_id", "target"), "url_id")
-    return x.groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"), F.count_if(F.col("score") >= rules.DEFAULT_THRESHOLD).alias("n_alerts"))
+    return _featured(spark, sf_dir, "target").groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"), F.count_if(F.col("score") >= rules.DEFAULT_THRESHOLD).alias("n_alerts"))
 
 
-def _labelled(spark, sf_dir) -> DataFrame:
-    """Raw rows that may be converted: a label of 0 or 1."""
-    return table(spark, sf_dir, "raw_urls").where("label in (0, 1)")
+def _prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All raw rows; those with a label other than 0 and 1 are set aside and counted."""
+    return prepare.prepare(table(spark, sf_dir, "raw_urls"), set_aside=True)
 
 
 def prepare_records(spark, sf_dir):
-    return prepare.prepare(_labelled(spark, sf_dir))[0].withColumn("target", F.col("target").cast("int"))
+    return _prepared(spark, sf_dir)[0].withColumn("target", F.col("target").cast("int"))
 
 
 def prepare_conflicts(spark, sf_dir):
-    return prepare.prepare(_labelled(spark, sf_dir))[1].select("row_order", "url_dedupe_key", F.col("target").cast("int").alias("target"))
+    return _prepared(spark, sf_dir)[1].select("row_order", "url_dedupe_key", F.col("target").cast("int").alias("target"))
 
 
 def prepare_summary(spark, sf_dir):
-    return prepare.prepare(_labelled(spark, sf_dir))[2]
+    return _prepared(spark, sf_dir)[2]
 
 
 def raw_quality(spark, sf_dir):
@@ -234,7 +233,8 @@ ORACLE = {
     "rule_class_summary": f"{_SCORED} select target, count(*) as n_rows, round(avg(score), 6) as mean_score, max(score) as max_score, count(*) filter (score >= 0.35) as n_alerts from scored group by 1",
     "prepare_records": f"{_MARKED} select row_order, {', '.join(prepare.PREPARED)} from marked where not conflicting and first",
     "prepare_conflicts": f"{_MARKED} select row_order, url_dedupe_key, target from marked where conflicting",
-    "prepare_summary": f"""{_MARKED} select (select count(*) from parts) as raw_rows, (select count(*) from parts where raw = '') as empty_rows, count(*) as rows_after_empty,
+    "prepare_summary": f"""{_MARKED} select (select count(*) from raw_urls) as raw_rows, (select count(*) from raw_urls where {_strip('url')} = '') as empty_rows,
+      (select count(*) from raw_urls where {_strip('url')} <> '' and (label is null or label not in (0, 1))) as bad_label_rows, count(*) as rows_after_empty,
       count(distinct case when conflicting then url_dedupe_key end) as conflicting_keys, count(*) filter (conflicting) as conflicting_rows, count(*) filter (not conflicting and not first) as duplicates_removed,
       count(*) filter (not conflicting and first) as prepared_rows, count(*) filter (not conflicting and first and not is_valid_url) as invalid_retained, count(distinct case when not conflicting and first then split_group end) as unique_groups from marked""",
     "raw_quality": f"select count(*) as n_rows, count(*) filter (url is null) as null_urls, count(*) filter ({_strip('url')} = '') as blank_urls, count(*) filter (label is null or label not in (0, 1)) as odd_labels from raw_urls",

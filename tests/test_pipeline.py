@@ -16,14 +16,16 @@ def raw_rows(spark, *rows):
 
 
 def test_conflicts_and_duplicates(spark):
-    df = raw_rows(spark, ("https://Example.com/a#one", 0), ("https://example.com/a#two", 1), ("https://safe.example/b", 1), (" ", 1), (None, 0))
+    df = raw_rows(spark, ("http://Blog.Test/x?y#top", 1), ("http://blog.test/x?y", 0), ("http://blog.test/x?y#end", 1), ("ftp://files.test", 0), ("\u00a0\t", 0), (None, 1), ("no host:", 1), ("no host:#z", 1))
     prepared, conflicts, summary = prepare.prepare(df)
-    assert prepared.count() == 1 and conflicts.count() == 2
-    assert tuple(summary.first()) == (5, 2, 3, 1, 2, 0, 1, 0, 1)
-    prepared, conflicts, summary = prepare.prepare(raw_rows(spark, ("https://example.com/a#one", 0), ("https://EXAMPLE.com/a#two", 0)))
-    assert [r.url_original for r in prepared.collect()] == ["https://example.com/a#one"] and not conflicts.count()
-    assert summary.first().duplicates_removed == 1
+    assert sorted(r.row_order for r in prepared.collect()) == [3, 6] and sorted(r.row_order for r in conflicts.collect()) == [0, 1, 2]
+    assert tuple(summary.first()) == (8, 2, 6, 1, 3, 1, 2, 1, 2)
     assert tuple(prepare.prepare(df.limit(0))[2].first()) == (0,) * 9
+    odd = df.union(raw_rows(spark, ("http://more.test/", 5), ("http://more.test/", None), (None, 7)))
+    got = prepare.prepare(odd, set_aside=True)[2].first()
+    assert (got.raw_rows, got.empty_rows, got.bad_label_rows, got.rows_after_empty, got.prepared_rows) == (11, 3, 2, 6, 2)
+    with pytest.raises(Exception, match="label"):
+        prepare.prepare(odd)
 
 
 def test_raw_validation(spark):
@@ -33,6 +35,7 @@ def test_raw_validation(spark):
         prepare.validate_raw(raw_rows(spark, ("a", 3)))
     with pytest.raises(ValueError, match="empty"):
         prepare.validate_raw(raw_rows(spark, ("a", 1)).limit(0))
+    prepare.validate_raw(raw_rows(spark, ("a", 1), ("b", None)))
 
 
 def scores(spark, targets, values):
@@ -40,52 +43,111 @@ def scores(spark, targets, values):
 
 
 def test_metrics(spark):
-    r = metrics.evaluate(scores(spark, [0, 0, 1, 1], [0.1, 0.8, 0.9, 0.2])).first()
-    assert (r.true_positive, r.false_positive, r.true_negative, r.false_negative) == (1, 1, 1, 1)
-    assert r.precision == r.recall == r.false_positive_rate == 0.5 and r.simulated_cost == 27
-    assert metrics.expected_calibration_error(scores(spark, [0, 1], [0.0, 1.0]), n_bins=2).first()[0] == 0
+    r = metrics.evaluate(scores(spark, [1, 1, 0, 0, 0], [0.7, 0.3, 0.6, 0.1, 0.4])).first()
+    assert (r.true_positive, r.false_positive, r.true_negative, r.false_negative) == (1, 1, 2, 1)
+    assert r.precision == r.recall == 0.5 and abs(r.false_positive_rate - 1 / 3) < 1e-12 and r.simulated_cost == 27
+    assert metrics.expected_calibration_error(scores(spark, [1, 0, 1], [1.0, 0.0, 1.0]), n_bins=4).first()[0] == 0
     with pytest.raises(ValueError, match="between 0 and 1"):
-        metrics.validate(scores(spark, [0, 1], [0.1, 1.2]))
-    one = metrics.evaluate(scores(spark, [1, 1], [0.5, 0.6])).first()
+        metrics.validate(scores(spark, [1, 0], [-0.01, 0.3]))
+    one = metrics.evaluate(scores(spark, [1, 1, 1], [0.9, 0.4, 0.2])).first()
     assert one.average_precision != one.average_precision and one.specificity == 0
-    assert not metrics.evaluate(scores(spark, [0], [0.5]).limit(0)).count()
-    tied = metrics.ranking(metrics.by_score(scores(spark, [0, 1, 0, 1], [0.5, 0.5, 0.5, 0.5]))).first()
+    assert not metrics.evaluate(scores(spark, [0], [0.25]).limit(0)).count()
+    tied = metrics.ranking(metrics.by_score(scores(spark, [1, 0, 0, 1, 0, 1], [0.3] * 6))).first()
     assert tied.roc_auc == 0.5 and tied.average_precision == 0.5
 
 
+def brute(rows, cut):
+    tp, fp = sum(t for t, s in rows if s >= cut), sum(1 - t for t, s in rows if s >= cut)
+    return tp, fp
+
+
+def test_thresholds_by_key(spark):
+    """Every key is swept by itself, whatever the ranges the scores fall into."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    keyed = {k: [(int(rng.random() < 0.4), round(rng.random() ** 3, digits)) for _ in range(400)] for k, digits in (("a", 6), ("b", 1))}
+    keyed["c"] = [(1, 0.5)]
+    df = spark.createDataFrame([(k, t, s) for k, rows in keyed.items() for t, s in rows], "k string, target int, score double")
+    got = {(r.k, r.threshold): (r.true_positive, r.false_positive) for r in metrics.threshold_table(df, by=("k",)).collect()}
+    assert got == {(k, cut): brute(rows, cut) if cut > 0 else (sum(t for t, _ in rows), sum(1 - t for t, _ in rows)) for k, rows in keyed.items() for cut in {0.0, 1.0, *(s for _, s in rows)}}
+    bins = {(r.k, r.bin): r.n_rows for r in metrics.quantile_calibration(df, by=("k",)).collect()}
+    for k, rows in keyed.items():
+        values = np.array([s for _, s in rows])
+        cuts = np.quantile(values, np.arange(1, 10) / 10)
+        at, n = np.unique((cuts[None, :] < values[:, None]).sum(axis=1), return_counts=True)
+        assert {b: m for (q, b), m in bins.items() if q == k} == dict(zip(at.tolist(), n.tolist()))
+    table = metrics.threshold_table(df.where("k <> 'c'"), by=("k",))
+    best = {r.k: r for r in metrics.at_max_fpr(table, 0.3, ("k",)).collect()}
+    assert set(best) == {"a", "b"} and all(r.false_positive_rate <= 0.3 for r in best.values())
+    for k, r in best.items():
+        assert r.recall == max(x.recall for x in table.where(F.col("k") == k).collect() if x.false_positive_rate <= 0.3 and x.predicted_positive_rate > 0)
+    assert sorted((r.k, r.profile) for r in metrics.profiles(table, ("k",)).collect()) == [(k, p.name) for k in "ab" for p in sorted(metrics.PROFILES, key=lambda p: p.name)]
+    assert metrics.pr_curve(table, ("k",)).where("recall = 0 and precision = 1").select("k").distinct().count() == 2
+
+
 def test_thresholds(spark):
-    t = metrics.threshold_table(scores(spark, [0, 1, 0, 1, 1, 0], [0.05, 0.91, 0.2, 0.8, 0.65, 0.4]))
+    t = metrics.threshold_table(scores(spark, [1, 0, 1, 1, 0, 0, 1], [0.99, 0.33, 0.12, 0.57, 0.48, 0.05, 0.33]))
     rows = t.orderBy("threshold").collect()
-    assert len(rows) == 8 and rows[0].true_positive == 3 and rows[-1].predicted_positive_rate == 0
-    t = metrics.threshold_table(scores(spark, [0, 0, 0, 0, 1, 1, 1, 1], [0.01, 0.1, 0.2, 0.7, 0.3, 0.6, 0.8, 0.95]))
-    best = metrics.at_max_fpr(t, 0.25).first()
-    assert best.false_positive_rate <= 0.25 and best.recall > 0
+    assert len(rows) == 8 and rows[0].true_positive == 4 and rows[-1].predicted_positive_rate == 0
+    best = metrics.at_max_fpr(t, 1 / 3).first()
+    assert best.false_positive_rate <= 1 / 3 and best.threshold == 0.57
     assert [r.profile for r in metrics.profiles(t).collect()] == ["high_security", "balanced", "conservative"]
-    none = metrics.profiles(metrics.threshold_table(scores(spark, [0, 1], [0.9, 0.1]))).collect()
-    assert not any(r.constraints_met for r in none)
+    none = metrics.profiles(metrics.threshold_table(scores(spark, [1, 0, 0], [0.02, 0.6, 0.7]))).collect()
+    assert len(none) == 3 and not any(r.constraints_met for r in none)
+    assert not metrics.profiles(metrics.threshold_table(scores(spark, [1], [0.5]).limit(0))).count()
 
 
-def grouped(spark):
-    rows = [(f"https://group-{g}.example/path/{r}?value={g}", f"group-{g}.example", g % 2) for g in range(30) for r in range(3)]
+def sites(spark):
+    """25 sites of 1 to 9 pages; two thirds of the sites are of one class only."""
+    rows = [(f"http://s{g}.site{g}.test/p{r}", f"site{g}.test", (g // 3 + (r if g % 3 == 0 else 0)) % 2) for g in range(25) for r in range(g % 9 + 1)]
     return spark.createDataFrame([(i, u, u, d, d, t) for i, (u, d, t) in enumerate(rows)], "row_order long, url_model_input string, url_dedupe_key string, registered_domain string, split_group string, target int")
 
 
 def test_split(spark):
-    df = grouped(spark)
+    df = sites(spark)
     splits.validate_input(df)
     x = splits.assign_splits(df).cache()
     splits.validate_integrity(x)
-    assert x.count() == 90
-    rates = {r.split: r.rate for r in splits.split_summary(x).collect()}
-    assert set(rates) == {"train", "validation", "test"} and all(abs(r - 0.5) <= 0.2 for r in rates.values())
+    assert x.count() == df.count()
+    got = {r.split: r for r in splits.split_summary(x).collect()}
+    assert set(got) == {"train", "validation", "test"} and abs(got["train"].percent - 60) < 8
     again = splits.assign_splits(df)
     assert not x.select("row_order", "fold").exceptAll(again.select("row_order", "fold")).count()
     with pytest.raises(ValueError, match="classes"):
         splits.validate_input(df.where("target = 1"))
+    with pytest.raises(ValueError, match="url_model_input"):
+        splits.validate_input(df.drop("url_model_input"))
     with pytest.raises(ValueError, match="more than one split"):
         splits.validate_integrity(df.withColumn("split", F.element_at(F.array(*map(F.lit, ("train", "validation", "test"))), (F.col("row_order") % 3 + 1).cast("int"))))
 
 
+def test_equal_items_are_placed_as_one_by_one():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(500):
+        levels, step, items = [rng.choice([rng.randrange(-50, 50), rng.random() * 10]) for _ in range(rng.randrange(1, 6))], rng.choice([1, 2, 0.37]), rng.randrange(0, 60)
+        given = [0] * len(levels)
+        for _ in range(items):
+            given[min(range(len(levels)), key=lambda i: (levels[i] + given[i] * step, i))] += 1
+        assert splits.water_filled(levels, step, items) == given
+    assert splits.water_filled([0, 0, 5], 1, 10**12) == [333333333335, 333333333335, 333333333330]
+
+
+def test_split_with_a_hot_group(spark):
+    """A group with a third of the rows, and many of one row; shares and rates hold as far as groups allow."""
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i}", int(i % 3 == 0) if i % 7 else 1 - int(i % 3 == 0)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "url_id long, split_group string, target int").withColumns({"kind": F.lit(1), "ends": F.lit(2), "m": F.lit(3), "h": F.lit("x"), "rank": F.lit(0)})
+    x = splits.assign_splits(df)
+    zeros = [r["count"] for r in x.where("target = 0").groupBy("fold").count().collect()]
+    assert x.count() == 6000 and len(zeros) == 5 and max(zeros) - min(zeros) <= 2
+    assert x.where("target = 1 and split_group <> 'hot'").groupBy("fold").count().agg(F.max("count") - F.min("count")).first()[0] <= 2
+    assert x.groupBy("split_group").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+
+
 def test_spec():
     assert len(textmodel.compact_candidates()) == 7 and len(textmodel.full_candidates()) == 18
     for bad in (dict(min_n=3, max_n=2), dict(c=0), dict(class_weight="x"), dict(min_df=0)):
@@ -94,7 +156,7 @@ def test_spec():
 
 
 def test_candidates_spec_by_spec():
-    """The reference's lists: name, range, C, class weight and whether scheme-neutral."""
+    """The fixed lists: name, range, C, class weight and whether scheme-neutral."""
     of = lambda specs: {(s.name, s.min_n, s.max_n, s.c, s.class_weight, s.scheme_neutral) for s in specs}
     assert of(textmodel.compact_candidates()) == {
         ("char35_c05", 3, 5, 0.5, None, False), ("char35_c10", 3, 5, 1.0, None, False), ("char35_c20_bal", 3, 5, 2.0, "balanced", False),
