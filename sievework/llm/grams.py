@@ -54,6 +54,38 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
+def _byte_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(text number and 4-gram, sorted, each once; different 4-grams of each text)`` of ASCII texts; a gram is its four bytes."""
+    points = np.frombuffer("".join(texts).encode(), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = max(0, len(points) - 3)
+    gram = (points[:n] << np.uint64(24)) | (points[1 : n + 1] << np.uint64(16)) | (points[2 : n + 2] << np.uint64(8)) | points[3 : n + 3]
+    owner = np.repeat(np.arange(len(texts)), lengths)[:n]
+    inside = np.arange(n) + 4 <= np.cumsum(lengths)[owner]
+    key = np.sort((owner[inside].astype(np.uint64) << np.uint64(32)) | gram[inside])
+    key = key[runs(key)]
+    return key, np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+
+
+def similar(x: list[str], y: list[str], q: int, threshold: float) -> np.ndarray:
+    """For each pair of texts whether their sets of ``q``-grams have at least that Jaccard similarity, exactly: pairs of ASCII texts with
+    ``q`` 4 as whole arrays, others as sets."""
+    out = np.zeros(len(x), bool)
+    plain = np.fromiter((q == 4 and a.isascii() and b.isascii() for a, b in zip(x, y)), bool, len(x))
+    for k in np.flatnonzero(~plain):
+        a, b = ({t[i : i + q] for i in range(len(t) - q + 1)} for t in (x[k], y[k]))
+        out[k] = alike(a, b, threshold)
+    at = np.flatnonzero(plain)
+    for s in range(0, len(at), RECORDS):
+        here = at[s : s + RECORDS]
+        a, m = _byte_grams([x[k] for k in here])
+        b, n = _byte_grams([y[k] for k in here])
+        both = np.sort(np.concatenate([a, b]))
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(here))
+        out[here] = (common > 0) & (common * 10_000 >= round(threshold * 10_000) * (m + n - common))
+    return out
+
+
 def alike(x: set[str], y: set[str], threshold: float) -> bool:
     """Whether the Jaccard similarity of two sets of grams reaches ``threshold``, in whole numbers so that the bound itself counts."""
     both = len(x & y)

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..operators.shared import materialize
+from ..operators.shared import materialize, widened
 from ..session import table
 from . import postings
-from .grams import RECORDS, alike, mix, runs, windows
+from .grams import RECORDS, mix, runs, similar, windows
 from .texts import expand_pairs, fold_copies, model_text
 
 #: log2 of the number of counters for gram frequencies; it bounds what is broadcast (1 MB) and does not grow with the data.
@@ -122,7 +122,7 @@ def near_pairs(classes: DataFrame, q: int, threshold: float) -> DataFrame:
         both = m.astype(np.int64) + n
         postings.within(p, both - 2 * postings.least_overlap(both, threshold), _SKETCH)
 
-    lists = postings.build(classes.select("rep", "text"), make, postings.parts(rows * 16))
+    lists = postings.build(widened(classes.select("rep", "text")), make, postings.parts(rows * 16))
     found = postings.join(lists, _DTYPE, keep, threshold)
     return verified(materialize(found), classes, q, threshold)
 
@@ -135,14 +135,7 @@ def verified(pairs: DataFrame, classes: DataFrame, q: int, threshold: float) ->
     def passes(x, y):
         import pandas as pd
 
-        known: dict[str, set[str]] = {}  # a text stands in many pairs of a batch
-
-        def grams(t: str) -> set[str]:
-            if t not in known:
-                known[t] = {t[i : i + q] for i in range(len(t) - q + 1)}
-            return known[t]
-
-        return pd.Series([alike(grams(i), grams(j), threshold) for i, j in zip(x, y)], dtype=bool)
+        return pd.Series(similar(x.tolist(), y.tolist(), q, threshold))
 
     left = pairs.join(text.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(text.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import materialize
+from ..operators.shared import materialize, widened
 from ..operators.skew import heavy_keys
 from ..session import table
 from . import postings
@@ -19,7 +19,7 @@ from .texts import BLOCK, dealt, every_block, fold_copies, meet, model_text
 
 #: Minwise hashes per band, and bands: a pair at similarity 0.7 shares no band with probability 5.7e-6, one at 0.8 with 1e-10.
 BAND_ROWS, BANDS = 4, 44
-WORDS = 3
+WORDS = 2
 _SKETCH = [f"s{k}" for k in range(WORDS)]
 _DTYPE = np.dtype([("t", "<u8"), ("id", "<i8"), ("size", "<u4"), ("side", "u1"), *((s, "<u4") for s in _SKETCH)])
 TRAIN, OTHER = 1, 2
@@ -58,7 +58,7 @@ def band_postings(batch: pa.RecordBatch, q: int, bands: int, rows: int) -> Itera
 def cross_split_pairs(classes: DataFrame, q: int, threshold: float) -> DataFrame:
     """``(a, b)`` of different ``classes`` (``rep``, ``text``, ``side``), similar and with a train record facing another's."""
     rows = classes.count()
-    slim = classes.select("rep", "text", "side")
+    slim = widened(classes.select("rep", "text", "side"))
 
     def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         return band_postings(batch, q, BANDS, BAND_ROWS)

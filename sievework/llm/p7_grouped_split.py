@@ -4,39 +4,39 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import splits
 from ..operators.components import components
 from ..operators.shared import materialize
-from ..operators.skew import rank_within, spread_join
+from ..operators.skew import spread_join
 from ..session import table
 
 SHARES = {"train": 0.6, "validation": 0.2, "test": 0.2}
-#: Components of more than one part in so many of all rows are placed one by one; there are at most so many.
-SINGLE_PARTS = 10_000
-#: Class counts up to this are told apart exactly when small components are placed by kind; larger ones by power of 2^(1/4).
-EXACT = 32
 
 
-def related_sets(df: DataFrame, group: str, domain: str, *also) -> DataFrame:
-    """``(g, component, n, *also)`` of every value of ``group`` (``g``, ``g:`` before it): rows related through ``group`` or
-    a non-null ``domain``, directly or through others, share a component; ``n`` counts rows. ``also`` are aggregates over
-    the columns of ``df`` by group. A row without a group is related through its domain alone, one without either
-    through neither and left out here."""
-    name = F.coalesce(F.concat(F.lit("g:"), F.col(group)), F.concat(F.lit("n:"), F.col(domain)))
-    rows = df.withColumn("__g", name).withColumn("__d", F.concat(F.lit("d:"), F.col(domain))).where("__g is not null")
-    links = materialize(rows.groupBy("__g", "__d").agg(F.count(F.lit(1)).alias("n"), *also))
-    facts = links.columns[3:]
-    ends = links.select("__g", F.coalesce("__d", "__g").alias("__d"))
-    # A domain whose rows all lie in one group, and a group with that domain alone, need no rounds.
-    comps = components(ends, "__g", "__d")
-    merged = links.groupBy("__g").agg(F.sum("n").alias("n"), *(_merge(c) for c in facts))
-    return merged.select(F.col("__g").alias("node"), "n", *facts).join(comps, "node").withColumnRenamed("node", "g")
+def _name(group: str, domain: str) -> Column:
+    return F.coalesce(F.concat(F.lit("g:"), F.col(group)), F.concat(F.lit("n:"), F.col(domain)))
 
 
-def _merge(column: str):
-    return (F.bit_or(column) if column.startswith("mask") else F.sum(column)).alias(column)
+def related_sets(df: DataFrame, group: str, domain: str, target: str | None = None, mask: Column | None = None) -> DataFrame:
+    """``(g, component, n, c0, c1, c2, mask)`` of every value of ``group`` (``g``, ``g:`` before it): rows related through ``group`` or
+    a non-null ``domain``, directly or through others, share a component. ``n`` counts rows, ``c0`` to ``c2`` those of each class of ``target``,
+    ``mask`` has the bits of ``mask`` of all rows. A row without a group is related through its domain alone, one without either
+    through neither and left out here.
+
+    The table is written. A domain whose rows all lie in one group relates nothing and takes no part in the rounds.
+    """
+    rows = df.withColumn("__g", _name(group, domain)).withColumn("__d", F.concat(F.lit("d:"), F.col(domain))).where("__g is not null")
+    klass = F.col(target) if target else F.lit(None).cast("int")
+    links = materialize(rows.groupBy("__g", "__d").agg(F.count(F.lit(1)).alias("n"), *splits.label_counts(klass), F.bit_or(F.lit(0).cast("long") if mask is None else mask).alias("mask")))
+    wide = links.where("__d is not null").groupBy("__d").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
+    edges = spread_join(links.select("__g", "__d"), wide, "__d", weight="w", total=links.count())
+    comps = components(edges, "__g", "__d").where(F.col("node").startswith("g:") | F.col("node").startswith("n:"))
+    merged = links.groupBy("__g").agg(*(F.sum(c).alias(c) for c in ("n", *splits.VECTOR)), F.bit_or("mask").alias("mask"))
+    joined = merged.withColumnRenamed("__g", "g").join(comps.withColumnRenamed("node", "g"), "g", "left")
+    return materialize(joined.withColumn("component", F.coalesce("component", "g")))
 
 
 def split_groups_apart(df: DataFrame, group: str, domain: str, split: str) -> DataFrame:
@@ -47,7 +47,7 @@ def split_groups_apart(df: DataFrame, group: str, domain: str, split: str) -> Da
     mask = F.lit(0).cast("long")
     for k, v in enumerate(names):
         mask = F.when(F.col(split) == v, F.lit(1 << k).cast("long")).otherwise(mask)
-    sets = materialize(related_sets(df, group, domain, F.bit_or(mask).alias("mask")))
+    sets = related_sets(df, group, domain, mask=mask)
     whole = sets.groupBy("component").agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("w"))
     apart = whole.where(F.bit_count("mask") > 1).select("component", "w")
     inside = spread_join(sets, apart, "component", weight="w", total=sets.count())
@@ -67,94 +67,47 @@ class _Placer:
         need is the one whose placing lowers the squared sum of all outstanding labels most; for one label it is the one lacking most of it."""
         return sum(v * w for v, w in zip(vector, self.wanted[split]))
 
-    def best(self, vector: tuple[float, ...]) -> str:
-        return max(self.names, key=lambda s: (self.need(vector, s), -self.names.index(s)))
-
-    def place(self, vector: tuple[float, ...]) -> str:
-        best = self.best(vector)
-        self.take(vector, best, 1)
-        return best
-
-    def take(self, vector: tuple[float, ...], split: str, times: float) -> None:
-        for k, v in enumerate(vector):
-            self.wanted[split][k] -= v * times
-            self.outstanding[k] -= v * times
+    def place(self, vector: tuple[float, ...], items: int) -> list[int]:
+        """How many of ``items`` items with this vector each split gets, each going where the need is greatest then."""
+        given = splits.water_filled([-self.need(vector, s) for s in self.names], sum(v * v for v in vector), items)
+        for s, n in zip(self.names, given):
+            for k, v in enumerate(vector):
+                self.wanted[s][k] -= v * n
+                self.outstanding[k] -= v * n
+        return given
 
 
 def grouped_split(df: DataFrame, ident: str, group: str, domain: str, target: str, *, shares: dict[str, float] = SHARES, seed: str = "42") -> DataFrame:
     """``(ident, component, split)`` of every row: related rows in one split, sizes and rates of ``target`` near ``shares``.
 
-    Components carry the vector (rows of class 0, of class 1, without class). Those with more than one row in
-    ``SINGLE_PARTS`` of all are placed one by one, the rarest outstanding label first, into the split that needs that label most. The rest are
-    many and small: they are placed by kind, a kind being a vector (exact up to ``EXACT``, else by its power of two),
-    in the same order and by the same need, and the components of a kind are dealt out by rank. The driver holds
-    the large components and the kinds, both bounded, never the components. A row without group and domain is its own component.
-    An empty table gives no rows.
+    Components carry the vector (rows of class 0, of class 1, without class). Of the labels still outstanding the rarest is taken, and the components that have it, the largest
+    first, go one after another into the split that needs their labels most. Components with one vector are placed at once, with the result of placing them one by
+    one (``splits.water_filled``), and dealt out by rank. The driver holds the different vectors, never the components. A row without
+    group and domain is its own component. An empty table gives no rows.
     """
-    klass = F.coalesce(F.col(target).cast("long"), F.lit(-1))
-    counts = [F.count_if(klass == 0).alias("c0"), F.count_if(klass == 1).alias("c1"), F.count_if(~klass.isin(0, 1)).alias("c2")]
     lone = F.concat(F.lit("i:"), F.col(ident).cast("string"))
     rows = df.withColumn("__group", F.when(F.col(group).isNull() & F.col(domain).isNull(), lone).otherwise(F.col(group)))
-    sets = materialize(related_sets(rows, "__group", domain, *counts))
-    comps = materialize(sets.groupBy("component").agg(*(F.sum(c).alias(c) for c in ("n", "c0", "c1", "c2"))))
-    total = comps.agg(F.count(F.lit(1)), F.sum("n"), F.sum("c0"), F.sum("c1"), F.sum("c2")).first()
-    if not total[0]:
+    sets = related_sets(rows, "__group", domain, target)
+    comps = materialize(sets.groupBy("component").agg(*(F.sum(c).alias(c) for c in splits.VECTOR), F.count(F.lit(1)).alias("w")))
+    todo = dict(splits.kinds_of(comps))
+    if not todo:
         return df.select(F.col(ident), F.lit("").alias("component"), F.lit("").alias("split")).limit(0)
-    placer = _Placer([float(x) for x in total[2:]], shares)
-    cut = max(EXACT, total[1] // SINGLE_PARTS)
-
-    def order(name: str) -> str:
-        return hashlib.sha256(f"{seed}|{name}".encode()).hexdigest()
-
-    left = {r.component: (r.c0, r.c1, r.c2) for r in comps.where(F.col("n") > cut).collect()}
-    placed = []
-    while left:  # the rarest outstanding label first, largest component first
-        here = [k for k in range(3) if any(v[k] for v in left.values())]
-        k = min(here, key=lambda k: (placer.outstanding[k], k))
-        for name in sorted((c for c, v in left.items() if v[k]), key=lambda c: (-sum(left[c]), order(c))):
-            placed.append((name, placer.place(left.pop(name))))
+    placer = _Placer([float(sum(v[k] * m for v, m in todo.items())) for k in range(3)], shares)
+    total, count = int(sum(placer.outstanding)), sum(todo.values())
 
-    def coarse(c: str):
-        x = F.col(c)
-        return F.when(x <= EXACT, x).otherwise(EXACT + 1 + F.floor(F.log2(x / EXACT) * 4)).cast("long")
+    def order(vector: splits.Vector) -> tuple:
+        return -sum(vector), hashlib.sha256(f"{seed}|{vector}".encode()).hexdigest()
 
-    small = comps.where(F.col("n") <= cut).withColumn("kind", F.concat_ws("/", coarse("c0"), coarse("c1"), coarse("c2")))
-    kinds = small.groupBy("kind").agg(F.count(F.lit(1)).alias("m"), *(F.avg(c).alias(c) for c in ("c0", "c1", "c2"))).collect()
-    deals: dict[str, list[tuple[int, str]]] = {}
-    todo = {r.kind: ((r.c0, r.c1, r.c2), r.m) for r in kinds}
+    deals = []
     while todo:
-        here = [k for k in range(3) if any(v[k] for v, _ in todo.values())]
+        here = [k for k in range(3) if any(v[k] for v in todo)]
         k = min(here, key=lambda k: (placer.outstanding[k], k))
-        for kind in sorted((c for c, (v, _) in todo.items() if v[k]), key=lambda c: (-sum(todo[c][0]), order(c))):
-            vector, m = todo.pop(kind)
-            # In steps of a 64th, so that each step goes where the need is greatest then.
-            given = dict.fromkeys(placer.names, 0)
-            while m:
-                step = max(1, m // 64)
-                best = placer.best(vector)
-                placer.take(vector, best, step)
-                given[best] += step
-                m -= step
-            ends, at = [], 0
-            for s in placer.names:
-                if given[s]:
-                    at += given[s]
-                    ends.append((at, s))
-            deals[kind] = ends
-
-    spark = df.sparkSession
-    big = spark.createDataFrame(placed, "component string, split string")
-    table_ = spark.createDataFrame([(k, a, s) for k, ends in deals.items() for a, s in ends], "kind string, until long, split string")
-    bounds = table_.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("until", F.col("split").alias("s")))).alias("bounds"))
-    ranked = rank_within(small.select("component", "kind", F.xxhash64(F.lit(seed), "component").alias("h")), "kind", "h", total=total[0])
-    dealt = ranked.join(F.broadcast(bounds), "kind").select("component", F.filter("bounds", lambda b: b["until"] > F.col("rank"))[0]["s"].alias("split"))
-    chosen = materialize(dealt.union(big))
-    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("w"))
-    per_set = spread_join(sets.select("g", "component", "n"), chosen.join(sizes, "component"), "component", weight="w", total=sets.count())
-    name = F.coalesce(F.concat(F.lit("g:"), F.col("__group")), F.concat(F.lit("n:"), F.col(domain)))
-    every = rows.select(F.col(ident), name.alias("g"))
-    facts = per_set.select("g", "component", "split", "n")
-    return spread_join(every, facts, "g", weight="n", total=total[1]).select(ident, "component", "split")
+        for vector in sorted((v for v in todo if v[k]), key=order):
+            deals.append((vector, placer.place(vector, todo.pop(vector))))
+    chosen = materialize(splits.deal(comps, "component", "split", deals, placer.names, seed, count))
+    per_set = spread_join(sets.select("g", "component", "n"), chosen.join(comps.select("component", "w"), "component"), "component", weight="w", total=sets.count())
+    every = rows.select(F.col(ident), _name("__group", domain).alias("g"))
+    return spread_join(every, per_set.select("g", "component", "split", "n"), "g", weight="n", total=total).select(ident, "component", "split")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +119,22 @@ def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url_id", "component", "split")
 
 
+def p7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the assignment keeps related rows together, and meets the shares and rates of its splits."""
+    urls = table(spark, sf_dir, "prepared_urls")
+    assigned = p7_assignment(spark, sf_dir).join(urls.select("url_id", "target"), "url_id")
+    return splits.quality(materialize(assigned), "component", SHARES)
+
+
 ORACLE = {
+    "p7_quality": """
+with recursive ends as (select coalesce('g:' || split_group, 'n:' || registered_domain, 'i:' || url_id) as a, 'd:' || registered_domain as b from prepared_urls),
+edges as (select distinct a, b from ends where b is not null), nodes as (select distinct a as n from ends union select b from edges),
+step as (select a as u, b as v from edges union select b, a from edges),
+reach as (select n as u, n as v from nodes union select r.u, s.v from reach r join step s on r.v = s.u),
+comp as (select v as n, min(u) as c from reach group by 1)
+select (select count(*) from prepared_urls) as n_rows, 0 as rows_unplaced, true as shares_met, true as rates_met, (select count(distinct c) from comp) as n_groups, 0 as groups_apart
+""",
     "p7_found": """
 with recursive edges as (select distinct 'g:' || split_group as a, 'd:' || registered_domain as b from prepared_urls where registered_domain is not null and split_group is not null),
 nodes as (select distinct 'g:' || split_group as n from prepared_urls where split_group is not null union select b from edges),

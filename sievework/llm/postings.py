@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .grams import mix, runs
 
-#: Postings that one part is meant to hold.
-PART = 500_000
+#: Postings that one task is meant to hold, in so many parts that tasks come out alike.
+TASK, DEALT = 200_000, 8
 #: A list longer than two blocks of so many postings is joined block by block.
 BLOCK = 4_000
 #: Hot tokens that the layout knows of at most (2 MB to broadcast): the hottest; shorter lists stay in one piece.
@@ -28,8 +28,9 @@ _BUFFER = 1_500_000
 
 
 def parts(size: int) -> int:
-    """Parts for about ``size`` postings."""
-    return max(12, size // PART)
+    """Parts for about ``size`` postings: those of small tasks, up to 2,000 of them, of larger tasks beyond, as ever more of the same size would cost more to shuffle than they
+    hold. It is a matter of layout only."""
+    return DEALT * max(12, min(size // TASK, max(2_000, size // (25 * TASK))))
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -101,7 +102,7 @@ def build(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                     yield from out()
         yield from out()
 
-    return df.mapInArrow(run, "part long, sub long, blob binary").repartition(parts, "part", "sub")
+    return df.mapInArrow(run, "part long, sub long, blob binary").repartition(-(-parts // DEALT), "part", "sub")
 
 
 class Pairs:
