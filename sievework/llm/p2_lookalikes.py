@@ -234,3 +234,49 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = with_plain_form(table(spark, sf_dir, "prepared_urls").select("url_id", "url_model_input"), "url_model_input", "plain_form")
     hints = table(spark, sf_dir, "url_features").groupBy("url_id").agg(F.max("has_punycode").alias("has_punycode"))
     return urls.where("plain_form <> url_model_input").join(hints, "url_id", "left").select("url_id", "plain_form", F.coalesce("has_punycode", F.lit(False)).alias("has_punycode"))
+
+
+def _plain_sql(t: str) -> str:
+    """Invisible characters taken out, blanks, wide forms and look-alike letters replaced, accents joined: the usual kinds of look-alike, in SQL."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    narrow = "".join(map(chr, range(0x21, 0x7F)))
+    letters, plain = "".join(LOOKALIKES.values()), "".join(k * len(v) for k, v in LOOKALIKES.items())
+    bare = rf"regexp_replace(regexp_replace({t}, '[\p{{Cf}}\x{{34f}}\x{{fe00}}-\x{{fe0f}}]', '', 'g'), '[\p{{Zs}}\p{{Zl}}\p{{Zp}}]', ' ', 'g')"
+    quoted = (wide + letters, (narrow + plain).replace("'", "''"))
+    return f"nfc_normalize(translate({bare}, '{quoted[0]}', '{quoted[1]}'))"
+
+
+_T = "case when k <= bias then 1 when k >= bias + 26 then 26 else k - bias end"
+_LENGTH = "(len(points) + 1)"
+_DELTA = f"((i + digit * w - first) // (case when first = 0 then 700 else 2 end))"
+#: CTEs ending in ``forms (t, form)``: distinct texts, with the hidden labels of their hosts decoded (RFC 3492) one digit in a step.
+_FORMS = rf"""
+texts as (select distinct url_model_input as t from prepared_urls where url_model_input is not null),
+plain as (select t, case when regexp_matches(t, '[^\x00-\x7F]') then {_plain_sql('t')} else t end as p from texts),
+cut as (select t, p, length(regexp_extract(p, '^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/?#]*@)?')) as before from plain where regexp_matches(p, '(?i)xn--')),
+hosts as (select t, p, before, regexp_extract(substr(p, before + 1), '^[^/?#]*') as host from cut),
+pieces as (select t, unnest(string_split(split_part(host, ':', 1), '.')) as label, unnest(range(len(string_split(split_part(host, ':', 1), '.')))) as nth from hosts),
+hidden as (select distinct label, substr(label, 5) as code from pieces where regexp_matches(label, '^(?i:xn--)[\x00-\x7F]+$')),
+parted as (select label, case when contains(code, '-') then regexp_extract(code, '^(.*)-', 1) else '' end as basic, lower(regexp_extract(code, '[^-]*$')) as ext from hidden),
+steps as (
+  select label, ext, 1 as pos, list_transform(string_split(basic, ''), lambda c: unicode(c)) as points, 128 as n, 0 as i, 72 as bias, 0 as first, 1 as w, 36 as k from parted where basic <> ''
+  union all select label, ext, 1, []::int[], 128, 0, 72, 0, 1, 36 from parted where basic = ''
+  union all select label, ext, pos + 1,
+    case when done then list_concat(list_concat(points[1 : spot], [cast(n + turn // {_LENGTH} as int)]), points[spot + 1 :]) else points end,
+    case when done then n + turn // {_LENGTH} else n end, case when done then spot + 1 else turn end,
+    case when not done then bias when d0 <= 455 then 36 * d0 // (d0 + 38) when d0 // 35 <= 455 then 36 + 36 * (d0 // 35) // (d0 // 35 + 38) else 72 + 36 * (d0 // 1225) // (d0 // 1225 + 38) end,
+    case when done then spot + 1 else first end, case when done then 1 else w * (36 - tt) end, case when done then 36 else k + 36 end
+  from (select *, turn % {_LENGTH} as spot, delta + delta // {_LENGTH} as d0 from (select *, i + digit * w as turn, {_T} as tt, digit < {_T} as done, {_DELTA} as delta from
+    (select *, case when substr(ext, pos, 1) between 'a' and 'z' then unicode(substr(ext, pos, 1)) - 97 else unicode(substr(ext, pos, 1)) - 22 end as digit from steps where pos <= length(ext))))
+),
+opened as (select label, array_to_string(list_transform(points, lambda x: chr(cast(x as int))), '') as text from steps where pos > length(ext) and k = 36),
+joined as (select t, string_agg(coalesce(text, label), '.' order by nth) as host from pieces left join opened using (label) group by t),
+spelled as (select h.t, substr(p, 1, before) || j.host || substr(p, before + 1 + length(split_part(h.host, ':', 1))) as u from hosts h join joined j using (t)),
+forms as (select t, p as form from plain where not regexp_matches(p, '(?i)xn--') union all select t, {_plain_sql('u')} from spelled)
+"""
+ORACLE = {
+    "p2_found": f"""with recursive {_FORMS} select x.url_id as url_id_a, y.url_id as url_id_b from forms f join prepared_urls x on x.url_model_input = f.t
+      join forms g on g.form = f.form join prepared_urls y on y.url_model_input = g.t where x.url_id < y.url_id and f.t <> g.t""",
+    "p2_forms": f"""with recursive {_FORMS}, hints as (select url_id, bool_or(has_punycode) as has_punycode from url_features group by 1)
+      select p.url_id, f.form as plain_form, coalesce(h.has_punycode, false) as has_punycode from prepared_urls p join forms f on f.t = p.url_model_input left join hints h using (url_id) where f.form <> f.t""",
+}

@@ -187,4 +187,11 @@ sets as (select url_id, list(g) as s from grams group by 1),
 measured as (select a, b, len(list_intersect(x.s, y.s)) as common, len(x.s) + len(y.s) as sizes from candidates join sets x on x.url_id = a join sets y on y.url_id = b),
 near as (select a, b from measured where 10 * common >= 7 * (sizes - common) union select x.url_id, y.url_id from texts x join texts y on x.t = y.t and x.url_id < y.url_id)
 """
-ORACLE = {"p5_found": f"with {NEAR_SQL} select a as url_id_a, b as url_id_b from near"}
+ORACLE = {
+    "p5_found": f"with {NEAR_SQL} select a as url_id_a, b as url_id_b from near",
+    "p5_groups": f"""with recursive {NEAR_SQL}, classes as (select url_id, min(url_id) over (partition by t) as rep from texts),
+links as (select distinct x.rep as u, y.rep as v from (select a, b from near union all select b, a from near) join classes x on x.url_id = a join classes y on y.url_id = b where x.rep <> y.rep),
+reach as (select distinct rep as u, rep as v from classes union select r.u, l.v from reach r join links l on l.u = r.v),
+groups as (select u as rep, min(v) as group_id from reach group by 1), counts as (select u as rep, count(*) as n_links from links group by 1)
+select url_id, group_id, coalesce(n_links, 0) as n_links from classes join groups using (rep) left join counts using (rep)""",
+}
