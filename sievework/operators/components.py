@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 from .skew import spread_join
 
 
@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str, b: str, *, max_rounds: int = 60) -> Dat
 
     The component is its least node. Both columns need one orderable type. Self-loops give a node of its own; edges
     with a null end are passed over; repeated edges count once; an empty table gives an empty result. Hubs are spread
-    (see ``spread_join``); every round is written to the shared folder, so lineage stays short.
+    (see ``spread_join``); every round is written to the shared folder, so lineage stays short, and
+    the one before is deleted.
     """
     nodes_only = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     loops = nodes_only.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
@@ -41,7 +42,8 @@ def components(edges: DataFrame, a: str, b: str, *, max_rounds: int = 60) -> Dat
             down = d.select(F.col("v").alias("u"), F.col("m").alias("v"))
             return down.union(d.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-        e = materialize(_star(large, small))
+        e, before = materialize(_star(large, small)), e
+        discard(large, before)
         now = mark(e)
         if now == last:
             break

@@ -42,18 +42,32 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/sievework-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind ``frames`` that ``materialize`` returned; nothing may be read from them any more."""
+    for df in frames:
+        path = getattr(df, "written_to", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _written.remove((df.sparkSession, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already
+        pass
 
 
 def discard_materialized() -> None:
-    """Delete what ``materialize`` wrote. Runs by itself when the driver ends."""
+    """Delete all that ``materialize`` wrote and nothing deleted yet; for when no result is read any more. Runs by itself when the driver ends."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already
-            pass
+        _delete(*_written.pop())
 
 
 atexit.register(discard_materialized)

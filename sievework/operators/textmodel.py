@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import text_model_input
+from .counters import Counters
 from .metrics import Costs, at_max_fpr, evaluate, threshold_table
-from .shared import materialize, widened
+from .shared import discard, materialize, widened
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Spec:
     scheme_neutral: bool = False
     sublinear: bool = True
     max_iter: int = 1000
+    lowercase: bool = False
 
     def __post_init__(self) -> None:
         if not 1 <= self.min_n <= self.max_n:
@@ -43,7 +45,7 @@ class Spec:
 
     @property
     def vectorizer_key(self) -> tuple:
-        return self.min_n, self.max_n, self.min_df, self.max_features, self.scheme_neutral, self.sublinear
+        return self.min_n, self.max_n, self.min_df, self.max_features, self.scheme_neutral, self.sublinear, self.lowercase
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -69,28 +71,73 @@ def full_candidates() -> list[Spec]:
 
 
 def model_input(text: Column, spec: Spec) -> Column:
-    """The text that grams are taken from: scheme-neutral if asked for, runs of two or more blanks become one."""
+    """The text that grams are taken from: scheme-neutral and in lower case if asked for, runs of two or more blanks become one."""
     t = text_model_input(text) if spec.scheme_neutral else F.coalesce(text, F.lit(""))
+    t = F.lower(t) if spec.lowercase else t
     return F.regexp_replace(t, r"(?U)\s\s+", " ")
 
 
-def grams(t: Column, min_n: int, max_n: int) -> Column:
-    """All character n-grams of a model input, case kept. Short texts give what fits."""
-    per_n = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substr(t, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(F.sequence(F.lit(min_n), F.lit(max_n)), per_n))
+#: Counters a task holds before it passes them on, and texts worked on at once.
+_HELD, _RECORDS = 2_000_000, 4096
 
 
-def term_frequencies(df: DataFrame, ident: str, text: str, spec: Spec) -> DataFrame:
-    """``(id, ngram, tf)``. Whole records are spread by id first, so that the many more grams are counted where they arise."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
-    rows = df.select(F.col(ident).alias("id"), model_input(F.col(text), spec).alias("t")).repartition(tasks, "id")
-    return rows.select("id", F.explode(grams(F.col("t"), spec.min_n, spec.max_n)).alias("ngram")).groupBy("id", "ngram").agg(F.count(F.lit(1)).alias("tf"))
+def gram_counts(df: DataFrame, text: str, spec: Spec) -> DataFrame:
+    """``(ngram, df, tf_total)`` of all character n-grams of the model inputs, case kept: in how many records they occur, and how often. Short texts give what fits.
 
+    A record's grams are counted in its task; what is shuffled are the tasks' counters, a row for each different gram.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = {n: Counters(_HELD) for n in range(spec.min_n, spec.max_n + 1)}
 
-def vocabulary(tf: DataFrame, rows: int, spec: Spec) -> DataFrame:
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            k, tf, records, *letters = counters[n].passed_on()
+            for s in range(0, len(k), 100_000):
+                e = slice(s, s + 100_000)
+                whole = letters[0][e].tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.RecordBatch.from_arrays([pa.array([whole[i : i + n] for i in range(0, len(whole), n)], pa.string()), pa.array(records[e]), pa.array(tf[e])], ["ngram", "df", "tf"])
+
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            for s in range(0, len(texts), _RECORDS):
+                for n, c in counters.items():
+                    h, record, at, points = _gram_hashes(texts[s : s + _RECORDS], n)
+                    if len(h):
+                        c.add(h, record, np.lib.stride_tricks.sliding_window_view(points, n)[at])
+                    if c.full():
+                        yield from out(n)
+        for n in counters:
+            yield from out(n)
+
+    rows = widened(df.select(F.col(text).alias("t"))).select(model_input(F.col("t"), spec).alias("t"))
+    return rows.mapInArrow(run, "ngram string, df long, tf long").groupBy("ngram").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf_total"))
+
+
+def most_frequent(per: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of ``per`` with the largest ``tf_total``, ties by gram. The frequency at which to cut is found from counts per frequency, first of ranges, then
+    of the values in one range; only rows at that frequency are ranked."""
+    per = materialize(per)
+    bucket = F.floor(F.log2("tf_total") * 64).cast("int")
+    left, cut = most, None
+    for r in sorted(per.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.b):
+        if r.n > left:
+            cut = r.b
+            break
+        left -= r.n
+    if cut is None:
+        return per
+    for r in sorted(per.where(bucket == cut).groupBy("tf_total").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.tf_total):
+        if r.n > left:
+            tied = per.where(F.col("tf_total") == r.tf_total).orderBy("ngram").limit(left)
+            return per.where(F.col("tf_total") > r.tf_total).unionByName(tied)
+        left -= r.n
+    return per
+
+
+def vocabulary(df: DataFrame, text: str, spec: Spec) -> DataFrame:
     """``(ngram, df, tf_total, idf)``: grams in at least ``min_df`` records, the ``max_features`` most frequent of them, ties by gram."""
-    per = tf.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total")).where(F.col("df") >= spec.min_df)
-    top = per.orderBy(F.desc("tf_total"), "ngram").limit(spec.max_features)
+    rows = df.count()
+    top = most_frequent(gram_counts(df, text, spec).where(F.col("df") >= spec.min_df), spec.max_features)
     return top.withColumn("idf", F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0)
 
 
@@ -100,37 +147,38 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(64-bit hash, record)`` of all windows of ``n`` code points that lie within one text."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(64-bit hash, record, place, code points)`` of all windows of ``n`` code points that lie within one text; the places are in all code points in a row."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     count = len(points) - n + 1
     if count < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), points
+    wide = points.astype(np.uint64)
     h = np.full(count, n, np.uint64)
     for k in range(n):
-        h = _scrambled(h ^ (points[k : k + count] + np.uint64(1)))
+        h = _scrambled(h ^ (wide[k : k + count] + np.uint64(1)))
     record = np.repeat(np.arange(len(texts)), lengths)[:count]
-    inside = np.arange(count) + n <= np.cumsum(lengths)[record]
-    return h[inside], record[inside]
+    at = np.flatnonzero(np.arange(count) + n <= np.cumsum(lengths)[record])
+    return h[at], record[at], at, points
 
 
 class Table:
     """A vocabulary as arrays: per n the sorted hashes of its grams with their index, and the idf by index."""
 
-    def __init__(self, rows: list, spec: Spec) -> None:
+    def __init__(self, rows: pa.Table, spec: Spec) -> None:
         """``rows`` with ngram, idf and i, i counting from 0."""
         self.spec = spec
-        self.idf = np.zeros(len(rows))
-        by_n: dict[int, list] = {}
-        for r in rows:
-            self.idf[r.i] = r.idf
-            by_n.setdefault(len(r.ngram), []).append(r)
+        i, grams = rows.column("i").to_numpy(), rows.column("ngram").to_pylist()
+        self.idf = np.zeros(len(i))
+        self.idf[i] = rows.column("idf").to_numpy()
+        length = np.fromiter(map(len, grams), np.int64, len(grams))
         self.lookup = {}
-        for n, same in by_n.items():
-            h, _ = _gram_hashes([r.ngram for r in same], n)
+        for n in np.unique(length).tolist():
+            same = np.flatnonzero(length == n)
+            h = _gram_hashes([grams[k] for k in same], n)[0]
             order = np.argsort(h)
-            self.lookup[n] = h[order], np.array([r.i for r in same])[order]
+            self.lookup[n] = h[order], i[same][order]
 
     def arrays(self) -> tuple:
         return self.lookup, self.idf, self.spec.sublinear
@@ -141,7 +189,7 @@ def _weigh(texts: list[str], table: tuple) -> tuple[np.ndarray, np.ndarray, np.n
     lookup, idf, sublinear = table
     keys = []
     for n, (hashes, index) in lookup.items():
-        h, record = _gram_hashes(texts, n)
+        h, record, _, _ = _gram_hashes(texts, n)
         at = np.searchsorted(hashes, h).clip(max=len(hashes) - 1)
         hit = hashes[at] == h
         keys.append(record[hit] * len(idf) + index[at[hit]])
@@ -152,15 +200,11 @@ def _weigh(texts: list[str], table: tuple) -> tuple[np.ndarray, np.ndarray, np.n
     return record, i, w / norm[record]
 
 
-#: Texts weighed at once.
-_RECORDS = 4096
-
-
 def _mapped(df: DataFrame, ident: str, text: str, vocab: DataFrame, spec: Spec, schema, make) -> DataFrame:
-    """One pass over ``df`` in Arrow batches: ``make(ids, texts, table)`` gives a record batch. The vocabulary, bounded by
+    """One pass over ``df`` in Arrow batches: ``make(ids, texts, table)`` gives a record batch, ``ids`` being the values of the column ``ident``. The vocabulary, bounded by
     ``max_features``, is broadcast as arrays; nothing is shuffled."""
     index = vocab if "i" in vocab.columns else numbered(vocab)
-    shared = df.sparkSession.sparkContext.broadcast(Table(index.select("ngram", "idf", "i").collect(), spec).arrays())
+    shared = df.sparkSession.sparkContext.broadcast(Table(index.select("ngram", "idf", "i").toArrow(), spec).arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +243,9 @@ class Model:
     def score(self, df: DataFrame, ident: str, text: str) -> DataFrame:
         """``(id, score)``: probability of phishing. Rows without a known gram get that of the intercept. One pass without a shuffle."""
         index = materialize(numbered(self.vocab).join(F.broadcast(self.coefficients), "ngram"))
-        size = index.count()
-        coefficients = np.zeros(size)
-        for r in index.select("i", "coefficient").collect():
-            coefficients[r.i] = r.coefficient
+        both = index.select("i", "coefficient").toArrow()
+        coefficients = np.zeros(both.num_rows)
+        coefficients[both.column("i").to_numpy()] = both.column("coefficient").to_numpy()
         shared, intercept = df.sparkSession.sparkContext.broadcast(coefficients), self.intercept
 
         def make(ids: pa.Array, texts: list[str], table: tuple) -> pa.RecordBatch:
@@ -241,12 +284,12 @@ class Model:
         return Model(Spec(**meta["spec"]), spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/coefficients"), meta["intercept"])
 
 
-def vectors(df: DataFrame, ident: str, text: str, vocab: DataFrame, spec: Spec, size: int) -> DataFrame:
-    """``(id, features)``: sparse vectors of ``size`` weights and a constant one in the last place."""
+def vectors(df: DataFrame, target: str, text: str, vocab: DataFrame, spec: Spec, size: int) -> DataFrame:
+    """``(label, features)``: the label and the sparse vector of ``size`` weights and a constant one in the last place, of every row."""
     from pyspark.ml.linalg import VectorUDT
-    from pyspark.sql.types import StructField, StructType
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    def make(ids: pa.Array, texts: list[str], table: tuple) -> pa.RecordBatch:
+    def make(labels: pa.Array, texts: list[str], table: tuple) -> pa.RecordBatch:
         record, i, w = _weigh(texts, table)
         n = len(texts)
         at = np.append(np.searchsorted(record, np.arange(n)), len(record))[1:]  # the constant follows each record's weights
@@ -255,48 +298,55 @@ def vectors(df: DataFrame, ident: str, text: str, vocab: DataFrame, spec: Spec,
         values = pa.ListArray.from_arrays(offsets, pa.array(np.insert(w, at, 1.0)))
         kind, width = pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size + 1, np.int32))
         vector = pa.StructArray.from_arrays([kind, width, indices, values], ["type", "size", "indices", "values"])
-        return pa.RecordBatch.from_arrays([ids, vector], ["id", "features"])
+        return pa.RecordBatch.from_arrays([labels, vector], ["label", "features"])
 
-    schema = StructType([StructField("id", df.schema[ident].dataType), StructField("features", VectorUDT())])
-    return _mapped(df, ident, text, vocab, spec, schema, make)
+    schema = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
+    return _mapped(df.withColumn(target, F.col(target).cast("double")), target, text, vocab, spec, schema, make)
 
 
-def fit(df: DataFrame, ident: str, text: str, target: str, spec: Spec) -> Model:
+def fit(df: DataFrame, text: str, target: str, spec: Spec) -> Model:
     """Fit on all rows. The objective is half the squared norm (intercept included) plus C times the weighted log loss.
 
     An all-zero row gives the constant column a variance, without which the solver would fix its coefficient at zero; it adds nothing to the gradient.
+    A fit that has not settled after ``max_iter`` steps raises a warning.
     """
-    vec, index, size = _vectorised(df, ident, text, spec)
-    return _fit(vec, df, ident, target, spec, index, size)
+    vec, index, size = _vectorised(df, text, target, spec)
+    return _fit(vec, spec, index, size)
 
 
-def _vectorised(df: DataFrame, ident: str, text: str, spec: Spec) -> tuple[DataFrame, DataFrame, int]:
-    tf = term_frequencies(df, ident, text, spec)
-    vocab = materialize(vocabulary(tf, df.count(), spec))
-    size = vocab.count()
+def _vectorised(df: DataFrame, text: str, target: str, spec: Spec) -> tuple[DataFrame, DataFrame, int]:
+    index = materialize(numbered(vocabulary(df, text, spec)))
+    size = index.count()
     if not size:
         raise ValueError("no gram occurs in enough records")
-    index = materialize(numbered(vocab))
-    return materialize(vectors(df, ident, text, index, spec, size)), index, size
+    return materialize(vectors(df, target, text, index, spec, size)), index, size
+
+
+#: The solver stops when the gradient's norm is this part of the mean loss.
+TOLERANCE = 1e-5
+
 
+def _fit(vec: DataFrame, spec: Spec, index: DataFrame, size: int) -> Model:
+    import warnings
 
-def _fit(vec: DataFrame, df: DataFrame, ident: str, target: str, spec: Spec, index: DataFrame, size: int) -> Model:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector
 
-    y = df.select(F.col(ident).alias("id"), F.col(target).cast("double").alias("label"))
-    n0, n1 = y.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    n0, n1 = vec.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
     if not n0 or not n1:
         raise ValueError("both classes are needed")
     w0, w1 = ((n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)) if spec.class_weight == "balanced" else (1.0, 1.0)
-    rows = vec.join(y, "id").select("features", "label", F.when(F.col("label") == 1, w1).otherwise(w0).alias("w"))
-    dummy = df.sparkSession.createDataFrame([(SparseVector(size + 1, {}), 0.0, 1.0)], rows.schema)
+    rows = vec.select("features", "label", F.when(F.col("label") == 1, w1).otherwise(w0).alias("w"))
+    dummy = vec.sparkSession.createDataFrame([(SparseVector(size + 1, {}), 0.0, 1.0)], rows.schema)
     total = n0 * w0 + n1 * w1 + 1.0
     lr = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False, standardization=False, regParam=1.0 / (spec.c * total), elasticNetParam=0.0, family="binomial", maxIter=spec.max_iter, tol=1e-6
+        featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False, standardization=False, regParam=1.0 / (spec.c * total), elasticNetParam=0.0, family="binomial", maxIter=spec.max_iter, tol=TOLERANCE
     )
-    coefficients = lr.fit(rows.union(dummy)).coefficients.toArray()
-    values = df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(coefficients[:size])], "i int, coefficient double")
+    fitted = lr.fit(rows.union(dummy))
+    if fitted.summary.totalIterations >= spec.max_iter:
+        warnings.warn(f"{spec.name} has not settled after {spec.max_iter} steps", RuntimeWarning, stacklevel=2)
+    coefficients = fitted.coefficients.toArray()
+    values = vec.sparkSession.createDataFrame(pa.table({"i": pa.array(np.arange(size), pa.int32()), "coefficient": pa.array(coefficients[:size])}))
     return Model(spec, index.drop("i"), materialize(index.select("ngram", "i").join(values, "i").select("ngram", "coefficient")), float(coefficients[size]))
 
 
@@ -310,11 +360,11 @@ def search(train: DataFrame, validation: DataFrame, ident: str, text: str, targe
     labels = validation.select(F.col(ident).alias("id"), F.col(target).alias("target"))
     for same in by_key.values():
         began = time.perf_counter()
-        vec, index, size = _vectorised(train, ident, text, same[0])
+        vec, index, size = _vectorised(train, text, target, same[0])
         took = time.perf_counter() - began
         for s in same:
             began = time.perf_counter()
-            model = _fit(vec, train, ident, target, s, index, size)
+            model = _fit(vec, s, index, size)
             fitted = time.perf_counter() - began
             began = time.perf_counter()
             scored = materialize(model.score(validation, ident, text).join(labels, "id"))
@@ -322,6 +372,8 @@ def search(train: DataFrame, validation: DataFrame, ident: str, text: str, targe
             at_half = evaluate(scored, costs=costs).first().asDict()
             matched = at_max_fpr(threshold_table(scored, costs=costs), max_fpr).first().asDict()
             out.append(s.to_dict() | at_half | {f"matched_{k}": matched[k] for k in ("threshold", "recall", "precision", "false_positive_rate")} | {"vectorize_seconds": took, "fit_seconds": fitted, "score_seconds": seconds, "n_features": size})
+            discard(scored)
+        discard(vec)
     return sorted(out, key=lambda r: (-r["average_precision"], -r["matched_recall"], -r["roc_auc"], r["expected_calibration_error"]))
 
 

@@ -142,7 +142,7 @@ def train_job(spark: SparkSession, data: str, reports: str, *, specs: list[textm
     chosen, benchmark = textmodel.select(results)
     raw.write_csv(spark.createDataFrame([{k: v for k, v in r.items() if v is not None} for r in results]), f"{out}/model_comparison.csv", single=True)
     began = time.perf_counter()
-    model = textmodel.fit(train, ident, "url_model_input", "target", textmodel.spec_of(chosen))
+    model = textmodel.fit(train, "url_model_input", "target", textmodel.spec_of(chosen))
     fit_seconds = time.perf_counter() - began
     began = time.perf_counter()
     scored = materialize(model.score(validation, ident, "url_model_input").join(validation.select(F.col(ident).alias("id"), "target"), "id"))

@@ -49,8 +49,7 @@ def split_straddling_groups(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir, spec: textmodel.Spec) -> DataFrame:
-    urls = _urls(spark, sf_dir)
-    return textmodel.vocabulary(textmodel.term_frequencies(urls, "url_id", "url_model_input", spec), urls.count(), spec)
+    return textmodel.vocabulary(_urls(spark, sf_dir), "url_model_input", spec)
 
 
 def _weights(spark, sf_dir, spec: textmodel.Spec) -> DataFrame:
@@ -87,12 +86,12 @@ def _validation(spark, sf_dir) -> DataFrame:
 
 
 def logistic_scores(spark, sf_dir):
-    model = textmodel.fit(_train(spark, sf_dir), "url_id", "url_model_input", "target", FITTED)
+    model = textmodel.fit(_train(spark, sf_dir), "url_model_input", "target", FITTED)
     return model.score(_validation(spark, sf_dir), "url_id", "url_model_input").select(F.col("id").alias("url_id"), "score")
 
 
 def top_ngrams(spark, sf_dir):
-    return textmodel.fit(_train(spark, sf_dir), "url_id", "url_model_input", "target", FITTED).top_ngrams(50)
+    return textmodel.fit(_train(spark, sf_dir), "url_model_input", "target", FITTED).top_ngrams(50)
 
 
 def candidate_search(spark, sf_dir):

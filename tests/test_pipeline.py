@@ -217,7 +217,7 @@ def test_regression_is_at_its_minimum(spark):
 
     df = spark.createDataFrame([(i, ("ab" * (i % 3 + 1)) + ("xy" if i % 2 else "zz"), (i % 2 if i else 1)) for i in range(12)], "id long, u string, target int")
     spec = textmodel.Spec("g", 2, 2, 2.0, min_df=1)
-    model = textmodel.fit(df, "id", "u", "target", spec)
+    model = textmodel.fit(df, "u", "target", spec)
     vocab = textmodel.numbered(model.vocab)
     w = textmodel.weights(df, "id", "u", vocab, spec).join(vocab, "i").collect()
     coef = {r.ngram: r.coefficient for r in model.coefficients.collect()}
