@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.counters import Counters
 from ..operators.shared import widened
 from ..session import table
 from .grams import code_points, runs, windows
@@ -21,50 +22,6 @@ _HELD = 4_000_000
 TERMS = 20_000
 
 
-class _Counters:
-    """Per term occurrences and records. Tokens come in the order of their records, so that a record counts when it
-    differs from the one last seen for the term; no term keeps a set of records."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.held = 0
-
-    def add(self, key: np.ndarray, record: np.ndarray, letters: np.ndarray | None = None) -> None:
-        """``record`` ascends. A stable sort by key keeps that order inside every term. ``letters`` are the code points of
-        each token where ``key`` does not tell them."""
-        order = np.argsort(key, kind="stable")
-        k, r = key[order], record[order]
-        starts = runs(k)
-        fresh = np.ones(len(k), np.int64)
-        fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])  # the last record seen for the term is another one
-        if len(starts):
-            spelled = () if letters is None else (letters[order[starts]],)
-            self.parts.append((k[starts], np.diff(np.append(starts, len(k))), np.add.reduceat(fresh, starts), *spelled))
-            self.held += len(starts)
-
-    def full(self) -> bool:
-        """Whether the counters are to be passed on: more than ``_HELD`` are held, also after merging."""
-        if self.held > _HELD and len(self.parts) > 1:
-            self.parts = [self.merged()]
-            self.held = len(self.parts[0][0])
-        return 2 * self.held > _HELD and len(self.parts) == 1
-
-    def merged(self) -> tuple[np.ndarray, ...]:
-        if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        k, o, r, *letters = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(k, kind="stable")
-        k, o, r = k[order], o[order], r[order]
-        starts = runs(k)
-        return k[starts], np.add.reduceat(o, starts), np.add.reduceat(r, starts), *(x[order[starts]] for x in letters)
-
-    def passed_on(self) -> tuple[np.ndarray, ...]:
-        """The counters; none are held any more."""
-        out = self.merged()
-        self.parts, self.held = [], 0
-        return out
-
-
 def _slices(text: list[str]) -> Iterator[list[str]]:
     """Whole texts, about ``_SLICE`` code points together."""
     held, size = [], 0
@@ -81,7 +38,7 @@ def _slices(text: list[str]) -> Iterator[list[str]]:
 def ngram_counts(texts: DataFrame, n: int) -> DataFrame:
     """``(ngram, occurrences, records)`` of all ``n``-character substrings of ``texts.text``, ``n`` from 1.
 
-    A record's tokens never leave its task, which counts them in order of records (see ``_Counters``) and passes the
+    A record's tokens never leave its task, which counts them in order of records (see ``Counters``) and passes the
     counters on when it holds too many; they are then hash-partitioned by term and summed. Up to three
     characters a term is a number; longer terms are told apart by 64 bits in the task and by their characters after it.
     Null texts count for nothing.
@@ -90,7 +47,7 @@ def ngram_counts(texts: DataFrame, n: int) -> DataFrame:
         raise ValueError("n must be 1 or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = _Counters()
+        counters = Counters(_HELD)
 
         def out() -> Iterator[pa.RecordBatch]:
             k, o, r, *letters = counters.passed_on()

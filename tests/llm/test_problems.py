@@ -128,32 +128,13 @@ def test_longer_terms(spark, monkeypatch, held):
         assert got == {g: (sum(sum(t.startswith(g, i) for i in range(len(t))) for t in plain), sum(g in t for t in plain)) for g in terms}
 
 
-def test_counters_are_passed_on(monkeypatch):
-    """A task never holds many more counters than it may, whatever the number of distinct terms."""
-    monkeypatch.setattr(p3_terms, "_HELD", 100)
-    c, seen = p3_terms._Counters(), Counter()
-    for s in range(50):
-        c.add(np.arange(s * 60, s * 60 + 60, dtype=np.uint64), np.zeros(60, np.int64))
-        assert c.held <= 160
-        if c.full():
-            k, o, _ = c.passed_on()
-            seen.update(dict(zip(k.tolist(), o.tolist())))
-    k, o, _ = c.passed_on()
-    seen.update(dict(zip(k.tolist(), o.tolist())))
-    assert len(seen) == 3000 and set(seen.values()) == {1}
-
-
-def test_counters_merge_in_slices(monkeypatch, spark):
-    monkeypatch.setattr(p3_terms, "_HELD", 10)
+def test_terms_in_slices(spark, monkeypatch):
+    """Whatever is counted at once and held, the sums are the same."""
+    df = spark.createDataFrame([(t,) for t in ["abcabc", "bca", None, "abc" * 40, "xyz"] * 7], "text string")
+    whole = pairs(p3_terms.ngram_counts(df, 3))
+    monkeypatch.setattr(p3_terms, "_HELD", 5)
     monkeypatch.setattr(p3_terms, "_SLICE", 8)
-    c = p3_terms._Counters()
-    seen = Counter()
-    for s in range(5):
-        key = np.array([1, 1, 2, 3, 2, 9 + s], np.uint64)
-        c.add(key, np.array([0, 0, 0, 1, 1, 1]))
-        seen.update(key.tolist())
-    k, o, r = c.merged()
-    assert dict(zip(k.tolist(), o.tolist())) == dict(seen) and dict(zip(k.tolist(), r.tolist()))[1] == 5
+    assert pairs(p3_terms.ngram_counts(df, 3)) == whole and ("abc", 7 * 42, 14) in whole
 
 
 # 5 and 6
