@@ -287,3 +287,38 @@ def test_components(spark):
     got = {r.node: r.component for r in components(df, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}, 5000: 5000}
     assert not components(df.limit(0), "a", "b").count()
+
+
+def test_counters_are_passed_on():
+    """A task never holds many more counters than it may, whatever the number of distinct terms."""
+    import numpy as np
+
+    from sievework.operators.counters import Counters
+
+    c, seen = Counters(100), {}
+    for s in range(50):
+        c.add(np.repeat(np.arange(s * 60, s * 60 + 60, dtype=np.uint64), 2), np.tile([0, 1 + s % 2], 60).cumsum() // 2)
+        assert c.held <= 160
+        if c.full():
+            k, o, _ = c.passed_on()
+            seen |= dict(zip(k.tolist(), o.tolist()))
+    k, o, _ = c.passed_on()
+    seen |= dict(zip(k.tolist(), o.tolist()))
+    assert len(seen) == 3000 and set(seen.values()) == {2}
+    c = Counters(10)
+    for _ in range(5):
+        c.add(np.array([1, 1, 2, 3, 2, 9], np.uint64), np.array([0, 0, 0, 1, 1, 1]))
+    k, o, r = c.merged()
+    assert dict(zip(k.tolist(), o.tolist())) == {1: 10, 2: 10, 3: 5, 9: 5} and dict(zip(k.tolist(), r.tolist())) == {1: 5, 2: 10, 3: 5, 9: 5}
+
+
+def test_most_frequent_grams(spark):
+    """The cut by ranges, values and rank gives what sorting all would."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"g{i:04d}", rng.choice([3, 3, 3, 4, 5, 70, 71, 72, 1000, 10**7])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "ngram string, tf_total long")
+    for most in (1, 100, 777, 1500, 2000, 5000):
+        got = {r.ngram for r in textmodel.most_frequent(df, most).collect()}
+        assert got == {g for g, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:most]}
