@@ -72,7 +72,7 @@ QUERIES = {n: _report(f) for n, f in _REPORTS.items()}
 QUERIES |= {"metrics_by_model": metrics_by_model, "protocol_only": protocol_only}
 
 _PROTOCOL = r"rows_ as (select target, cast(starts_with(lower(url_model_input), 'http://') as double) as score from prepared_urls where split = 'validation')"
-_EDGES = " + ".join(f"cast(score > {e!r}e0 as int)" for e in metrics.edges(10))
+_EDGES = " + ".join(f"cast(score > {k * (1.0 / 10)!r}e0 as int)" for k in range(1, 10))
 _BASE = f"""
 g as (select score, count(*) filter (target = 1) as p, count(*) filter (target = 0) as n from rows_ group by 1),
 tot as (select sum(p) as tp_all, sum(n) as tn_all from g),
@@ -91,8 +91,6 @@ full_ as (select threshold, cast(tp as bigint) as true_positive, cast(fp as bigi
   25.0e0 * (tp_all - tp) + 2.0e0 * fp as simulated_cost, (25.0e0 * (tp_all - tp) + 2.0e0 * fp) * 10000 / (tp_all + tn_all) as simulated_cost_per_10000 from cuts, tot, rank_, ece, brier)
 """
 _HALF = "cuts as (select 0.5e0 as threshold, sum(p) filter (score >= 0.5) as tp, sum(n) filter (score >= 0.5) as fp from g),"
-_INTS = metrics.METRICS[1:6]
-_COLUMNS = ", ".join(c if c in _INTS else f"round(cast({c} as double), 6) as {c}" for c in metrics.METRICS)
 
 
 def _one(source: str) -> str:
@@ -100,11 +98,23 @@ def _one(source: str) -> str:
     return f"with {source}, {base}{_RECORD} select {_COLUMNS} from full_"
 
 
-def _profile_sql(p: metrics.Profile) -> str:
-    order = ", ".join(f"{k[1:]} desc" if k[0] == "-" else k for k in p.order)
-    met = f"(false_positive_rate <= {p.max_fpr} and precision >= {p.min_precision} and recall >= {p.min_recall})"
-    miss = f"greatest(false_positive_rate - {p.max_fpr}, 0) + greatest({p.min_precision} - precision, 0) + greatest({p.min_recall} - recall, 0)"
-    return f"(select '{p.name}' as profile, {_COLUMNS}, {met} as constraints_met from full_ order by (predicted_positive_rate > 0) desc, {met} desc, case when {met} then 0 else round({miss}, 12) end, {order} limit 1)"
+# Fixed values, written out for the SQL: name, constraints on false-positive rate, precision and recall, and order of preference.
+_SQL_PROFILES = [
+    ("high_security", 0.05, 0.70, 0.0, "recall desc, false_positive_rate, precision desc, threshold"),
+    ("balanced", 0.05, 0.70, 0.50, "simulated_cost, recall desc, false_positive_rate, precision desc, threshold"),
+    ("conservative", 0.01, 0.0, 0.10, "precision desc, recall desc, false_positive_rate, threshold desc"),
+]
+_SQL_COLUMNS = (
+    "threshold", "true_positive", "false_positive", "true_negative", "false_negative", "n_samples", "precision", "recall", "specificity", "false_positive_rate", "f1", "accuracy",
+    "predicted_positive_rate", "average_precision", "roc_auc", "brier_score", "expected_calibration_error", "simulated_cost", "simulated_cost_per_10000",
+)
+_COLUMNS = ", ".join(c if k in range(1, 6) else f"round(cast({c} as double), 6) as {c}" for k, c in enumerate(_SQL_COLUMNS))
+
+
+def _profile_sql(name: str, fpr: float, precision: float, recall: float, order: str) -> str:
+    met = f"(false_positive_rate <= {fpr} and precision >= {precision} and recall >= {recall})"
+    miss = f"greatest(false_positive_rate - {fpr}, 0) + greatest({precision} - precision, 0) + greatest({recall} - recall, 0)"
+    return f"(select model, '{name}' as profile, {_COLUMNS}, {met} as constraints_met from full_ qualify row_number() over (partition by model order by (predicted_positive_rate > 0) desc, {met} desc, case when {met} then 0 else round({miss}, 12) end, {order}) = 1)"
 
 
 _Q = ", ".join(f"{i / 10}" for i in range(1, 10))
@@ -126,10 +136,6 @@ _EACH_RECORD = _RECORD.replace("select threshold", "select model, threshold").re
 _EACH = f"with {_EACH_SOURCE}, {_EACH_BASE}{_EACH_CUTS}{_EACH_RECORD}"
 
 
-def _each_profile_sql(p: metrics.Profile) -> str:
-    return _profile_sql(p).replace("select '", "select model, '", 1).replace("from full_ order by", "from full_ qualify row_number() over (partition by model order by").replace(" limit 1)", ") = 1)")
-
-
 ORACLE = {
     "metrics_by_model": "select model, count(score) as n_scores, count(*) filter (score is null) as n_missing, round(avg((score - target) * (score - target)), 6) as brier_score, count(*) filter (score >= 0.5 and target = 1) as true_positive, count(*) filter (score >= 0.5 and target = 0) as false_positive from url_scores group by 1",
     "protocol_only": _one(_PROTOCOL),
@@ -140,7 +146,7 @@ ORACLE = {
     "calibration_quantile_bins": f"with {_EACH_SOURCE}, q as (select model, quantile_cont(score, [{_Q}]) as q from rows_ group by 1) select model, cast(len(list_filter(q, lambda e: e < score)) as int) as bin, count(*) as n_rows, round(avg(score), 6) as mean_score, round(avg(target), 6) as rate from rows_ join q using (model) group by 1, 2",
     "threshold_table": f"{_EACH} select model, {_COLUMNS} from full_",
     "threshold_at_max_fpr": f"{_EACH} select model, {_COLUMNS} from full_ qualify row_number() over (partition by model order by (false_positive_rate <= 0.0163 and predicted_positive_rate > 0) desc, (predicted_positive_rate > 0) desc, recall desc, precision desc, false_positive_rate, threshold) = 1",
-    "profiles": f"{_EACH} " + " union all ".join(map(_each_profile_sql, metrics.PROFILES)),
+    "profiles": f"{_EACH} " + " union all ".join(_profile_sql(*p) for p in _SQL_PROFILES),
     "pr_curve": f"{_EACH} select model, round(recall, 6) as recall, round(precision, 6) as precision from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 1.0e0 from tot",
     "roc_curve": f"{_EACH} select model, round(false_positive_rate, 6) as false_positive_rate, round(recall, 6) as recall from full_ where predicted_positive_rate > 0 union all select model, 0.0e0, 0.0e0 from tot",
     "threshold_tradeoff": f"{_EACH} select model, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(false_positive_rate, 6) as false_positive_rate from full_",

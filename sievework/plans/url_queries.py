@@ -126,6 +126,43 @@ _NAMES = (
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
+# Fixed values, written out for the SQL so that it does not share the code's.
+_SQL_KEYWORDS = (
+    "account", "auth", "banking", "confirm", "credential", "invoice", "login", "password", "payment", "recover", "secure", "session", "signin", "support",
+    "unlock", "update", "verify", "wallet", "webscr",
+)
+_SQL_SHORTENERS = "'bit.ly', 'buff.ly', 'cutt.ly', 'goo.gl', 'is.gd', 'ow.ly', 'rebrand.ly', 'shorturl.at', 't.co', 'tiny.cc', 'tinyurl.com'"
+_SQL_SUFFIX_1 = "'example', 'test', 'invalid'"
+_SQL_SUFFIX_2 = "'co.example', 'org.test', 'ac.example', 'gov.test'"
+_SQL_FEATURES = (
+    "is_valid_url", "uses_https", "has_non_http_scheme", "has_ip_hostname", "has_userinfo", "has_punycode", "has_non_default_port", "uses_url_shortener", "url_length",
+    "hostname_length", "path_length", "query_length", "dot_count", "hostname_hyphen_count", "path_depth", "digit_ratio", "special_character_count", "percent_encoded_count",
+    "suspicious_hostname_keyword_count", "suspicious_path_query_keyword_count",
+)
+_SQL_RULES = [
+    ("invalid_url", "not is_valid_url", 30),
+    ("non_http_scheme", "has_non_http_scheme", 30),
+    ("ip_hostname", "has_ip_hostname", 30),
+    ("userinfo_or_at_symbol", "has_userinfo", 25),
+    ("punycode_hostname", "has_punycode", 20),
+    ("multiple_suspicious_hostname_terms", "suspicious_hostname_keyword_count >= 2", 22),
+    ("suspicious_hostname_term", "suspicious_hostname_keyword_count = 1", 12),
+    ("url_shortener", "uses_url_shortener", 14),
+    ("non_default_port", "has_non_default_port", 12),
+    ("very_long_url", "url_length >= 200", 16),
+    ("long_url", "url_length between 120 and 199", 8),
+    ("many_hostname_levels", "dot_count >= 5", 10),
+    ("deep_hostname", "dot_count = 4", 5),
+    ("many_hostname_hyphens", "hostname_hyphen_count >= 3", 8),
+    ("high_digit_ratio", "digit_ratio >= 0.30", 10),
+    ("moderate_digit_ratio", "digit_ratio >= 0.18 and digit_ratio < 0.30", 5),
+    ("heavy_percent_encoding", "percent_encoded_count >= 3", 8),
+    ("multiple_suspicious_path_terms", "suspicious_path_query_keyword_count >= 2", 8),
+    ("suspicious_path_term", "suspicious_path_query_keyword_count = 1", 3),
+    ("long_query", "query_length >= 120", 5),
+    ("many_special_characters", "special_character_count >= 20", 5),
+    ("not_https", "is_valid_url and not uses_https", 2),
+]
 _B = r"[\s\p{Z}\x1c-\x1f\x{85}]"
 
 
@@ -165,14 +202,12 @@ _KEYED = (
     "case when contains(host, ':') then '[' || lower(rtrim(host, '.')) || ']' else lower(rtrim(host, '.')) end || "
     f"case when port is null or {_DEFAULT} then '' else ':' || port end || path || case when query <> '' then '?' || query else '' end end as key from parts)"
 )
-_SUFFIX_2 = ", ".join(f"'{r}'" for r in TEST_RULES if "." in r)
-_SUFFIX_1 = ", ".join(f"'{r}'" for r in TEST_RULES if "." not in r)
 _IP = f"regexp_matches(n, '^(?:{urls.IPV4})$') or regexp_matches(n, '^(?:{urls.IPV6})$')"
 _DOMAIN = rf"""
 named as (select *, nullif(rtrim(host, '.'), '') as n from keyed),
 grouped as (select *, case when n is null or {_IP} then n
-  when regexp_matches(n, '(^|\.)[^.]*\.[^.]*$') and regexp_extract(n, '([^.]*\.[^.]*)$', 1) in ({_SUFFIX_2}) then case when regexp_matches(n, '\..*\.') then regexp_extract(n, '([^.]*\.[^.]*\.[^.]*)$', 1) else n end
-  when regexp_extract(n, '([^.]*)$', 1) in ({_SUFFIX_1}) and contains(n, '.') then regexp_extract(n, '([^.]*\.[^.]*)$', 1) else n end as domain,
+  when regexp_matches(n, '(^|\.)[^.]*\.[^.]*$') and regexp_extract(n, '([^.]*\.[^.]*)$', 1) in ({_SQL_SUFFIX_2}) then case when regexp_matches(n, '\..*\.') then regexp_extract(n, '([^.]*\.[^.]*\.[^.]*)$', 1) else n end
+  when regexp_extract(n, '([^.]*)$', 1) in ({_SQL_SUFFIX_1}) and contains(n, '.') then regexp_extract(n, '([^.]*\.[^.]*)$', 1) else n end as domain,
   host is not null and not regexp_matches(host, '{_B}') as valid from named)
 """
 _GROUP = "case when length(domain) > 0 then domain else 'invalid-' || left(sha256(key), 16) end"
@@ -184,14 +219,14 @@ def _n(pattern: str, col: str) -> str:
 
 
 def _keywords(expr: str) -> str:
-    return "(" + " + ".join(f"cast(contains(lower({expr}), '{k}') as int)" for k in urls.KEYWORDS) + ")"
+    return "(" + " + ".join(f"cast(contains(lower({expr}), '{k}') as int)" for k in _SQL_KEYWORDS) + ")"
 
 
 _FEATURES = rf"""
 hosted as (select *, coalesce(rtrim(lower(host), '.'), '') as hn from grouped),
 features as (select url_id, target, hn <> '' as is_valid_url, scheme = 'https' as uses_https, explicit and parsed and scheme not in ('http', 'https') as has_non_http_scheme,
   hn <> '' and (regexp_matches(hn, '^(?:{urls.IPV4})$') or regexp_matches(hn, '^(?:{urls.IPV6})$')) as has_ip_hostname, contains(netloc, '@') as has_userinfo, regexp_matches(hn, '(^|\.)xn--') as has_punycode,
-  port_bad or (port is not null and not {_DEFAULT}) as has_non_default_port, coalesce(domain in ({", ".join(f"'{s}'" for s in urls.SHORTENERS)}), false) as uses_url_shortener,
+  port_bad or (port is not null and not {_DEFAULT}) as has_non_default_port, coalesce(domain in ({_SQL_SHORTENERS}), false) as uses_url_shortener,
   cast(length(raw) as int) as url_length, cast(length(hn) as int) as hostname_length, cast(length(path) as int) as path_length, cast(length(query) as int) as query_length,
   cast(length(hn) - length(replace(hn, '.', '')) as int) as dot_count, cast(length(hn) - length(replace(hn, '-', '')) as int) as hostname_hyphen_count,
   cast(len(list_filter(string_split(path, '/'), lambda q: q <> '')) as int) as path_depth, case when raw = '' then 0 else {_n(chr(92) + 'p{Nd}', 'raw')} / length(raw) end as digit_ratio,
@@ -201,14 +236,10 @@ features as (select url_id, target, hn <> '' as is_valid_url, scheme = 'https' a
 _WITH_FEATURES = f"{_ALL}, {_FEATURES}"
 
 
-def _cond(c: str) -> str:
-    return c.replace("0D", "0").replace("8D", "8")
-
-
-_POINTS = " + ".join(f"case when {_cond(c)} then {w} else 0 end" for _, c, w, _ in rules.RULES)
+_POINTS = " + ".join(f"case when {c} then {w} else 0 end" for _, c, w in _SQL_RULES)
 _SCORED = f"{_WITH_FEATURES}, scored as (select url_id, target, least({_POINTS}, 100) / 100.0e0 as score from features)"
-_TRIGGERS = " union all ".join(f"select {i} as i, '{n}' as rule, count(*) filter ({_cond(c)}) as count from features" for i, (n, c, *_) in enumerate(rules.RULES))
-_FIRED = ", ".join(f"case when {_cond(c)} then {{'w': {w}, 'i': {i}, 't': '{n}={w / 100:.2f}'}} end" for i, (n, c, w, _) in enumerate(rules.RULES))
+_TRIGGERS = " union all ".join(f"select {i} as i, '{n}' as rule, count(*) filter ({c}) as count from features" for i, (n, c, _) in enumerate(_SQL_RULES))
+_FIRED = ", ".join(f"case when {c} then {{'w': {w}, 'i': {i}, 't': '{n}={w / 100:.2f}'}} end" for i, (n, c, w) in enumerate(_SQL_RULES))
 _RAW = f"with {parts_sql('(select * from raw_urls where label in (0, 1))', 'row_id', 'url', 'label')}, {_KEYED}, {_DOMAIN}"
 _MARKED = f"""{_RAW}, working as (select row_id as row_order, u as url_original, label as source_label, raw as url_model_input, key as url_dedupe_key, domain as registered_domain, valid as is_valid_url, cast(1 - label as int) as target, {_GROUP} as split_group from grouped where raw <> ''),
 marked as (select *, min(target) over (partition by url_dedupe_key) <> max(target) over (partition by url_dedupe_key) as conflicting, row_number() over (partition by url_dedupe_key, target order by row_order) = 1 as first from working)
@@ -226,7 +257,7 @@ ORACLE = {
     "url_canonical_key": f"{_ALL} select url_id, key as url_dedupe_key from keyed",
     "url_groups": f"{_ALL} select url_id, domain as registered_domain, valid as is_valid_url, {_GROUP} as split_group from grouped",
     "text_normaliser": rf"select url_id, regexp_replace(regexp_replace({_strip('url_original')}, '^(?i:https?://)', ''), '^(?i:www\.)', '') as model_text, cast(starts_with(lower({_strip('url_original')}), 'http://') as double) as protocol_score from prepared_urls",
-    "url_features": f"{_WITH_FEATURES} select url_id, {', '.join('round(digit_ratio, 9) as digit_ratio' if c == 'digit_ratio' else c for c in urls.FEATURES)} from features",
+    "url_features": f"{_WITH_FEATURES} select url_id, {', '.join('round(digit_ratio, 9) as digit_ratio' if c == 'digit_ratio' else c for c in _SQL_FEATURES)} from features",
     "rule_scores": f"{_SCORED} select url_id, round(score, 6) as score, cast(score >= 0.35 as int) as predicted from scored",
     "rule_trigger_counts": f"{_WITH_FEATURES} select rule, count from ({_TRIGGERS}) where count > 0 order by count desc, i limit 15",
     "rule_explanations": f"{_WITH_FEATURES} select url_id, array_to_string(list_transform(list_slice(list_sort(list_filter([{_FIRED}], lambda x: x is not null)), 1, 5), lambda x: x.t), ';') as explanation from features".replace("{'w': ", "{'w': -"),
