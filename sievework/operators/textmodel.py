@@ -268,6 +268,20 @@ class Model:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def settled(self, df: DataFrame, ident: str, text: str, target: str, *, within: float = 1e-3) -> DataFrame:
+        """One row: rows, features, and whether the gradient of the objective (see ``fit``, without class weights) over ``df`` has at most the part ``within`` of the norm it has where all coefficients are zero."""
+        index = materialize(numbered(self.vocab).join(self.coefficients, "ngram"))
+        rows = df.select(F.col(ident).alias("id"), F.col(text).alias("t"), F.col(target).cast("double").alias("y"))
+        w = materialize(weights(rows, "id", "t", index.select("ngram", "idf", "i"), self.spec).join(index.select("i", "coefficient"), "i"))
+        margin = w.groupBy("id").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("m"))
+        p = 1 / (1 + F.exp(-(F.coalesce("m", F.lit(0.0)) + self.intercept)))
+        off = materialize(rows.select("id", "y").join(margin, "id", "left").select("id", (self.spec.c * (p - F.col("y"))).alias("r"), (self.spec.c * (0.5 - F.col("y"))).alias("r0")))
+        per = w.join(off, "id").groupBy("i").agg(F.max("coefficient").alias("c"), F.sum(F.col("weight") * F.col("r")).alias("g"), F.sum(F.col("weight") * F.col("r0")).alias("g0"))
+        square = lambda c: F.pow(c, F.lit(2))
+        norms = per.agg(F.count(F.lit(1)).alias("n_features"), F.sum(square(F.col("c") + F.col("g"))).alias("a"), F.sum(square(F.col("g0"))).alias("a0"))
+        bias = off.agg(F.count(F.lit(1)).alias("n_rows"), square(F.sum("r") + self.intercept).alias("b"), square(F.sum("r0")).alias("b0"))
+        return norms.crossJoin(bias).select("n_rows", "n_features", (F.sqrt(F.col("a") + F.col("b")) <= within * F.sqrt(F.col("a0") + F.col("b0"))).alias("settled"))
+
     def save(self, path: str) -> None:
         import json
 

@@ -90,6 +90,12 @@ def logistic_scores(spark, sf_dir):
     return model.score(_validation(spark, sf_dir), "url_id", "url_model_input").select(F.col("id").alias("url_id"), "score")
 
 
+def logistic_settled(spark, sf_dir):
+    """Rows and features the model is fitted on, and whether the gradient vanishes at its coefficients."""
+    train = _train(spark, sf_dir)
+    return textmodel.fit(train, "url_model_input", "target", FITTED).settled(train, "url_id", "url_model_input", "target")
+
+
 def top_ngrams(spark, sf_dir):
     return textmodel.fit(_train(spark, sf_dir), "url_model_input", "target", FITTED).top_ngrams(50)
 
@@ -100,7 +106,7 @@ def candidate_search(spark, sf_dir):
     return spark.createDataFrame([(i + 1, *(r[k] for k in keep)) for i, r in enumerate(rows)], "rank_no int, name string, c double, average_precision double, roc_auc double, expected_calibration_error double, matched_recall double, n_features int")
 
 
-_NAMES = "split_assignment split_quality split_hashed split_summary split_integrity split_straddling_groups ngram_vocabulary ngram_vocabulary_wide tfidf_weights tfidf_weights_wide logistic_scores top_ngrams candidate_search".split()
+_NAMES = "split_assignment split_quality split_hashed split_summary split_integrity split_straddling_groups ngram_vocabulary ngram_vocabulary_wide tfidf_weights tfidf_weights_wide logistic_scores logistic_settled top_ngrams candidate_search".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _GRAMS = rf"""
@@ -112,7 +118,13 @@ vocab as (select ngram, count(*) as df, cast(sum(tf) as bigint) as tf_total, ln(
 """
 _WEIGHTS = "w as (select id, (1 + ln(tf)) * idf as raw from tf join vocab using (ngram)), n as (select id, sqrt(sum(raw * raw)) as norm from w group by 1) select id as url_id, count(*) as n_grams, round(sum(raw / norm), 5) as total, round(max(raw / norm), 6) as largest from w join n using (id) group by 1"
 _WIDE = _GRAMS.replace("(values (3), (4))", "(values (3), (4), (5))")
+_FITTED_GRAMS = r"""
+with t as (select url_id, regexp_replace(coalesce(url_model_input, ''), '[\s\p{Z}\x1c-\x1f\x{85}][\s\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g') as t from prepared_urls where split = 'train'),
+g as (select distinct url_id, substr(t, i, k) as ngram from (select url_id, t, k, unnest(generate_series(1, length(t) - k + 1)) as i from t, (values (3), (4), (5)) v(k))),
+v as (select ngram from g group by 1 having count(*) >= 3)
+"""
 ORACLE = {
+    "logistic_settled": f"{_FITTED_GRAMS} select (select count(*) from t) as n_rows, least((select count(*) from v), 250000) as n_features, true as settled",
     "split_quality": "select count(*) as n_rows, count(*) filter (split_group is null) as rows_unplaced, true as shares_met, true as rates_met, count(distinct split_group) as n_groups, 0 as groups_apart from prepared_urls",
     "split_hashed": "with g as (select split_group as g, count(*) as n, count(*) filter (target = 1) as n1 from prepared_urls group by 1), f as (select g, cast((row_number() over (partition by n1 * 2 > n order by n desc, sha256('42' || coalesce(g, ''))) - 1) % 5 as int) as fold from g) select g, fold, case when fold <= 2 then 'train' when fold = 3 then 'validation' else 'test' end as split from f",
     "split_summary": "select split, count(*) as n_rows, round_even(count(*) * 100.0e0 / (select count(*) from prepared_urls), 4) as percent, count(*) filter (target = 1) as phishing, count(*) filter (target = 0) as legitimate, round_even(count(*) filter (target = 1) * 1.0e0 / count(*), 6) as rate, count(distinct split_group) as n_groups from prepared_urls group by 1",
