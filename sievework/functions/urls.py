@@ -50,6 +50,15 @@ def _unsafe_class() -> str:
 _UNSAFE = _unsafe_class()
 
 
+def _digit_class() -> str:
+    """Decimal digits, and the characters that are digits in writing only, such as superscripts. None of the latter lies beyond U+1F10A."""
+    others = [c for c in range(0x80, 0x1F10B) if chr(c).isdigit() and not chr(c).isdecimal()]
+    return r"[\p{Nd}" + "".join(f"\\x{{{c:x}}}" for c in others) + "]"
+
+
+DIGIT = _digit_class()
+
+
 def stripped(col: Column) -> Column:
     """Without Unicode white space at both ends; null becomes the empty text."""
     return F.regexp_replace(F.coalesce(col, F.lit("")), f"^{_BLANK}+|{_BLANK}+$", "")
@@ -183,7 +192,7 @@ def with_features(df: DataFrame, url: str, domain: Column | None = None, parts:
         "dot_count": _count(host, "."),
         "hostname_hyphen_count": _count(host, "-"),
         "path_depth": F.size(F.filter(F.split(c("path"), "/", -1), lambda s: s != "")),
-        "digit_ratio": F.when(n > 0, F.regexp_count(raw, F.lit(r"(?U)\d")) / n).otherwise(F.lit(0.0)),
+        "digit_ratio": F.when(n > 0, F.regexp_count(raw, F.lit(DIGIT)) / n).otherwise(F.lit(0.0)),
         "special_character_count": F.regexp_count(raw, F.lit("[^A-Za-z0-9]")),
         "percent_encoded_count": F.regexp_count(raw, F.lit("%[0-9A-Fa-f]{2}")),
         "suspicious_hostname_keyword_count": keyword_count(host),

@@ -229,7 +229,7 @@ features as (select url_id, target, hn <> '' as is_valid_url, scheme = 'https' a
   port_bad or (port is not null and not {_DEFAULT}) as has_non_default_port, coalesce(domain in ({_SQL_SHORTENERS}), false) as uses_url_shortener,
   cast(length(raw) as int) as url_length, cast(length(hn) as int) as hostname_length, cast(length(path) as int) as path_length, cast(length(query) as int) as query_length,
   cast(length(hn) - length(replace(hn, '.', '')) as int) as dot_count, cast(length(hn) - length(replace(hn, '-', '')) as int) as hostname_hyphen_count,
-  cast(len(list_filter(string_split(path, '/'), lambda q: q <> '')) as int) as path_depth, case when raw = '' then 0 else {_n(chr(92) + 'p{Nd}', 'raw')} / length(raw) end as digit_ratio,
+  cast(len(list_filter(string_split(path, '/'), lambda q: q <> '')) as int) as path_depth, case when raw = '' then 0 else {_n(urls.DIGIT, 'raw')} / length(raw) end as digit_ratio,
   {_n('[^A-Za-z0-9]', 'raw')} as special_character_count, {_n('%[0-9A-Fa-f]{2}', 'raw')} as percent_encoded_count,
   {_keywords('hn')} as suspicious_hostname_keyword_count, {_keywords("path || '?' || query")} as suspicious_path_query_keyword_count from hosted)
 """

@@ -86,6 +86,8 @@ def test_features_and_rules(spark):
     weights = [x.weight for x in r.e]
     assert weights == sorted(weights, reverse=True) and len(weights) == 5
     assert features(spark, None).s == 0.3 and features(spark, "").url_length == 0
+    odd = "http://a.test/1²₃①Ⅷ½٣x"
+    assert abs(features(spark, odd).digit_ratio - sum(c.isdigit() for c in odd) / len(odd)) < 1e-12
     with pytest.raises(ValueError, match="threshold"):
         rules.predict(F.col("s"), 1.1)
 
