@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import text_model_input
+from . import lockstep
 from .counters import Counters
 from .metrics import Costs, at_max_fpr, evaluate, threshold_table
 from .shared import discard, materialize, widened
@@ -116,7 +117,11 @@ def gram_counts(df: DataFrame, text: str, spec: Spec) -> DataFrame:
 def most_frequent(per: DataFrame, most: int) -> DataFrame:
     """The ``most`` rows of ``per`` with the largest ``tf_total``, ties by gram. The frequency at which to cut is found from counts per frequency, first of ranges, then
     of the values in one range; only rows at that frequency are ranked."""
-    per = materialize(per)
+    return _most_frequent(materialize(per), most)
+
+
+def _most_frequent(per: DataFrame, most: int) -> DataFrame:
+    """``most_frequent`` of a table that is read again and again."""
     bucket = F.floor(F.log2("tf_total") * 64).cast("int")
     left, cut = most, None
     for r in sorted(per.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.b):
@@ -365,11 +370,58 @@ def _fit(vec: DataFrame, spec: Spec, index: DataFrame, size: int) -> Model:
 
 
 def search(train: DataFrame, validation: DataFrame, ident: str, text: str, target: str, specs: list[Spec], *, max_fpr: float = 0.0163, costs: Costs | None = None) -> list[dict]:
-    """A result per candidate, best first: average precision, recall at ``max_fpr``, ROC AUC, calibration error. Candidates
-    with one vectoriser share its tables. The lists are as long as ``specs``."""
+    """A result per candidate, best first: average precision, recall at ``max_fpr``, ROC AUC, calibration error. The lists are as long as ``specs``.
+
+    All candidates are fitted side by side (``lockstep``), to the objective of ``fit``; so the seconds of a fit run from the common start, and those of vectorising and scoring are of all.
+    With an alphabet too large for grams to be integers they are fitted one after the other.
+    """
     by_key: dict[tuple, list[Spec]] = {}
     for s in specs:
         by_key.setdefault(s.vectorizer_key, []).append(s)
+    specs = [s for same in by_key.values() for s in same]
+    began = time.perf_counter()
+    c = lockstep.Candidates(specs, lambda s: (s.scheme_neutral, s.lowercase), lambda s: lambda t: model_input(t, s))
+    texts = c.columns(train, text, target)
+    letters = lockstep.alphabet(texts.drop("y"), c.least, c.top)
+    if not letters.records:
+        return _ranked(_searched_singly(train, validation, ident, text, target, by_key, max_fpr, costs))
+    rows, n0, n1 = train.agg(F.count(F.lit(1)), F.count_if(F.col(target) == 0), F.count_if(F.col(target) == 1)).first()
+    if n0 + n1 < rows:
+        raise ValueError("targets must be 0 or 1")
+    counts = materialize(lockstep.counted(texts.drop("y"), letters, c.ranges, c.least))
+    found = c.vocabularies(counts, rows, _most_frequent)
+    discard(counts)
+    shared = train.sparkSession.sparkContext.broadcast([f.arrays() for f in found])
+    blocks = materialize(c.blocks(texts, letters, shared))
+    took = time.perf_counter() - began
+    began, seconds = time.perf_counter(), {}
+    fits = lockstep.fitted(c, blocks, shared, found, (n0, n1), TOLERANCE, lambda i: seconds.setdefault(i, time.perf_counter() - began))
+    discard(blocks)
+    began = time.perf_counter()
+    scored = materialize(c.scored(validation, text, target, letters, shared, fits))
+    scoring = time.perf_counter() - began
+    at_half = {r.model: r.asDict() for r in evaluate(scored, costs=costs, by=("model",)).collect()}
+    matched = {r.model: r.asDict() for r in at_max_fpr(threshold_table(scored, costs=costs, by=("model",)), max_fpr, by=("model",)).collect()}
+    discard(scored)
+    shared.destroy()
+    out = []
+    for i, s in enumerate(specs):
+        half = {k: v for k, v in at_half[i].items() if k != "model"}
+        out.append(_result(s, half, matched[i], took, seconds[i], scoring, len(fits[i]) - 1))
+    return _ranked(out)
+
+
+def _result(spec: Spec, at_half: dict, matched: dict, vectorize: float, fit: float, score: float, n_features: int) -> dict:
+    at_fpr = {f"matched_{k}": matched[k] for k in ("threshold", "recall", "precision", "false_positive_rate")}
+    return spec.to_dict() | at_half | at_fpr | {"vectorize_seconds": vectorize, "fit_seconds": fit, "score_seconds": score, "n_features": n_features}
+
+
+def _ranked(results: list[dict]) -> list[dict]:
+    return sorted(results, key=lambda r: (-r["average_precision"], -r["matched_recall"], -r["roc_auc"], r["expected_calibration_error"]))
+
+
+def _searched_singly(train: DataFrame, validation: DataFrame, ident: str, text: str, target: str, by_key: dict[tuple, list[Spec]], max_fpr: float, costs: Costs | None) -> list[dict]:
+    """A result per candidate, each fitted for itself. Candidates with one vectoriser share its tables."""
     out = []
     labels = validation.select(F.col(ident).alias("id"), F.col(target).alias("target"))
     for same in by_key.values():
@@ -385,10 +437,10 @@ def search(train: DataFrame, validation: DataFrame, ident: str, text: str, targe
             seconds = time.perf_counter() - began
             at_half = evaluate(scored, costs=costs).first().asDict()
             matched = at_max_fpr(threshold_table(scored, costs=costs), max_fpr).first().asDict()
-            out.append(s.to_dict() | at_half | {f"matched_{k}": matched[k] for k in ("threshold", "recall", "precision", "false_positive_rate")} | {"vectorize_seconds": took, "fit_seconds": fitted, "score_seconds": seconds, "n_features": size})
+            out.append(_result(s, at_half, matched, took, fitted, seconds, size))
             discard(scored)
         discard(vec)
-    return sorted(out, key=lambda r: (-r["average_precision"], -r["matched_recall"], -r["roc_auc"], r["expected_calibration_error"]))
+    return out
 
 
 def select(results: list[dict]) -> tuple[dict, dict | None]:
