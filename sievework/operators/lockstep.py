@@ -6,13 +6,17 @@ occur less often than the smallest ``min_df`` are in no vocabulary and have no p
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import warnings
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +24,10 @@ from .shared import widened
 
 #: Records counted at once, and records of a block.
 _COUNTED, _BLOCK = 1 << 13, 1 << 12
-#: Models fitted at once.
-_MODELS = 8
+#: Parts of the counters for each part of a shuffle: a part is merged at once, in Python.
+_FINER = 4
+#: Models fitted at once, and places of a sum that are sent in one row.
+_MODELS, _SLICE = 8, 1 << 15
 #: Settings of a step: its shuffle files, the sums of the tasks, are removed when it ends, as they would pile up otherwise; blocks come one at a time, being some MB each.
 _STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
 #: Steps that a solver remembers, steps over which its value must fall, and steps after which it asks for the curvature anew.
@@ -132,9 +138,9 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table
 def counted(texts: DataFrame, letters: Alphabet, ranges: list[tuple[int, int]], least: int) -> DataFrame:
     """``(kind, n, ngram, df, tf_total)`` of the grams in ``least`` records or more; column ``t<kind>`` of ``texts`` with the lengths of ``ranges[kind]``.
 
-    A task's counters are sorted arrays, cut by a hash of the key into as many parts as a shuffle has; each part is merged by one task.
+    A task's counters are sorted arrays, cut by a hash of the key into ``_FINER`` times as many parts as a shuffle has; each part is merged by one task.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _FINER * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits, top, points, most = letters.bits, letters.top, letters, min(_COUNTED, letters.records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +186,46 @@ def counted(texts: DataFrame, letters: Alphabet, ranges: list[tuple[int, int]],
     return sent.groupBy("kind", "part").applyInArrow(merge, "kind int, n int, ngram long, df long, tf_total long")
 
 
+class Stored:
+    """The table of blocks, for one pass after another. From a folder that is mounted, tasks read their row groups themselves, so that no block goes through the JVM; any other is read by Spark."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, self.tasks, self.groups = rows, rows.sparkSession.sparkContext.defaultParallelism, None
+        files = rows.inputFiles()
+        if files and all(f.startswith("file:") for f in files):
+            paths, loads = [url2pathname(urlsplit(f).path) for f in files], [0] * self.tasks
+            self.groups = [[] for _ in loads]
+            sizes = []
+            for path in paths:
+                meta = pq.read_metadata(path)
+                sizes += [(meta.row_group(k).num_rows, path, k) for k in range(meta.num_row_groups)]
+            for n, path, k in sorted(sizes, key=lambda x: -x[0]):
+                least = loads.index(min(loads))
+                loads[least] += n
+                self.groups[least].append((path, k))
+
+    def source(self) -> DataFrame:
+        return self.rows.coalesce(self.tasks) if self.groups is None else self.rows.sparkSession.range(0, self.tasks, 1, self.tasks)
+
+    def reader(self):
+        """A function that gives the blocks of a task from the batches of ``source``."""
+        groups = self.groups
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Scalar]:
+            for batch in batches:
+                if groups is None:
+                    yield from batch.column("block")
+                    continue
+                for task in batch.column("id").to_pylist():
+                    for path, own in itertools.groupby(sorted(groups[task]), lambda x: x[0]):
+                        with pq.ParquetFile(path) as file:
+                            for _, k in own:
+                                for part in file.iter_batches(1, [k], ["block"], use_threads=False):
+                                    yield from part.column("block")
+
+        return read
+
+
 @dataclass
 class Features:
     """The grams of one kind of text that any vocabulary has, by n and key, and which of them are ``members`` of each vectoriser's. Broadcast as ``arrays``."""
@@ -324,10 +370,11 @@ class Candidates:
 
         return rows.mapInArrow(run, "block binary")
 
-    def evaluated(self, blocks: DataFrame, shared, tasks: int, asked: dict[int, tuple]) -> dict[int, tuple]:
-        """Per model of ``asked`` (coefficients, whether the curvature is wanted, C of both classes) ``(loss, gradient, diagonal of the Hessian or None)`` without the penalty, the intercept last. One pass; the tasks' sums are added up by executors."""
-        sent = blocks.sparkSession.sparkContext.broadcast(asked)
-        vectorisers, kind, of = self.vectorisers, self.kind, self.of
+    def evaluated(self, blocks: Stored, shared, asked: dict[int, tuple]) -> dict[int, tuple]:
+        """Per model of ``asked`` (coefficients, whether the curvature is wanted, C of both classes) ``(loss, gradient, diagonal of the Hessian or None)`` without the penalty, the intercept last. One pass; the tasks' sums are added up by executors, slice by slice."""
+        spark = blocks.rows.sparkSession
+        sent = spark.sparkContext.broadcast(asked)
+        vectorisers, kind, of, read = self.vectorisers, self.kind, self.of, blocks.reader()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, wanted = [Features(*x) for x in shared.value], sent.value
@@ -338,49 +385,54 @@ class Candidates:
                 at = f.members[of[i]]
                 z[i][at] = x[:-1] * f.idf[at]
                 total[i] = [0.0, np.zeros(f.size), 0.0, np.zeros(f.size if curved else 0, np.float32), 0.0]
-            for batch in batches:
-                for packed in batch.column("block"):
-                    y, parts = pickle.loads(packed.as_buffer())
-                    for k, (by_n, norms) in enumerate(parts):
-                        models = [i for i in wanted if kind[of[i]] == k]
-                        columns = Columns(by_n, len(y)) if models else None
-                        for i in models:
-                            x, curved, (c0, c1) = wanted[i]
-                            c, norm, v = np.where(y == 1, c1, c0), norms[of[i]], vectorisers[of[i]]
-                            m = columns.margins(z[i], v) / norm + x[-1]
-                            p = 1 / (1 + np.exp(-m))
-                            r = c * (p - y)
-                            sums = total[i]
-                            sums[0] += float(np.dot(c, _loss(m, y)))
-                            sums[2] += float(r.sum())
-                            columns.add(sums[1], r / norm, v)
-                            if curved:
-                                h = c * p * (1 - p)
-                                sums[4] += float(h.sum())
-                                columns.add(sums[3], h / norm**2, v, 2)
+            for packed in read(batches):
+                y, parts = pickle.loads(packed.as_buffer())
+                for k, (by_n, norms) in enumerate(parts):
+                    models = [i for i in wanted if kind[of[i]] == k]
+                    columns = Columns(by_n, len(y)) if models else None
+                    for i in models:
+                        x, curved, (c0, c1) = wanted[i]
+                        c, norm, v = np.where(y == 1, c1, c0), norms[of[i]], vectorisers[of[i]]
+                        m = columns.margins(z[i], v) / norm + x[-1]
+                        p = 1 / (1 + np.exp(-m))
+                        r = c * (p - y)
+                        sums = total[i]
+                        sums[0] += float(np.dot(c, _loss(m, y)))
+                        sums[2] += float(r.sum())
+                        columns.add(sums[1], r / norm, v)
+                        if curved:
+                            h = c * p * (1 - p)
+                            sums[4] += float(h.sum())
+                            columns.add(sums[3], h / norm**2, v, 2)
             for i, (loss, g, g0, h, h0) in total.items():
                 f = found[kind[of[i]]]
                 at = f.members[of[i]]
-                curve = np.append(h[at] * f.idf[at] ** 2, h0).astype(np.float32).tobytes() if len(h) else b""
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([loss]), pa.array([np.append(g[at] * f.idf[at], g0).tobytes()], pa.binary()), pa.array([curve], pa.binary())], ["model", "loss", "g", "h"])
+                g, h = np.append(g[at] * f.idf[at], g0), np.append(h[at] * f.idf[at] ** 2, h0).astype(np.float32) if len(h) else h
+                for s in range(0, len(g), _SLICE):
+                    row = [i], [s], [0.0 if s else loss], [g[s : s + _SLICE].tobytes()], [h[s : s + _SLICE].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()))], ["model", "start", "loss", "g", "h"])
 
         def summed(rows: pa.Table) -> pa.Table:
             g, h = (sum(np.frombuffer(b.as_buffer(), kind) for b in rows.column(c)).tobytes() for c, kind in (("g", np.float64), ("h", np.float32)))
-            return pa.table({"model": rows.column("model").slice(0, 1), "loss": [sum(rows.column("loss").to_pylist())], "g": pa.array([g], pa.binary()), "h": pa.array([h], pa.binary())})
+            return pa.table({"model": rows.column("model").slice(0, 1), "start": rows.column("start").slice(0, 1), "loss": [sum(rows.column("loss").to_pylist())], "g": pa.array([g], pa.binary()), "h": pa.array([h], pa.binary())})
 
-        schema, conf = "model int, loss double, g binary, h binary", blocks.sparkSession.conf
+        schema, conf = "model int, start int, loss double, g binary, h binary", spark.conf
         before = {k: conf.get(k, None) for k in _STEP}
         for k, v in _STEP.items():
             conf.set(k, v)
         try:
-            rows = blocks.coalesce(tasks).mapInArrow(run, schema).groupBy("model").applyInArrow(summed, schema).toArrow()
+            rows = blocks.source().mapInArrow(run, schema).groupBy("model", "start").applyInArrow(summed, schema).toArrow()
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
         sent.destroy()
+        slices: dict[int, list] = {}
+        for i, *part in sorted(zip(*(rows.column(c).to_pylist() for c in ("model", "start", "loss", "g", "h")))):
+            slices.setdefault(i, []).append(part)
         out = {}
-        for i, loss, g, h in zip(rows.column("model").to_pylist(), rows.column("loss").to_pylist(), rows.column("g"), rows.column("h")):
-            out[i] = loss, np.frombuffer(g.as_buffer()), np.frombuffer(h.as_buffer(), np.float32) if len(h.as_buffer()) else None
+        for i, own in slices.items():
+            g, h = (np.frombuffer(b"".join(part[k] for part in own), kind) for k, kind in ((2, np.float64), (3, np.float32)))
+            out[i] = sum(part[1] for part in own), g, h if len(h) else None
         return out
 
     def scored(self, validation: DataFrame, text: str, target: str, letters: Alphabet, shared, fits: dict[int, np.ndarray]) -> DataFrame:
@@ -473,7 +525,7 @@ def fitted(c: Candidates, blocks: DataFrame, shared, found: list[Features], coun
     n0, n1 = counts
     if not n0 or not n1:
         raise ValueError("both classes are needed")
-    tasks, out = blocks.sparkSession.sparkContext.defaultParallelism, {}
+    stored, out = Stored(blocks), {}
     for s in range(0, len(c.specs), _MODELS):
         running, asked = {}, {}
         for i in range(s, min(s + _MODELS, len(c.specs))):
@@ -482,7 +534,7 @@ def fitted(c: Candidates, blocks: DataFrame, shared, found: list[Features], coun
             running[i] = solver(len(found[c.kind[c.of[i]]].members[c.of[i]]) + 1, tolerance, spec.max_iter), (spec.c * w0, spec.c * w1)
             asked[i] = *next(running[i][0]), running[i][1]
         while asked:
-            answers = c.evaluated(blocks, shared, tasks, asked)
+            answers = c.evaluated(stored, shared, asked)
             for i in list(asked):
                 try:
                     asked[i] = *running[i][0].send(answers.pop(i)), running[i][1]

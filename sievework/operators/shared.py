@@ -33,14 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and no executor owns a part.
 
-    Row groups are small, so that what few tasks wrote is read by many.
+    Row groups are small, so that what few tasks wrote is read by many. With ``large_rows`` their size is looked at from row to row; otherwise from the hundredth on.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sievework-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(path)
+    checks = {f"parquet.{x}.size.row.check.min": 1 for x in ("block", "page")} if large_rows else {}
+    df.write.options(**checks).option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -392,7 +392,7 @@ def search(train: DataFrame, validation: DataFrame, ident: str, text: str, targe
     found = c.vocabularies(counts, rows, _most_frequent)
     discard(counts)
     shared = train.sparkSession.sparkContext.broadcast([f.arrays() for f in found])
-    blocks = materialize(c.blocks(texts, letters, shared))
+    blocks = materialize(c.blocks(texts, letters, shared), large_rows=True)
     took = time.perf_counter() - began
     began, seconds = time.perf_counter(), {}
     fits = lockstep.fitted(c, blocks, shared, found, (n0, n1), TOLERANCE, lambda i: seconds.setdefault(i, time.perf_counter() - began))

@@ -120,3 +120,55 @@ def test_solver_settles_at_the_minimum():
             w, settled = end.value
             break
     assert settled and np.linalg.norm(answer(w)[1] + w) <= 1e-3 * np.linalg.norm(answer(np.zeros(9))[1])
+
+
+def test_rows_of_megabytes_come_in_small_row_groups(spark):
+    """What a reader holds at once is a row group; its size is looked at before the hundredth row too."""
+    import os
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from sievework.operators.shared import discard, materialize
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([os.urandom(3 << 20)], pa.binary())], ["block"])
+
+    rows = materialize(spark.range(0, 24, 1, 1).mapInArrow(run, "block binary"), large_rows=True)
+    metas = [pq.read_metadata(f.removeprefix("file:").replace("//", "")) for f in rows.inputFiles()]
+    groups = [m.row_group(k) for m in metas for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24 == rows.where(F.length("block") == 3 << 20).count()
+    assert max(g.total_byte_size for g in groups) <= 22 << 20
+    discard(rows)
+
+
+def test_blocks_reach_tasks_past_the_jvm(spark, monkeypatch):
+    """From a mounted folder each block is read by one task, by itself; the sums are those of blocks that Spark reads, and come in slices."""
+    from sievework.operators.shared import discard, materialize
+
+    monkeypatch.setattr(lockstep, "_BLOCK", 32)
+    monkeypatch.setattr(lockstep, "_SLICE", 100)
+    df = _rows(spark, 700, 6).repartition(3)
+    c = lockstep.Candidates(SPECS, lambda s: (s.scheme_neutral, s.lowercase), lambda s: lambda t: textmodel.model_input(t, s))
+    texts = c.columns(df, "u", "target")
+    letters = lockstep.alphabet(texts.drop("y"), c.least, c.top)
+    found = c.vocabularies(materialize(lockstep.counted(texts.drop("y"), letters, c.ranges, c.least)), 700, textmodel._most_frequent)
+    shared = spark.sparkContext.broadcast([f.arrays() for f in found])
+    blocks = materialize(c.blocks(texts, letters, shared), large_rows=True)
+    own, by_spark = lockstep.Stored(blocks), lockstep.Stored(blocks)
+    by_spark.groups = None
+    assert not any(f.endswith(".parquet") for f in own.source().inputFiles()) and by_spark.source().inputFiles()
+    rng = np.random.default_rng(1)
+    asked = {}
+    for i, s in enumerate(SPECS):
+        asked[i] = rng.normal(size=len(found[c.kind[c.of[i]]].members[c.of[i]]) + 1), i % 2 == 0, (s.c, 2 * s.c)
+    a, b = (c.evaluated(x, shared, asked) for x in (own, by_spark))
+    for i in asked:
+        assert a[i][0] == pytest.approx(b[i][0]) and np.allclose(a[i][1], b[i][1]) and len(a[i][1]) == len(asked[i][0])
+        assert (a[i][2] is None) == (b[i][2] is None) == (i % 2 == 1)
+        assert a[i][2] is None or np.allclose(a[i][2], b[i][2], rtol=1e-4)
+    discard(blocks)
