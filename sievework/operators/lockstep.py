@@ -198,7 +198,7 @@ class Stored:
             sizes = []
             for path in paths:
                 meta = pq.read_metadata(path)
-                sizes += [(meta.row_group(k).num_rows, path, k) for k in range(meta.num_row_groups)]
+                sizes += [(meta.row_group(k).total_byte_size, path, k) for k in range(meta.num_row_groups)]
             for n, path, k in sorted(sizes, key=lambda x: -x[0]):
                 least = loads.index(min(loads))
                 loads[least] += n
@@ -258,10 +258,18 @@ def _times(tf: np.ndarray, sublinear: bool) -> np.ndarray:
     return 1 + np.log(tf) if sublinear else tf.astype(float)
 
 
+def _widths(records: int) -> np.ndarray:
+    """The widths of columns in a block: every one to 16, then each larger by a fifth or so, to at least ``records``."""
+    out = list(range(1, 17))
+    while out[-1] < records:
+        out.append(out[-1] + max(4, out[-1] // 5))
+    return np.array(out)
+
+
 def _columns(texts: list[str], table: np.ndarray, letters: tuple[int, int], f: Features, lo: int, hi: int, vectorisers: dict[int, tuple]) -> tuple[dict, dict]:
-    """The columns of ``texts``, by n ``(features, pairs of each, record of each pair in two planes, pairs that occur more than once, how often)``, and the norms of the records by vectoriser."""
+    """The columns of ``texts`` as ``Level`` takes them, by n, and the norms of the records by vectoriser."""
     out, square = {}, {v: np.zeros(len(texts)) for v in vectorisers}
-    own = {}
+    own, widths = {}, _widths(len(texts))
     for v in vectorisers:
         own[v] = np.zeros(f.size)
         own[v][f.members[v]] = f.idf[f.members[v]]
@@ -271,47 +279,114 @@ def _columns(texts: list[str], table: np.ndarray, letters: tuple[int, int], f: F
         at = np.searchsorted(f.keys[n], keys).clip(max=len(f.keys[n]) - 1)
         hit = f.keys[n][at] == keys
         keep = np.repeat(hit, pairs)
-        feature, pairs, record, times = at[hit] + f.starts[n], pairs[hit], record[keep].astype(np.uint16), times[keep]
+        feature, pairs, record, times = at[hit], pairs[hit], record[keep].astype(np.uint16), times[keep]
         if not len(feature):
             continue
         more = np.flatnonzero(times > 1)
         for v, (a, b, sublinear) in vectorisers.items():
             if a <= n <= b:
-                w = np.repeat(own[v][feature], pairs)
+                w = np.repeat(own[v][feature + f.starts[n]], pairs)
                 w[more] *= _times(times[more], sublinear)
                 square[v] += np.bincount(record, w * w, len(texts))
-        out[n] = feature.astype(np.int32), pairs.astype(np.int32), _planes(record), more.astype(np.int32), times[more].astype(np.int32)
+        starts, width = np.cumsum(pairs) - pairs, np.searchsorted(widths, pairs)
+        order = np.argsort(width, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        shape, records, first = [], [], 0
+        for k, count in enumerate(np.bincount(width).tolist()):
+            if count:
+                columns, slot = order[first : first + count, None], np.arange(widths[k])
+                filled = slot < pairs[columns]
+                records.append(np.where(filled, record[np.where(filled, starts[columns] + slot, 0)], len(texts)).astype(np.uint16).ravel())
+                shape.append((int(widths[k]), count))
+                first += count
+        column = place[np.searchsorted(starts, more, side="right") - 1]
+        sort = np.argsort(column, kind="stable")
+        column, more = column[sort], more[sort]
+        out[n] = feature[order].astype(np.int32), shape, _planes(np.concatenate(records)), column, record[more], times[more].astype(np.int32)
     return out, {v: np.where(x > 0, np.sqrt(x), 1.0) for v, x in square.items()}
 
 
-class Columns:
-    """The columns of one kind of text in a block, ready for products."""
-
-    def __init__(self, by_n: dict, records: int) -> None:
-        self.records, self.by_n = records, {}
-        for n, (feature, pairs, planes, more, times) in by_n.items():
-            self.by_n[n] = feature, pairs, np.cumsum(pairs) - pairs, _from_planes(planes, np.intp, 2), more, times
-
-    def _within(self, vectoriser: tuple) -> Iterator[tuple]:
-        lo, hi, sublinear = vectoriser
-        for n, (feature, pairs, starts, record, more, times) in self.by_n.items():
-            if lo <= n <= hi:
-                yield feature, pairs, starts, record, more, _times(times, sublinear)
-
-    def margins(self, z: np.ndarray, vectoriser: tuple) -> np.ndarray:
-        out = np.zeros(self.records)
-        for feature, pairs, _, record, more, times in self._within(vectoriser):
-            w = np.repeat(z[feature], pairs)
-            w[more] *= times
-            out += np.bincount(record, w, self.records)
-        return out
-
-    def add(self, total: np.ndarray, r: np.ndarray, vectoriser: tuple, power: int = 1) -> None:
-        """Add to each feature the sum of ``r`` over its records, times its occurrences to ``power``."""
-        for feature, _, starts, record, more, times in self._within(vectoriser):
-            w = r[record]
-            w[more] *= times**power
-            total[feature] += np.add.reduceat(w, starts)
+class Level:
+    """The columns of one n in a block, ready for products with several models at once. They are in order of width, and stored as features (counted from the first of this n), ``(width, columns)``
+    of each width, records in two planes; then column, record and number of what occurs more than once in a record. A column is filled up to its width with the record after the last."""
+
+    def __init__(self, stored: tuple, records: int) -> None:
+        self.feature, self.shape, packed, self.column, self.row, self.times = stored
+        self.records, flat = records, _from_planes(packed, np.uint16, 2)
+        self.record = np.empty(len(flat), np.intp)
+        for s, e, width, n, _ in self._each():
+            self.record[s:e].reshape(width, n)[:] = flat[s:e].reshape(n, width).T
+        self.first = np.flatnonzero(np.diff(self.column, prepend=-1))
+
+    def _each(self) -> Iterator[tuple]:
+        """Of each width the stretch of its records, the width, its columns and the first of them."""
+        s = first = 0
+        for width, n in self.shape:
+            yield s, s + width * n, width, n, first
+            s, first = s + width * n, first + n
+
+    def margins(self, z: np.ndarray, sublinear: list[bool]) -> Iterator[np.ndarray]:
+        """Of each model the sums per record; ``z`` has a row for each feature and a column for each model."""
+        w, each = np.empty(len(self.record)), [*self._each()]
+        for x, how in zip(np.ascontiguousarray(np.take(z, self.feature, axis=0).T), sublinear):
+            for s, e, width, n, first in each:
+                w[s:e].reshape(width, n)[:] = x[first : first + n]
+            yield np.bincount(self.record, w, self.records + 1)[:-1] + np.bincount(self.row, x[self.column] * (_times(self.times, how) - 1), self.records)
+
+    def add(self, total: np.ndarray, r: np.ndarray, sublinear: list[bool], power: int = 1) -> None:
+        """Add to each feature the sums of ``r`` over its records, times its occurrences to ``power``; ``total`` and ``r`` have a column for each model."""
+        out, padded = np.empty((len(self.feature), len(sublinear))), np.vstack([r, np.zeros((1, len(sublinear)))])
+        for s, e, width, n, first in self._each():
+            rows = np.take(padded, self.record[s:e].reshape(width, n), axis=0)
+            out[first : first + n] = rows[0] if width == 1 else rows.sum(axis=0)
+        if len(self.first):
+            more = np.stack([_times(self.times, how) ** power - 1 for how in sublinear], axis=1)
+            out[self.column[self.first]] += np.add.reduceat(r[self.row] * more, self.first, axis=0)
+        total[self.feature] += out
+
+
+class Side:
+    """Models of one kind of text side by side: their coefficients by n, and sums of the same shape."""
+
+    def __init__(self, f: Features, vectorisers: list[tuple], members: list[np.ndarray], coefficients: list[np.ndarray]) -> None:
+        self.f, self.members, self.sublinear = f, members, [x[2] for x in vectorisers]
+        self.within = {n: [j for j, (lo, hi, _) in enumerate(vectorisers) if lo <= n <= hi] for n in f.keys}
+        self.intercepts = np.array([x[-1] for x in coefficients])
+        self.z = self.zeros()
+        for j, (at, x) in enumerate(zip(members, coefficients)):
+            weighted = np.zeros(f.size)
+            weighted[at] = x[:-1] * f.idf[at]
+            for n, own in self.within.items():
+                if j in own:
+                    self.z[n][:, own.index(j)] = weighted[f.starts[n] : f.starts[n] + len(f.keys[n])]
+
+    def zeros(self, asked: list[int] | None = None) -> dict[int, np.ndarray]:
+        return {n: np.zeros((len(self.f.keys[n]), sum(asked is None or j in asked for j in own))) for n, own in self.within.items()}
+
+    def margins(self, levels: dict[int, Level], norm: np.ndarray) -> np.ndarray:
+        """``(record, model)``, the intercepts included."""
+        out = np.zeros(norm.shape)
+        for n, level in levels.items():
+            own = self.within[n]
+            for j, x in zip(own, level.margins(self.z[n], [self.sublinear[j] for j in own])):
+                out[:, j] += x
+        return out / norm + self.intercepts
+
+    def add(self, total: dict[int, np.ndarray], levels: dict[int, Level], r: np.ndarray, asked: list[int], power: int = 1) -> None:
+        """``total`` is of the models ``asked``, as is ``r``."""
+        for n, level in levels.items():
+            own = [j for j in self.within[n] if j in asked]
+            if own:
+                level.add(total[n], r[:, [asked.index(j) for j in own]], [self.sublinear[j] for j in own], power)
+
+    def of(self, total: dict[int, np.ndarray], j: int, asked: list[int]) -> np.ndarray:
+        """The sums of model ``j`` at its own features, in their order."""
+        out = np.zeros(self.f.size)
+        for n, own in self.within.items():
+            if j in own:
+                out[self.f.starts[n] : self.f.starts[n] + len(self.f.keys[n])] = total[n][:, [i for i in own if i in asked].index(j)]
+        return out[self.members[j]]
 
 
 def _loss(m: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -378,38 +453,35 @@ class Candidates:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, wanted = [Features(*x) for x in shared.value], sent.value
-            z, total = {}, {}
-            for i, (x, curved, _) in wanted.items():
-                f = found[kind[of[i]]]
-                z[i] = np.zeros(f.size)
-                at = f.members[of[i]]
-                z[i][at] = x[:-1] * f.idf[at]
-                total[i] = [0.0, np.zeros(f.size), 0.0, np.zeros(f.size if curved else 0, np.float32), 0.0]
+            sides = {}
+            for k, f in enumerate(found):
+                if own := [i for i in wanted if kind[of[i]] == k]:
+                    side = Side(f, [vectorisers[of[i]] for i in own], [f.members[of[i]] for i in own], [wanted[i][0] for i in own])
+                    curved = [j for j, i in enumerate(own) if wanted[i][1]]
+                    sides[k] = own, side, curved, side.zeros(), side.zeros(curved), *np.zeros((3, len(own)))
             for packed in read(batches):
                 y, parts = pickle.loads(packed.as_buffer())
-                for k, (by_n, norms) in enumerate(parts):
-                    models = [i for i in wanted if kind[of[i]] == k]
-                    columns = Columns(by_n, len(y)) if models else None
-                    for i in models:
-                        x, curved, (c0, c1) = wanted[i]
-                        c, norm, v = np.where(y == 1, c1, c0), norms[of[i]], vectorisers[of[i]]
-                        m = columns.margins(z[i], v) / norm + x[-1]
-                        p = 1 / (1 + np.exp(-m))
-                        r = c * (p - y)
-                        sums = total[i]
-                        sums[0] += float(np.dot(c, _loss(m, y)))
-                        sums[2] += float(r.sum())
-                        columns.add(sums[1], r / norm, v)
-                        if curved:
-                            h = c * p * (1 - p)
-                            sums[4] += float(h.sum())
-                            columns.add(sums[3], h / norm**2, v, 2)
-            for i, (loss, g, g0, h, h0) in total.items():
-                f = found[kind[of[i]]]
-                at = f.members[of[i]]
-                g, h = np.append(g[at] * f.idf[at], g0), np.append(h[at] * f.idf[at] ** 2, h0).astype(np.float32) if len(h) else h
-                for s in range(0, len(g), _SLICE):
-                    row = [i], [s], [0.0 if s else loss], [g[s : s + _SLICE].tobytes()], [h[s : s + _SLICE].tobytes()]
+                for k, (own, side, curved, g, h, loss, g0, h0) in sides.items():
+                    by_n, norms = parts[k]
+                    levels, norm = {n: Level(x, len(y)) for n, x in by_n.items()}, np.stack([norms[of[i]] for i in own], axis=1)
+                    c = np.stack([np.where(y == 1, c1, c0) for _, _, (c0, c1) in (wanted[i] for i in own)], axis=1)
+                    m = side.margins(levels, norm)
+                    p = 1 / (1 + np.exp(-m))
+                    r = c * (p - y[:, None])
+                    loss += (c * _loss(m, y[:, None])).sum(axis=0)
+                    g0 += r.sum(axis=0)
+                    side.add(g, levels, r / norm, [*range(len(own))])
+                    if curved:
+                        r = (c * p * (1 - p))[:, curved]
+                        h0[curved] += r.sum(axis=0)
+                        side.add(h, levels, r / norm[:, curved] ** 2, curved, 2)
+            for k, j, i in ((k, j, i) for k, x in sides.items() for j, i in enumerate(x[0])):
+                own, side, curved, g, h, loss, g0, h0 = sides[k]
+                idf = side.f.idf[side.members[j]]
+                total, first = np.append(side.of(g, j, [*range(len(own))]) * idf, g0[j]), loss[j]
+                curve = np.append(side.of(h, j, curved) * idf**2, h0[j]).astype(np.float32) if j in curved else np.empty(0, np.float32)
+                for s in range(0, len(total), _SLICE):
+                    row = [i], [s], [0.0 if s else first], [total[s : s + _SLICE].tobytes()], [curve[s : s + _SLICE].tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()))], ["model", "start", "loss", "g", "h"])
 
         def summed(rows: pa.Table) -> pa.Table:
@@ -442,18 +514,15 @@ class Candidates:
         vectorisers, kind, of = self.vectorisers, self.kind, self.of
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, table, z = [Features(*x) for x in shared.value], letters.table(), {}
-            for i, x in sent.value.items():
-                f = found[kind[of[i]]]
-                z[i] = np.zeros(f.size)
-                z[i][f.members[of[i]]] = x[:-1] * f.idf[f.members[of[i]]]
+            found, table = [Features(*x) for x in shared.value], letters.table()
             for part in _gathered(batches, most):
-                parts = [(Columns(by_n, part.num_rows), norms) for by_n, norms in make(part, table, found)]
                 y = part.column("y").combine_chunks()
-                for i, x in sent.value.items():
-                    columns, norms = parts[kind[of[i]]]
-                    m = columns.margins(z[i], vectorisers[of[i]]) / norms[of[i]] + x[-1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), i, np.int32)), pa.array(1 / (1 + np.exp(-m))), y], ["model", "score", "target"])
+                for k, (by_n, norms) in enumerate(make(part, table, found)):
+                    if own := [i for i in sent.value if kind[of[i]] == k]:
+                        side = Side(found[k], [vectorisers[of[i]] for i in own], [found[k].members[of[i]] for i in own], [sent.value[i] for i in own])
+                        m = side.margins({n: Level(x, part.num_rows) for n, x in by_n.items()}, np.stack([norms[of[i]] for i in own], axis=1))
+                        for i, x in zip(own, m.T):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(1 / (1 + np.exp(-x))), y], ["model", "score", "target"])
 
         return self.columns(validation, text, target).mapInArrow(run, "model int, score double, target double")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a row group before compression.
-_ROW_GROUP = 16 << 20
+_ROW_GROUP, _LARGE_ROW = 16 << 20, 1 << 20
 _written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
@@ -36,12 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, *, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and no executor owns a part.
 
-    Row groups are small, so that what few tasks wrote is read by many. With ``large_rows`` their size is looked at from row to row; otherwise from the hundredth on.
+    Row groups are small, so that what few tasks wrote is read by many. With ``large_rows`` their size is looked at from row to row, otherwise from the hundredth on:
+    a row of a MB or more is a row group of its own, in a format that is read fast.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sievework-{uuid.uuid4().hex}"
     checks = {f"parquet.{x}.size.row.check.min": 1 for x in ("block", "page")} if large_rows else {}
-    df.write.options(**checks).option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(path)
+    df.write.options(**checks).option("compression", "lz4_raw" if large_rows else "zstd").option("parquet.block.size", _LARGE_ROW if large_rows else _ROW_GROUP).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
